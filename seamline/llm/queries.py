@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontaminate
 from .frames import table
+from .lm import lm_scores
 from .packing import pack
 from .quality import quality
 from .simhash import near_duplicates
@@ -32,6 +33,10 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -44,7 +49,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_top_k, op6_packing, op9_simhash, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_top_k, op4_lm_scoring, op6_packing, op9_simhash, op10_quality)}
 
 #: Exact: floors and products of integers, ties by the smaller id.
 OP3_SQL = """
