@@ -37,9 +37,12 @@ UNITS = 1 + TOP_WORDS + CLASSES
 #: Stands before a text in contexts.
 BEFORE = UNITS
 WIDTH = 24
-NOISE = 64
-BATCH = 4096
-RATE = 0.15
+NOISE = 25
+BATCH = 1024
+RATE = 0.07
+INIT = 1e-8
+#: Steps that a partition takes at least: one with fewer tokens goes over them again.
+LEAST_STEPS = 1000
 HOT_WORDS = 262_144
 SMOOTHING = 0.1
 SEED = 7
@@ -108,7 +111,7 @@ def _contexts(units: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 def train(p: Parameters, noise: np.ndarray, stream: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], seed: int = SEED) -> tuple[Parameters, int]:
     """Noise-contrastive estimation by AdaGrad over (units, units before, units two before); tokens seen."""
     p = Parameters(*(x.copy() for x in p))
-    sums = [np.full_like(x, 1e-2) for x in p]
+    sums = [np.full_like(x, INIT) for x in p]
     rng = np.random.default_rng(seed)
     table = np.searchsorted(np.cumsum(noise), rng.random(1 << 16)).clip(0, UNITS - 1)
     shift = np.log(NOISE * noise).astype(np.float32)
@@ -226,10 +229,19 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, key: str = "doc_id", text: st
         top, noise, start = known.value
 
         def stream() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            held, tokens = [], 0
             for block in blocks.blocks(batches, "text"):
                 words = blocks.coded(blocks.raw(block.column("text")), blocks.SPACED)
                 units, starts = _stream(_units(words.vocab, top)[words.codes], words.bounds, 0)
-                yield units, *_contexts(units, starts)
+                part = (units, *_contexts(units, starts))
+                yield part
+                tokens += len(units)
+                if tokens < LEAST_STEPS * BATCH:
+                    held.append(part)
+            while 0 < tokens < LEAST_STEPS * BATCH:
+                for part in held:
+                    yield part
+                tokens += sum(len(p[0]) for p in held)
 
         number = TaskContext.get().partitionId()
         own, seen = train(start, noise, stream(), SEED + number)
@@ -261,8 +273,8 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, key: str = "doc_id", text: st
             each = log_shares(model, first, second, units[tokens]) + within[tokens]
 
             def summed(x: np.ndarray) -> pa.Array:
-                total = np.concatenate([[0], np.cumsum(x)])
-                return pa.array(total[starts[1:]] - total[starts[:-1]])
+                # Every text has its end at least, so no part is empty.
+                return pa.array(np.add.reduceat(x, starts[:-1]))
 
             doc = np.repeat(np.arange(n), np.diff(starts))
             odd = np.flatnonzero(rare[tokens])
