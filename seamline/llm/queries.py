@@ -12,6 +12,7 @@ from .quality import quality
 from .simhash import near_duplicates
 from .token_counts import token_counts
 from .topk import top_k
+from .urls import Rule, judge
 
 
 def vocabulary() -> str:
@@ -37,6 +38,13 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/")]
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -49,7 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_top_k, op4_lm_scoring, op6_packing, op9_simhash, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_top_k, op4_lm_scoring, op5_url_filters, op6_packing, op9_simhash, op10_quality)}
 
 #: Exact: floors and products of integers, ties by the smaller id.
 OP3_SQL = """
@@ -64,4 +72,20 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op3_top_k": OP3_SQL}
+#: The tables' pages hold no canonical links or refreshes; aliases are tested on small fixtures.
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), r(action, rhost, rpath) AS (
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+)
+SELECT page_id, any_value(host) AS host, any_value(path) AS path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule,
+  coalesce(arg_max(action, length(rhost || rpath)), 'allow') AS verdict
+FROM h LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+GROUP BY page_id
+"""
+
+ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL, "op3_top_k": OP3_SQL}
