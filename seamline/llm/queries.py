@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .frames import table
@@ -11,8 +12,10 @@ from .packing import pack
 from .quality import quality
 from .simhash import near_duplicates
 from .token_counts import token_counts
+from .toolcalls import REPLY_SCHEMA, conversation_calls, link
 from .topk import top_k
 from .urls import Rule, judge
+from .warc import audit
 
 
 def vocabulary() -> str:
@@ -49,6 +52,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link(*conversation_calls(table(spark, sf_dir, "conversations")), {"reply": REPLY_SCHEMA})
+
+
+def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holds the archives of all pages against a replica in which some records are damaged or lost."""
+    pages = table(spark, sf_dir, "pages")
+    rotten = F.when(F.pmod("page_id", F.lit(211)) == 5, F.overlay("html", F.lit("?"), F.lit(1))).otherwise(F.col("html"))
+    replica = pages.where(F.coalesce(F.pmod("page_id", F.lit(997)) != 7, F.lit(True))).withColumn("html", rotten)
+    return audit(pages, replica)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,7 +72,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_top_k, op4_lm_scoring, op5_url_filters, op6_packing, op9_simhash, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_top_k, op4_lm_scoring, op5_url_filters, op6_packing, op7_tool_calls, op8_warc_fixity, op9_simhash, op10_quality)}
 
 #: Exact: floors and products of integers, ties by the smaller id.
 OP3_SQL = """
@@ -88,4 +103,27 @@ FROM h LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts
 GROUP BY page_id
 """
 
-ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL, "op3_top_k": OP3_SQL}
+OP7_SQL = """
+SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.turn, a.turn - 1)::VARCHAR AS call_id, u.turn, CASE WHEN u.turn IS NOT NULL THEN 0 END AS position,
+  u.level, a.turn AS result_turn,
+  CASE WHEN u.turn IS NULL THEN 'orphan' WHEN length(u.text) < 1 THEN 'invalid' WHEN a.turn IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
+  CASE WHEN length(u.text) < 1 THEN '$.text: too short' ELSE '' END AS errors,
+  CASE WHEN u.turn IS NOT NULL THEN '{"arguments":{"role":"user","text":' || to_json(u.text)::VARCHAR || ',"turn":' || u.turn || '},"id":"' || u.turn || '","name":"reply","result":' || coalesce(to_json(a.text)::VARCHAR, 'null') || '}' END AS json
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1 AS level
+  FROM (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM conversations WHERE role = 'user')
+) u FULL JOIN (SELECT * FROM conversations WHERE role = 'assistant') a ON a.conv_id = u.conv_id AND a.turn - 1 = u.turn
+"""
+
+OP8_SQL = """
+WITH r AS (
+  SELECT page_id, page_id // 1000 AS archive, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) ||
+    'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages
+)
+SELECT page_id, archive, (sum(strlen(record)) OVER (PARTITION BY archive ORDER BY page_id) - strlen(record))::BIGINT AS "offset", strlen(record)::BIGINT AS length, sha256(record) AS digest,
+  CASE WHEN page_id % 997 = 7 THEN 'missing' WHEN page_id % 211 = 5 THEN 'corrupt' WHEN page_id > page_id // 1000 * 1000 AND EXISTS (FROM pages q WHERE q.page_id // 1000 = archive AND q.page_id < r.page_id AND q.page_id % 997 = 7) THEN 'moved' ELSE 'ok' END AS status
+FROM r
+"""
+
+ORACLES: dict[str, str] = {"op7_tool_calls": OP7_SQL, "op8_warc_fixity": OP8_SQL, "op5_url_filters": OP5_SQL, "op3_top_k": OP3_SQL}
