@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None, lens: str = "") -> Callable:
 
 
 #: Modules that register queries.
-PLANS = ("relational", "text")
+PLANS = ("relational", "text", "guard", "extraction")
 
 
 def _load() -> None:
