@@ -12,8 +12,10 @@ from ..lens import AS_OF, Tables, host
 from ..operators import relational as R
 
 c = F.col
-NOW = F.lit(AS_OF).cast("timestamp")
-N = F.count("*")
+
+
+def now():
+    return F.lit(AS_OF).cast("timestamp")
 
 
 def r6(x):
@@ -61,7 +63,7 @@ def snk_chunk(t: Tables) -> DataFrame:
 
 @query("snk_graph", "SELECT (SELECT count(DISTINCT value) FROM entities) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT value, mission_id FROM entities)) AS edges", "entities")
 def snk_graph(t: Tables) -> DataFrame:
-    return t.entities.select("value", "mission_id").distinct().agg(F.count_distinct("value").alias("nodes"), N.alias("edges"))
+    return t.entities.select("value", "mission_id").distinct().agg(F.count_distinct("value").alias("nodes"), F.count("*").alias("edges"))
 
 
 @query("snk_report", "SELECT mission_id, '# ' || mission_id || chr(10) || string_agg('- ' || claim, chr(10) ORDER BY confidence DESC, id) AS report FROM (SELECT * FROM claims QUALIFY row_number() OVER (PARTITION BY mission_id ORDER BY confidence DESC, id) <= 5) GROUP BY mission_id", "claims")
@@ -128,7 +130,7 @@ def flt_array_any(t: Tables) -> DataFrame:
 
 @query("flt_age", f"SELECT id FROM claims WHERE extracted_at >= TIMESTAMP '{AS_OF}' - INTERVAL 45 DAY AND extracted_at < TIMESTAMP '{AS_OF}' - INTERVAL 3 HOUR", "claims")
 def flt_age(t: Tables) -> DataFrame:
-    return t.claims.where((c("extracted_at") >= NOW - F.expr("INTERVAL 45 DAYS")) & (c("extracted_at") < NOW - F.expr("INTERVAL 3 HOURS"))).select("id")
+    return t.claims.where((c("extracted_at") >= now() - F.expr("INTERVAL 45 DAYS")) & (c("extracted_at") < now() - F.expr("INTERVAL 3 HOURS"))).select("id")
 
 
 @query("flt_relax", "SELECT id, score_total FROM (SELECT *, score_relevance >= 2 AND score_total >= 15 AS strict FROM sources) WHERE strict OR NOT (SELECT bool_or(score_relevance >= 2 AND score_total >= 15) FROM sources) ORDER BY score_total DESC, id LIMIT 300", "sources")
@@ -167,7 +169,7 @@ def prj_cast(t: Tables) -> DataFrame:
 
 @query("jn_left_agg", "SELECT m.id, coalesce(n, 0) AS n, coalesce(q, 0) AS q FROM missions m LEFT JOIN (SELECT mission_id, count(*) AS n, round(avg(quality_score), 6) AS q FROM claims GROUP BY mission_id) ON m.id = mission_id", "missions claims")
 def jn_left_agg(t: Tables) -> DataFrame:
-    a = t.claims.groupBy(c("mission_id").alias("id")).agg(N.alias("n"), r6(F.avg("quality_score")).alias("q"))
+    a = t.claims.groupBy(c("mission_id").alias("id")).agg(F.count("*").alias("n"), r6(F.avg("quality_score")).alias("q"))
     return t.missions.select("id").join(a, "id", "left").fillna(0, ["n", "q"])
 
 
@@ -184,7 +186,7 @@ def jn_left_cast(t: Tables) -> DataFrame:
 @query("jn_inner", "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def jn_inner(t: Tables) -> DataFrame:
     k = t.customer.join(t.nation, c("c_nationkey") == c("n_nationkey")).select("c_custkey", "n_name")
-    return t.orders.join(k, c("o_custkey") == c("c_custkey")).groupBy("n_name").agg(N.alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return t.orders.join(k, c("o_custkey") == c("c_custkey")).groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("jn_anti_seen", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -203,7 +205,7 @@ _COOC = "SELECT a.value AS a, b.value AS b, count(DISTINCT a.mission_id) AS n FR
 @query("jn_self_cooc", _COOC, "entities")
 def jn_self_cooc(t: Tables) -> DataFrame:
     e = t.entities.select("mission_id", "value").distinct()
-    return e.withColumnRenamed("value", "a").join(e.withColumnRenamed("value", "b"), "mission_id").where("a < b").groupBy("a", "b").agg(N.alias("n"))
+    return e.withColumnRenamed("value", "a").join(e.withColumnRenamed("value", "b"), "mission_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 @query("jn_prefix", "SELECT a.p_partkey AS a, b.s_suppkey AS b FROM part a JOIN supplier b ON a.p_partkey % 10 = b.s_suppkey % 10 WHERE starts_with(a.p_partkey::VARCHAR, b.s_suppkey::VARCHAR) OR starts_with(b.s_suppkey::VARCHAR, a.p_partkey::VARCHAR)")
@@ -222,7 +224,7 @@ def jn_lookup(t: Tables) -> DataFrame:
 
 @query("jn_derived", "SELECT domain, n FROM (SELECT domain, count(*) AS n FROM sources GROUP BY domain) WHERE n >= 3", "sources")
 def jn_derived(t: Tables) -> DataFrame:
-    return t.sources.groupBy("domain").agg(N.alias("n")).where("n >= 3")
+    return t.sources.groupBy("domain").agg(F.count("*").alias("n")).where("n >= 3")
 
 
 # Aggregations.
@@ -230,7 +232,7 @@ def jn_derived(t: Tables) -> DataFrame:
 
 @query("agg_basic", "SELECT mission_id, count(*) AS n, round(avg(confidence), 6) AS avg_c, round(sum(quality_score), 4) AS sum_q, min(confidence) AS lo, max(confidence) AS hi FROM claims GROUP BY mission_id", "claims")
 def agg_basic(t: Tables) -> DataFrame:
-    return t.claims.groupBy("mission_id").agg(N.alias("n"), r6(F.avg("confidence")).alias("avg_c"), F.round(F.sum("quality_score"), 4).alias("sum_q"), F.min("confidence").alias("lo"), F.max("confidence").alias("hi"))
+    return t.claims.groupBy("mission_id").agg(F.count("*").alias("n"), r6(F.avg("confidence")).alias("avg_c"), F.round(F.sum("quality_score"), 4).alias("sum_q"), F.min("confidence").alias("lo"), F.max("confidence").alias("hi"))
 
 
 @query("agg_cntd", "SELECT o_orderpriority, count(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderpriority")
@@ -251,12 +253,12 @@ def agg_filter(t: Tables) -> DataFrame:
 
 @query("agg_filter_ratio", "SELECT source_operation, count(*) FILTER (rating = 1) / count(*)::DOUBLE AS fitness, count(*) AS n FROM feedback GROUP BY source_operation HAVING count(*) >= 5", "feedback")
 def agg_filter_ratio(t: Tables) -> DataFrame:
-    return t.feedback.groupBy("source_operation").agg((F.count_if(c("rating") == 1) / N).alias("fitness"), N.alias("n")).where("n >= 5")
+    return t.feedback.groupBy("source_operation").agg((F.count_if(c("rating") == 1) / F.count("*")).alias("fitness"), F.count("*").alias("n")).where("n >= 5")
 
 
 @query("agg_having", "SELECT domain, count(*) AS cnt, avg(score_total)::DOUBLE AS avg_score FROM sources GROUP BY domain HAVING count(*) >= 2 AND avg(score_total) > 45", "sources")
 def agg_having(t: Tables) -> DataFrame:
-    return t.sources.groupBy("domain").agg(N.alias("cnt"), F.avg("score_total").alias("avg_score")).where("cnt >= 2 AND avg_score > 45")
+    return t.sources.groupBy("domain").agg(F.count("*").alias("cnt"), F.avg("score_total").alias("avg_score")).where("cnt >= 2 AND avg_score > 45")
 
 
 @query("agg_case_sum", "SELECT source_tier, sum(CASE WHEN rating = 1 THEN 1 ELSE 0 END) / count(*)::DOUBLE AS accuracy FROM feedback GROUP BY source_tier", "feedback")
@@ -287,18 +289,18 @@ def agg_stdev(t: Tables) -> DataFrame:
 
 @query("agg_mode", "SELECT value, arg_min(entity_type, (-n, entity_type)) AS kind FROM (SELECT value, entity_type, count(*) AS n FROM entities GROUP BY ALL) GROUP BY value", "entities")
 def agg_mode(t: Tables) -> DataFrame:
-    n = t.entities.groupBy("value", "entity_type").agg(N.alias("n"))
+    n = t.entities.groupBy("value", "entity_type").agg(F.count("*").alias("n"))
     return n.groupBy("value").agg(F.min_by("entity_type", F.struct(-c("n"), "entity_type")).alias("kind"))
 
 
 @query("agg_topfreq", "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(claim, '[A-Z][a-z]+')) AS word FROM claims) GROUP BY word ORDER BY n DESC, word LIMIT 20", "claims")
 def agg_topfreq(t: Tables) -> DataFrame:
-    return t.claims.select(F.explode(F.regexp_extract_all("claim", F.lit("[A-Z][a-z]+"), 0)).alias("word")).groupBy("word").agg(N.alias("n")).orderBy(c("n").desc(), "word").limit(20)
+    return t.claims.select(F.explode(F.regexp_extract_all("claim", F.lit("[A-Z][a-z]+"), 0)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(c("n").desc(), "word").limit(20)
 
 
 @query("agg_unnest", "SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS tag FROM part) GROUP BY tag")
 def agg_unnest(t: Tables) -> DataFrame:
-    return t.part.select(F.explode(F.split("p_type", " ")).alias("tag")).groupBy("tag").agg(N.alias("n"))
+    return t.part.select(F.explode(F.split("p_type", " ")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @query("agg_collect", "SELECT value, string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS kinds FROM entities GROUP BY value", "entities")
@@ -315,13 +317,13 @@ def agg_counter(t: Tables) -> DataFrame:
 @query("agg_dashboard", "SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM claims) AS claims, (SELECT count(*) FROM missions WHERE status = 'done') AS done, (SELECT count(*) FROM labels WHERE quality = 0) AS bad", "claims missions")
 def agg_dashboard(t: Tables) -> DataFrame:
     parts = [("docs", t.documents), ("pages", t.pages), ("events", t.events), ("claims", t.claims), ("done", t.missions.where("status = 'done'")), ("bad", t.labels.where("quality = 0"))]
-    tall = reduce(DataFrame.unionByName, (d.agg(N.alias("n")).select(F.lit(k).alias("k"), "n") for k, d in parts))
+    tall = reduce(DataFrame.unionByName, (d.agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n") for k, d in parts))
     return tall.agg(*(F.max(F.when(c("k") == k, c("n"))).alias(k) for k, _ in parts))
 
 
 @query("agg_scalar_subq", "SELECT md5((SELECT count(*) FROM claims) || '|' || (SELECT max(id) FROM claims) || '|' || (SELECT count(*) FROM entities)) AS state", "claims entities")
 def agg_scalar_subq(t: Tables) -> DataFrame:
-    a, b = t.claims.agg(N.alias("n"), F.max("id").alias("m")), t.entities.agg(N.alias("e"))
+    a, b = t.claims.agg(F.count("*").alias("n"), F.max("id").alias("m")), t.entities.agg(F.count("*").alias("e"))
     return a.crossJoin(b).select(F.md5(F.concat_ws("|", *(c(x).cast("string") for x in "nme")).cast("binary")).alias("state"))
 
 
@@ -386,7 +388,7 @@ def top_nulls(t: Tables) -> DataFrame:
 
 @query("top_multi", "SELECT value, count(*) AS cnt, round(max(confidence), 6) AS conf FROM entities GROUP BY value ORDER BY cnt DESC, conf DESC, value LIMIT 20", "entities")
 def top_multi(t: Tables) -> DataFrame:
-    return t.entities.groupBy("value").agg(N.alias("cnt"), r6(F.max("confidence")).alias("conf")).orderBy(c("cnt").desc(), c("conf").desc(), "value").limit(20)
+    return t.entities.groupBy("value").agg(F.count("*").alias("cnt"), r6(F.max("confidence")).alias("conf")).orderBy(c("cnt").desc(), c("conf").desc(), "value").limit(20)
 
 
 @query("top_enum", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey LIMIT 30")
@@ -462,7 +464,7 @@ def fn_math(t: Tables) -> DataFrame:
 
 @query("fn_date", f"SELECT id, strftime(extracted_at, '%Y-%m-%d') AS day, date_diff('day', extracted_at, TIMESTAMP '{AS_OF}') AS age FROM claims", "claims")
 def fn_date(t: Tables) -> DataFrame:
-    return t.claims.select("id", F.date_format("extracted_at", "yyyy-MM-dd").alias("day"), F.datediff(NOW, "extracted_at").cast("bigint").alias("age"))
+    return t.claims.select("id", F.date_format("extracted_at", "yyyy-MM-dd").alias("day"), F.datediff(now(), "extracted_at").cast("bigint").alias("age"))
 
 
 @query("fn_array", "SELECT p_partkey, list_contains(string_split(p_type, ' '), 'TIN') AS tin, array_to_string(list_append(string_split(p_type, ' '), p_brand), '|') AS tags FROM part")
@@ -486,7 +488,7 @@ def fn_json(t: Tables) -> DataFrame:
 
 @query("dml_update", "SELECT m.id, coalesce(CASE WHEN n > 100 THEN 'big' END, status) AS status FROM missions m LEFT JOIN (SELECT mission_id, count(*) AS n FROM claims GROUP BY mission_id) ON id = mission_id", "missions claims")
 def dml_update(t: Tables) -> DataFrame:
-    new = t.claims.groupBy(c("mission_id").alias("id")).agg(F.when(N > 100, "big").alias("status"))
+    new = t.claims.groupBy(c("mission_id").alias("id")).agg(F.when(F.count("*") > 100, "big").alias("status"))
     return R.keyed_update(t.missions.select("id", "status"), new, "id", ["status"])
 
 

@@ -13,7 +13,7 @@ from ..operators.similarity import cosine
 from .text import _str
 
 c = F.col
-N = F.count("*")
+
 TERMS = ["the", "onthe", "nation"]
 
 
@@ -40,7 +40,7 @@ def rag_signal(t: Tables) -> DataFrame:
 def rag_build(t: Tables) -> DataFrame:
     """New chunks of documents of more than 50 characters, without those of excluded documents."""
     d = _docs(t).join(t.labels.where("toxic = 1").select(c("doc_id").alias("id")), "id", "left_anti")
-    return V.chunks(d).groupBy("mission_id").agg(N.alias("chunks"), F.sum("words").alias("words"))
+    return V.chunks(d).groupBy("mission_id").agg(F.count("*").alias("chunks"), F.sum("words").alias("words"))
 
 
 _COS = "SELECT c.vec_id AS id, c.label, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings c WHERE q.vec_id = 0"
@@ -99,7 +99,7 @@ def rag_rrf(t: Tables) -> DataFrame:
     return V.fuse([_vec(t), _brank(t)], 15).select("id", F.round("score", 9).alias("score"))
 
 
-@query("rag_rrf0", f"SELECT id, round(1.0 / (60 + coalesce(ra, na)) + 1.0 / (60 + coalesce(rb, nb)), 9)::DOUBLE AS score FROM (SELECT coalesce(a.id, b.id) AS id, a.rank - 1 AS ra, b.rank - 1 AS rb FROM ({_VEC}) a FULL JOIN ({_BRANK}) b ON a.id = b.id), (SELECT count(*) AS na FROM ({_VEC})), (SELECT count(*) AS nb FROM ({_BRANK})) ORDER BY score DESC, id LIMIT 20")
+@query("rag_rrf0", f"SELECT id, round(1.0 / (60 + coalesce(ra, na)) + 1.0 / (60 + coalesce(rb, nb)), 9)::DOUBLE AS score FROM (SELECT id, max(ra) AS ra, max(rb) AS rb FROM (SELECT id, rank - 1 AS ra, NULL AS rb FROM ({_VEC}) UNION ALL SELECT id, NULL, rank - 1 FROM ({_BRANK})) GROUP BY id), (SELECT count(*) AS na FROM ({_VEC})), (SELECT count(*) AS nb FROM ({_BRANK})) ORDER BY score DESC, id LIMIT 20")
 def rag_rrf0(t: Tables) -> DataFrame:
     return V.fuse_from_zero(_vec(t), _brank(t), 10_000).select("id", F.round("score", 9).alias("score")).orderBy(c("score").desc(), "id").limit(20)
 
@@ -133,7 +133,7 @@ def rag_crag(t: Tables) -> DataFrame:
     """Whether the share of chunks graded relevant suffices; relevant and partial ones are kept. Grades by id % 3."""
     g = F.when(c("id") % 3 == 0, "RELEVANT").when(c("id") % 3 == 1, "PARTIAL").otherwise("IRRELEVANT")
     d = t.content.select("mission_id", g.alias("g"))
-    return d.groupBy("mission_id").agg((F.count_if(c("g") == "RELEVANT") / N >= 0.4).alias("enough"), F.count_if(c("g") != "IRRELEVANT").alias("kept"))
+    return d.groupBy("mission_id").agg((F.count_if(c("g") == "RELEVANT") / F.count("*") >= 0.4).alias("enough"), F.count_if(c("g") != "IRRELEVANT").alias("kept"))
 
 
 def _verified(t: Tables) -> DataFrame:
@@ -147,7 +147,7 @@ def rag_verify1(t: Tables) -> DataFrame:
 
 @query("rag_verify")
 def rag_verify(t: Tables) -> DataFrame:
-    return _verified(t).groupBy("mode").agg(N.alias("n"), F.sum("found").alias("found"))
+    return _verified(t).groupBy("mode").agg(F.count("*").alias("n"), F.sum("found").alias("found"))
 
 
 @query("win_slide_tok", "SELECT DISTINCT doc_id FROM (SELECT doc_id, list_filter(list_transform(range(1, len(w) + 1), lambda i: {'i': i, 'w': w[i]}), lambda x: list_contains(['with', 'that', 'this', 'from'], x.w)) AS m FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\b[a-zA-Z]{4,}\\b') AS w FROM english)) WHERE len(list_filter(m, lambda s: len(list_distinct(list_transform(list_filter(m, lambda y: y.i >= s.i AND y.i < s.i + 30), lambda y: y.w))) >= 3)) > 0", "english")
@@ -160,7 +160,7 @@ _EVAL = "SELECT mission_id, round(count(DISTINCT doc_id) / 60.0, 6)::DOUBLE AS c
 
 
 def _eval(t: Tables) -> DataFrame:
-    a = V.chunks(_docs(t)).groupBy("mission_id").agg(N.alias("n"), F.count_distinct("doc_id").alias("d"), F.avg("words").alias("w"))
+    a = V.chunks(_docs(t)).groupBy("mission_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d"), F.avg("words").alias("w"))
     flags = F.concat_ws(",", F.when(c("n") < 60, "FEW_CHUNKS"), F.when(c("w") < 300, "SHORT"))
     return a.select("mission_id", F.round(c("d") / 60.0, 6).alias("coverage"), F.round(c("d") / c("n"), 6).alias("diversity"), flags.alias("flags"))
 
@@ -172,12 +172,12 @@ def rag_eval(t: Tables) -> DataFrame:
 
 @query("rag_eval_sum", f"SELECT flag, count(*) AS n FROM (SELECT unnest(string_split(flags, ',')) AS flag FROM ({_EVAL})) WHERE flag <> '' GROUP BY flag ORDER BY n DESC, flag LIMIT 5")
 def rag_eval_sum(t: Tables) -> DataFrame:
-    return _eval(t).select(F.explode(F.split("flags", ",")).alias("flag")).where("flag <> ''").groupBy("flag").agg(N.alias("n")).orderBy(c("n").desc(), "flag").limit(5)
+    return _eval(t).select(F.explode(F.split("flags", ",")).alias("flag")).where("flag <> ''").groupBy("flag").agg(F.count("*").alias("n")).orderBy(c("n").desc(), "flag").limit(5)
 
 
 @query("rag_status", f"SELECT count(*) AS chunks, count(DISTINCT doc_id) AS docs, round(avg(words), 4) AS words FROM ({_CHUNKS})")
 def rag_status(t: Tables) -> DataFrame:
-    return V.chunks(_docs(t)).agg(N.alias("chunks"), F.count_distinct("doc_id").alias("docs"), F.round(F.avg("words"), 4).alias("words"))
+    return V.chunks(_docs(t)).agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("docs"), F.round(F.avg("words"), 4).alias("words"))
 
 
 @query("mem_search", f"SELECT id, score FROM ({_COS}) WHERE label = 4 AND score >= .1 ORDER BY score DESC, id LIMIT 10")

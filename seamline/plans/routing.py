@@ -13,7 +13,7 @@ from ..operators.reputation import fold
 from .text import _any, _hits, _str
 
 c = F.col
-N = F.count("*")
+
 
 TOPIC = ("market", "nation", "data", "the", "with")
 _TEXT = "lower(title || ' ' || url)"
@@ -97,7 +97,7 @@ def rr_auto(t: Tables) -> DataFrame:
 
 @query("rr_stats", f"SELECT split_part(route, '|', 2) AS decision, count(*) AS n FROM (WITH rep AS ({_REP}) {_ROUTE}) GROUP BY ALL", "sources")
 def rr_stats(t: Tables) -> DataFrame:
-    return _routed(t).groupBy(c("r.decision").alias("decision")).agg(N.alias("n"))
+    return _routed(t).groupBy(c("r.decision").alias("decision")).agg(F.count("*").alias("n"))
 
 
 @query("rr_seed", "SELECT DISTINCT url FROM (SELECT url FROM sources UNION ALL SELECT 'http://seed.example.com/' || n_nationkey FROM nation)", "sources")
@@ -154,7 +154,7 @@ def dm_strategy(t: Tables) -> DataFrame:
 
 @query("dm_report", f"SELECT strategy, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM ({_MAP})), 4)::DOUBLE AS pct FROM ({_MAP}) GROUP BY strategy", "sources")
 def dm_report(t: Tables) -> DataFrame:
-    n = _map(t).groupBy("strategy").agg(N.alias("n"))
+    n = _map(t).groupBy("strategy").agg(F.count("*").alias("n"))
     return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all")))).select("strategy", "n", F.round(100.0 * c("n") / c("all"), 4).alias("pct"))
 
 

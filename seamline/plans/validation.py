@@ -13,7 +13,7 @@ from ..operators import similarity as S
 from .text import _str
 
 c = F.col
-N = F.count("*")
+
 
 KEYS = ("market", "nation", "onthe", "data", "enener", "ation", "the", "with")
 
@@ -45,7 +45,7 @@ def rel_stage(t: Tables) -> DataFrame:
 @query("rel_blend", f"SELECT doc_id FROM (SELECT doc_id, kw, s, (SELECT count(*) > 5 AND count(*) FILTER (((doc_id * 7) % 100) / 100.0 < .05) > .8 * count(*) FROM english) AS only_kw FROM (SELECT doc_id, {_REL} AS kw, ((doc_id * 7) % 100) / 100.0::DOUBLE AS s FROM english)) WHERE CASE WHEN only_kw THEN kw ELSE .8 * s + .2 * kw END >= .4", "english")
 def rel_blend(t: Tables) -> DataFrame:
     d = relevant(t).withColumn("s", (c("doc_id") * 7) % 100 / 100.0)
-    only = d.agg(((N > 5) & (F.count_if(c("s") < 0.05) > 0.8 * N)).alias("only_kw"))
+    only = d.agg(((F.count("*") > 5) & (F.count_if(c("s") < 0.05) > 0.8 * F.count("*"))).alias("only_kw"))
     return d.crossJoin(F.broadcast(only)).where(F.when(c("only_kw"), c("kw")).otherwise(0.8 * c("s") + 0.2 * c("kw")) >= 0.4).select("doc_id")
 
 
@@ -126,7 +126,7 @@ def nc_detect(t: Tables) -> DataFrame:
 
 @query("jn_theta_conflict", f"SELECT severity, count(*) AS n FROM ({_CONF}) GROUP BY severity")
 def jn_theta_conflict(t: Tables) -> DataFrame:
-    return conflicts(_numbers(t)).groupBy("severity").agg(N.alias("n"))
+    return conflicts(_numbers(t)).groupBy("severity").agg(F.count("*").alias("n"))
 
 
 @query("nc_persist", f"SELECT a, b, CASE WHEN divergence > 50 THEN 'STRONG' ELSE 'MODERATE' END AS strength, round(least(1, divergence / 200), 6)::DOUBLE AS challenge, 'Conflict: ' || a || ' vs ' || b AS claim FROM ({_CONF})")
@@ -147,15 +147,15 @@ _GATE = "SELECT m.id, d.ok, d.n, d.med, coalesce(k.n, 0) AS claims FROM missions
 @query("qm_gate", f"SELECT id, round(100.0 * ok / n, 4)::DOUBLE AS success_pct, med, claims, ok < .4 * n OR claims < 10 AS failed FROM ({_GATE})", "missions content claims")
 def qm_gate(t: Tables) -> DataFrame:
     words = t.documents.select(c("source").alias("id"), n_tokens(c("text")).alias("w"))
-    d = words.groupBy("id").agg(F.count_if(c("w") >= 100).alias("ok"), N.alias("n"), F.percentile("w", 0.5).alias("med"))
-    k = t.claims.groupBy(c("mission_id").alias("id")).agg(N.alias("claims"))
+    d = words.groupBy("id").agg(F.count_if(c("w") >= 100).alias("ok"), F.count("*").alias("n"), F.percentile("w", 0.5).alias("med"))
+    k = t.claims.groupBy(c("mission_id").alias("id")).agg(F.count("*").alias("claims"))
     return d.join(k, "id", "left").fillna(0, ["claims"]).select("id", F.round(100.0 * c("ok") / c("n"), 4).alias("success_pct"), "med", "claims", ((c("ok") < 0.4 * c("n")) | (c("claims") < 10)).alias("failed"))
 
 
 @query("qm_metrics", "SELECT d.mission_id AS id, round(d.w / d.n::DOUBLE, 6) AS coverage, round(k.hi / k.n::DOUBLE, 6) AS depth, round(k.c, 6) AS confidence FROM (SELECT mission_id, count(*) FILTER (word_count > 200) AS w, count(*) AS n FROM content GROUP BY mission_id) d LEFT JOIN (SELECT mission_id, count(*) FILTER (confidence >= .85) AS hi, count(*) AS n, avg(confidence) AS c FROM claims GROUP BY mission_id) k USING (mission_id)", "content claims")
 def qm_metrics(t: Tables) -> DataFrame:
-    d = t.documents.groupBy(c("source").alias("id")).agg((F.count_if(n_tokens(c("text")) > 200) / N).alias("coverage"))
-    k = t.claims.groupBy(c("mission_id").alias("id")).agg((F.count_if(c("confidence") >= 0.85) / N).alias("depth"), F.avg("confidence").alias("confidence"))
+    d = t.documents.groupBy(c("source").alias("id")).agg((F.count_if(n_tokens(c("text")) > 200) / F.count("*")).alias("coverage"))
+    k = t.claims.groupBy(c("mission_id").alias("id")).agg((F.count_if(c("confidence") >= 0.85) / F.count("*")).alias("depth"), F.avg("confidence").alias("confidence"))
     return d.join(k, "id", "left").select("id", *(F.round(x, 6).alias(x) for x in ("coverage", "depth", "confidence")))
 
 
@@ -192,7 +192,7 @@ def hv_post(t: Tables) -> DataFrame:
 @query("hv_final", "SELECT mission_id, count(*) AS harvested, sum(word_count)::BIGINT AS words, count(DISTINCT domain) AS hosts, round(avg(CASE WHEN word_count >= 50 THEN quality_score END), 6) AS quality, round(count(*) FILTER (word_count >= 50) / count(*)::DOUBLE, 6) AS rate FROM content GROUP BY mission_id", "content")
 def hv_final(t: Tables) -> DataFrame:
     good = c("word_count") >= 50
-    return t.content.groupBy("mission_id").agg(N.alias("harvested"), F.sum("word_count").alias("words"), F.count_distinct("domain").alias("hosts"), F.round(F.avg(F.when(good, c("quality_score"))), 6).alias("quality"), F.round(F.count_if(good) / N, 6).alias("rate"))
+    return t.content.groupBy("mission_id").agg(F.count("*").alias("harvested"), F.sum("word_count").alias("words"), F.count_distinct("domain").alias("hosts"), F.round(F.avg(F.when(good, c("quality_score"))), 6).alias("quality"), F.round(F.count_if(good) / F.count("*"), 6).alias("rate"))
 
 
 @query("hv_ckpt", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -202,7 +202,7 @@ def hv_ckpt(t: Tables) -> DataFrame:
 
 @query("pc_finish", "SELECT m.id, coalesce(sum(c.word_count), 0)::BIGINT AS words, count(c.id) AS processed FROM missions m LEFT JOIN content c ON c.mission_id = m.id GROUP BY m.id", "missions content")
 def pc_finish(t: Tables) -> DataFrame:
-    a = t.content.groupBy(c("mission_id").alias("id")).agg(F.sum("word_count").alias("words"), N.alias("processed"))
+    a = t.content.groupBy(c("mission_id").alias("id")).agg(F.sum("word_count").alias("words"), F.count("*").alias("processed"))
     return t.missions.select("id").join(a, "id", "left").fillna(0)
 
 
