@@ -1,58 +1,13 @@
-"""Reading tables and cutting lineage through the shared folder."""
+"""Reading tables; cutting lineage through the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list = []
+from ..storage import dropped, shared, written
+
+__all__ = ["dropped", "shared", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset (as in tests)."""
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        return at.rstrip("/")
-    if (at := spark.sparkContext.getCheckpointDir()) is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seamline-"))
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended; the folder goes with the cluster's own clean-up
-        pass
-
-
-def _clean() -> None:
-    while _made:
-        _remove(*_made.pop())
-
-
-atexit.register(_clean)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again: survives lost executors, has no lineage."""
-    spark = df.sparkSession
-    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Remove a table made by written() that nothing reads any more."""
-    files = df.inputFiles()
-    for item in [x for x in _made if any(x[1].split(":")[-1] in f for f in files[:1])]:
-        _remove(*item)
-        _made.remove(item)
