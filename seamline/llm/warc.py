@@ -17,7 +17,7 @@ from .frames import written
 #: Ids in an archive; nulls are spread over NULL_ARCHIVES archives before number 0.
 ARCHIVE_IDS = 1000
 NULL_ARCHIVES = 1024
-BITS = 4
+BITS = 6
 FAN_OUT = 1 << BITS
 
 
@@ -50,13 +50,16 @@ def _parents(nodes: DataFrame) -> DataFrame:
 
 
 def tree(records: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Levels of nodes (archive, place, hash), leaves first: within archives, and over the archives' roots."""
+    """Levels of nodes (archive, place, hash), leaves first: within archives, and over the archives' roots.
+
+    Each level is a small table of its own, so that an audit reads what it needs and plans stay short.
+    """
     leaf = F.sha2(F.concat_ws(":", F.lit("leaf"), "digest", "offset", "length"), 256)
     leaves = records.select("archive", "place", leaf.alias("hash"))
     size = (records.agg(F.max("place")).first()[0] or 0) + 1
     inner = [leaves]
     while size > 1:
-        inner.append(_parents(inner[-1]))
+        inner.append(written(_parents(inner[-1]), "tree"))
         size = -(-size // FAN_OUT)
     roots = inner[-1].select(F.lit(0).cast("bigint").alias("archive"), (F.col("archive") + NULL_ARCHIVES).alias("place"), "hash")
     size = (records.agg(F.max("archive")).first()[0] or 0) + NULL_ARCHIVES + 1
@@ -73,7 +76,7 @@ def _differing(ours: DataFrame, theirs: DataFrame, parents: DataFrame | None) ->
         above = parents.withColumnRenamed("place", "above")
         ours, theirs = (x.withColumn("above", F.shiftright("place", BITS)).join(above, ["archive", "above"], "left_semi") for x in (ours, theirs))
     both = ours.alias("a").join(theirs.alias("b"), ["archive", "place"], "full")
-    return both.where(~F.col("a.hash").eqNullSafe(F.col("b.hash"))).select("archive", "place")
+    return written(both.where(~F.col("a.hash").eqNullSafe(F.col("b.hash"))).select("archive", "place"), "differing")
 
 
 def damaged(ours: DataFrame, theirs: DataFrame) -> DataFrame:
@@ -82,16 +85,15 @@ def damaged(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     while len(a_in) != len(b_in):
         # The lower tree gets roots of roots, so that levels match.
         short = a_in if len(a_in) < len(b_in) else b_in
-        short.append(_parents(short[-1]))
+        short.append(written(_parents(short[-1]), "tree"))
     while len(a_out) != len(b_out):
         short = a_out if len(a_out) < len(b_out) else b_out
-        short.append(_parents(short[-1]))
+        short.append(written(_parents(short[-1]), "tree"))
     at = None
     for a, b in zip(reversed(a_out), reversed(b_out)):
         at = _differing(a, b, at)
-    roots = at.select((F.col("place") - NULL_ARCHIVES).alias("archive"), F.lit(0).cast("bigint").alias("place"))
     # The archives' roots have been compared as the lowest outer level.
-    at = roots
+    at = at.select((F.col("place") - NULL_ARCHIVES).alias("archive"), F.lit(0).cast("bigint").alias("place"))
     for a, b in list(zip(reversed(a_in), reversed(b_in)))[1:]:
         at = _differing(a, b, at)
     return at
