@@ -116,4 +116,5 @@ def llm_json(text: Column) -> Column:
     """JSON in a model's answer: the text itself, a fenced block, the first array, or the first object; else null."""
     good = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
     some = lambda p, g: F.nullif(F.regexp_extract(text, p, g), F.lit(""))
-    return F.coalesce(good(F.trim(text)), good(some(r"(?s)```(?:json)?\s*(.*?)```", 1)), good(some(r"(?s)\[.*\]", 0)), good(some(r"(?s)\{.*\}", 0)))
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.coalesce(good(bare(text)), good(bare(some(r"(?s)```(?:json)?\s*(.*?)```", 1))), good(some(r"(?s)\[.*\]", 0)), good(some(r"(?s)\{.*\}", 0)))
