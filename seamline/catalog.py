@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None, lens: str = "") -> Callable:
 
 
 #: Modules that register queries.
-PLANS = ("relational", "text", "guard", "extraction", "similarity", "validation", "routing", "retrieval", "graph", "memory", "federation", "streams")
+PLANS = ("relational", "text", "guard", "extraction", "similarity", "validation", "routing", "retrieval", "graph", "memory", "federation", "streams", "stores")
 
 
 def _load() -> None:
