@@ -337,7 +337,7 @@ def agg_latest(t: Tables) -> DataFrame:
 
 @query("win_rank", "SELECT id, mission_id, row_number() OVER (PARTITION BY mission_id ORDER BY score_total DESC, id) AS rank FROM sources", "sources")
 def win_rank(t: Tables) -> DataFrame:
-    return t.sources.select("id", "mission_id", F.row_number().over(Window.partitionBy("mission_id").orderBy(c("score_total").desc(), "id")).alias("rank"))
+    return t.sources.select("id", "mission_id", F.row_number().over(Window.partitionBy("mission_id").orderBy(c("score_total").desc(), "id")).cast("bigint").alias("rank"))
 
 
 @query("win_topk_grp", "SELECT source_tier, id, confidence FROM claims QUALIFY row_number() OVER (PARTITION BY source_tier ORDER BY confidence DESC, id) <= 5", "claims")
@@ -449,7 +449,7 @@ def set_concat_stage(t: Tables) -> DataFrame:
 
 @query("fn_str", "SELECT id, lower(claim) AS lo, length(claim) AS n, coalesce(evidence_flags || ',', '') || 'seen' AS flags FROM claims WHERE claim ILIKE 'th%'", "claims")
 def fn_str(t: Tables) -> DataFrame:
-    return t.claims.where(c("claim").ilike("th%")).select("id", F.lower("claim").alias("lo"), F.length("claim").alias("n"), F.concat_ws(",", "evidence_flags", F.lit("seen")).alias("flags"))
+    return t.claims.where(c("claim").ilike("th%")).select("id", F.lower("claim").alias("lo"), F.length("claim").cast("bigint").alias("n"), F.concat_ws(",", "evidence_flags", F.lit("seen")).alias("flags"))
 
 
 @query("fn_regex", r"SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[0-9]+', '#', 'g') AS shape FROM pages")

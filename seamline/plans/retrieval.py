@@ -27,7 +27,7 @@ FROM (SELECT *, unnest(range(CASE WHEN len(w) <= 500 THEN 1 ELSE ceil((len(w) -
 
 @query("rag_chunk", f"SELECT id, doc_id, idx, words, md5(text) AS h FROM ({_CHUNKS})")
 def rag_chunk(t: Tables) -> DataFrame:
-    return V.chunks(_docs(t)).select("id", "doc_id", "idx", "words", F.md5(c("text").cast("binary")).alias("h"))
+    return V.chunks(_docs(t)).select("id", "doc_id", c("idx").cast("bigint").alias("idx"), c("words").cast("bigint").alias("words"), F.md5(c("text").cast("binary")).alias("h"))
 
 
 @query("rag_signal", "SELECT id, CASE WHEN quality_score >= .7 OR (id * 37) % 101 >= 60 THEN 'high' WHEN quality_score < .3 AND (id * 37) % 101 < 20 THEN 'low' END AS signal FROM content", "content")
