@@ -172,6 +172,23 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("n"))
 
 
+def _most_frequent(counts: DataFrame, most: int) -> pa.Table:
+    """At most ``most`` words, all of those from some count on, by descending count: a bounded set.
+
+    The count is found in a histogram of eight bins for each doubling, so no task gathers every partition's best.
+    """
+    level = F.floor(F.log2("n") * 8)
+    bins = sorted(((r.level, r.words) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    least, held = None, 0
+    for at, words in bins:
+        held += words
+        if held > most:
+            break
+        least = at
+    found = counts.where(level >= F.lit(least)) if least is not None else counts.limit(0)
+    return found.select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+
+
 def _averaged(rows: DataFrame, n: int) -> tuple[np.ndarray, int] | None:
     """Mean parameters by tokens; FAN_IN rows at a time meet in one task or at the driver."""
 
@@ -205,8 +222,7 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, key: str = "doc_id", text: st
     texts = training.count()
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, n_types = total.n + texts, total.v + (texts > 0)
-    # A bounded set: the most frequent words.
-    hot = counts.orderBy(F.desc("n"), "word").limit(hot_words).toArrow()
+    hot = _most_frequent(counts, hot_words)
     hot_list, hot_n = hot.column("word").combine_chunks().cast(pa.binary()), hot.column("n").to_numpy()
     if hot.num_rows == 0:
         hot_list = pa.array([], pa.binary())
