@@ -151,3 +151,36 @@ def test_pipeline(spark, tmp_path):
     assert set(kept[2]) == good - {100, 101} | {None}
     assert set(kept[3]) == set(kept[2])
     assert {r.doc_id for r in corpus_pipeline.run(spark, at).select("doc_id").collect()} == set(kept[3])
+
+
+def test_near_duplicates_at_eight_tenths(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    texts = [base]
+    for changed in (1, 2, 3, 4, 6, 8, 12, 30):
+        for _ in range(6):
+            own = list(texts[rng.integers(0, len(texts))])
+            for at in rng.integers(0, len(own), changed):
+                own[at] = f"n{rng.integers(0, 10**9)}"
+            texts.append(own)
+    texts += [[f"w{x}" for x in rng.integers(0, 5000, n)] for n in (1, 3, 5, 40, 9000)] + [[], base, ["a", "b"], ["A", "b"], []]
+    docs = [(i, " ".join(x)) for i, x in enumerate(texts)] + [(900, None)]
+    sets = {i: {tuple((x or "").lower().split()[k : k + 5]) for k in range(max(1, len((x or "").split()) - 4))} for i, x in docs}
+    up = {i: i for i in sets}
+
+    def find(x):
+        return x if up[x] == x else find(up[x])
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    want = sorted(i for i in sets if find(i) == i)
+    assert 20 < len(want) < len(docs) - 20
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    frame.write.parquet(f"{tmp_path}/docs")
+    for given in (spark.read.parquet(f"{tmp_path}/docs"), frame):
+        assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, given, "").collect()) == want
