@@ -184,3 +184,21 @@ def test_near_duplicates_at_eight_tenths(spark, tmp_path):
     frame.write.parquet(f"{tmp_path}/docs")
     for given in (spark.read.parquet(f"{tmp_path}/docs"), frame):
         assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, given, "").collect()) == want
+
+
+def test_stages_judge_rows_without_ids_and_with_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    prose = lambda: " ".join(f"w{x}" for x in rng.integers(0, 5000, 60))
+    leak = "one passage of the benchmark that nobody should ever train on at all"
+    a, b, c, d, e, f = (prose() for _ in range(6))
+    docs = [(1, a), (None, a), (None, b), (None, b), (2, c), (2, d), (3, a), (3, e), (4, f), (4, f"{prose()} {leak}"), (None, f"{prose()} {leak}")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(f"{tmp_path}/docs"), str(tmp_path))
+    rows = lambda x: sorted((tuple(r) for r in x.collect()), key=repr)
+    assert rows(kept) == sorted([(1, a), (None, b), (2, c), (2, d), (3, e), (4, f), docs[9], docs[10]], key=repr)
+    kept.write.parquet(f"{tmp_path}/kept")
+    kept = corpus_pipeline.decontamination_stage(spark, spark.read.parquet(f"{tmp_path}/kept"), str(tmp_path))
+    assert rows(kept) == sorted([(1, a), (None, b), (2, c), (2, d), (3, e), (4, f)], key=repr)
