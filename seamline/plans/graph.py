@@ -9,9 +9,13 @@ from ..catalog import query
 from ..lens import Tables
 from ..operators import graph as G
 from ..operators import relational as R
+from ..storage import written
 
 c = F.col
 
+#: Sources of betweenness, as many as the reference samples.
+SOURCES = 150
+
 
 _NODES = "SELECT 'mission' AS kind, id::VARCHAR AS id FROM missions UNION ALL SELECT DISTINCT 'entity', value FROM entities WHERE confidence >= .65 UNION ALL SELECT 'claim', id::VARCHAR FROM claims WHERE confidence >= .6"
 
@@ -63,10 +67,10 @@ def kg_appears(t: Tables) -> DataFrame:
 _EDGES = "SELECT p_brand AS src, p_type AS dst, count(*)::DOUBLE AS weight FROM part GROUP BY ALL UNION ALL SELECT p_type, 'size ' || p_size, count(*)::DOUBLE FROM part WHERE p_size <= 30 GROUP BY ALL"
 
 
-def _edges(t: Tables) -> DataFrame:
-    """Brands to types to sizes; sizes are dangling."""
+def _edges(t: Tables, whole: bool = False) -> DataFrame:
+    """Brands to types to sizes; sizes are dangling. Those above 30 only in the whole graph, as the SQL has none."""
     one = lambda d, a, b: d.groupBy(a.alias("src"), b.alias("dst")).agg(F.count("*").cast("double").alias("weight"))
-    return one(t.part, c("p_brand"), c("p_type")).unionByName(one(t.part.where("p_size <= 30"), c("p_type"), F.concat(F.lit("size "), c("p_size").cast("string"))))
+    return one(t.part, c("p_brand"), c("p_type")).unionByName(one(t.part if whole else t.part.where("p_size <= 30"), c("p_type"), F.concat(F.lit("size "), c("p_size").cast("string"))))
 
 
 def _pagerank(rounds: int) -> str:
@@ -85,7 +89,11 @@ def kg_pagerank(t: Tables) -> DataFrame:
 
 @query("kg_betweenness")
 def kg_betweenness(t: Tables) -> DataFrame:
-    return G.betweenness(_edges(t), ["Brand#1", "Brand#2", "Brand#3"]).select("id", F.round("score", 6).alias("score"))
+    """Shortest paths from SOURCES vertices of the whole graph, those with the smallest hash; from all where there are no more."""
+    edges = written(_edges(t, whole=True), "edges")
+    ids = edges.select(c("src").alias("id")).unionByName(edges.select(c("dst").alias("id"))).where("id is not null").distinct()
+    sources = [r.id for r in ids.orderBy(F.xxhash64("id"), "id").limit(SOURCES).collect()]
+    return G.betweenness(edges, sources).select("id", F.round("score", 6).alias("score"))
 
 
 _PATH = f"WITH RECURSIVE e AS (SELECT src, dst FROM ({_EDGES}) UNION SELECT dst, src FROM ({_EDGES})), p(id, hops) AS (SELECT 'Brand#1', 0 UNION SELECT dst, hops + 1 FROM p JOIN e ON e.src = p.id WHERE hops < 6) SELECT id, min(hops) AS hops FROM p GROUP BY id"
@@ -172,6 +180,6 @@ def kg_ingest(t: Tables) -> DataFrame:
 @query("kg_full")
 def kg_full(t: Tables) -> DataFrame:
     """Vertices, edges and ranks of one build as counts."""
-    edges = _edges(t)
+    edges = _edges(t, whole=True)
     rank = G.pagerank(edges, 5)
     return rank.agg(F.count("*").alias("vertices"), F.round(F.sum("rank"), 6).alias("mass")).crossJoin(edges.agg(F.count("*").alias("edges")))

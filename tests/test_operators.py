@@ -190,3 +190,37 @@ def test_the_library_stands_without_training_data_operators(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 200 and not any(n.startswith('op1') for n in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_betweenness_of_the_whole_graph(spark, tmp_path):
+    import collections
+
+    from seamline.lens import Tables
+    from seamline.plans import graph as plans
+
+    rows = [(f"Brand#{i % 6 + 1}", f"TYPE {i * 7 % 5}", i * 11 % 50 + 1) for i in range(40)]
+    spark.createDataFrame(rows, "p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    near = collections.defaultdict(set)
+    for b, t, s in rows:
+        for x, y in ((b, t), (t, f"size {s}")):
+            near[x].add(y)
+            near[y].add(x)
+    assert len(near) <= 150
+    want = collections.Counter()
+    for s in near:
+        hops, paths, order = {s: 0}, collections.Counter({s: 1}), [s]
+        for v in order:
+            for w in near[v]:
+                if w not in hops:
+                    hops[w] = hops[v] + 1
+                    order.append(w)
+                if hops[w] == hops[v] + 1:
+                    paths[w] += paths[v]
+        d = collections.Counter()
+        for w in reversed(order):
+            for v in near[w]:
+                if hops[v] == hops[w] - 1:
+                    d[v] += paths[v] / paths[w] * (1 + d[w])
+        want.update({w: d[w] for w in order if w != s})
+    got = {r.id: r.score for r in plans.kg_betweenness(Tables(spark, str(tmp_path))).collect()}
+    assert got == pytest.approx({k: want[k] for k in near}, abs=1e-5)
