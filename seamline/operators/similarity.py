@@ -8,12 +8,14 @@ found in parallel rounds.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import written
+from ..storage import dropped, written
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -74,23 +76,28 @@ def cosine_pairs(weights: DataFrame, threshold: float) -> DataFrame:
     return dots.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
 
 
-def greedy_leaders(rows: DataFrame, pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
+def greedy_leaders(rows: DataFrame, pairs: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """id, leader: rows (id, rank; rank unique) in rank order, each joining the first leader it is similar to.
 
     A row becomes a leader when no similar row before it is undecided or a leader, and a member when
-    one before it is a leader; of several leaders the first takes it.
+    one before it is a leader; of several leaders the first takes it. Each round decides the first
+    undecided row at least, so rounds end; beyond ``most_rounds`` it raises.
     """
     r = rows.select("id", "rank")
     edges = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).join(r.toDF("x", "rx"), "x").join(r.toDF("y", "ry"), "y")
     # Each edge from the row before to the row behind.
     edges = written(edges.select(F.when(F.col("rx") < F.col("ry"), F.col("x")).otherwise(F.col("y")).alias("before"), F.when(F.col("rx") < F.col("ry"), F.col("y")).otherwise(F.col("x")).alias("id"), F.least("rx", "ry").alias("rank")).distinct(), "similar")
     state = written(r.select("id", F.lit(0).alias("s")), "leaders")  # 0 undecided, 1 leader, 2 member
-    for _ in range(most_rounds):
+    rounds = 0
+    while not state.where("s = 0").isEmpty():
+        if rounds == most_rounds:
+            raise RuntimeError(f"leaders not found in {most_rounds} rounds")
+        rounds += 1
         near = edges.join(state.toDF("before", "sb"), "before").groupBy("id").agg(F.max((F.col("sb") == 1).cast("int")).alias("lead"), F.max((F.col("sb") == 0).cast("int")).alias("wait"))
         new = F.when(F.col("s") != 0, F.col("s")).when(F.col("lead") == 1, 2).when(F.col("wait") == 1, 0).otherwise(1)
-        state = written(state.join(near, "id", "left").fillna(0, ["lead", "wait"]).select("id", new.alias("s")), "leaders")
-        if state.where("s = 0").isEmpty():
-            break
+        before = state
+        state = written(before.join(near, "id", "left").fillna(0, ["lead", "wait"]).select("id", new.alias("s")), "leaders")
+        dropped(before)
     heads = edges.join(state.where("s = 1").select(F.col("id").alias("before")), "before").groupBy("id").agg(F.min_by("before", "rank").alias("leader"))
     return state.join(heads, "id", "left").select("id", F.when(F.col("s") == 1, F.col("id")).otherwise(F.col("leader")).alias("leader"))
 
@@ -126,6 +133,43 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel(" ".join(sorted((x or "").split())), " ".join(sorted((y or "").split()))) for x, y in zip(a, b)])
 
 
+@F.pandas_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("grams", T.ArrayType(T.StringType()))]))
+def _grams(a: pd.Series) -> pd.DataFrame:
+    """Length of the text with its words sorted, and its character bigrams from end to end, repeated ones numbered."""
+    lengths, found = [], []
+    for x in a:
+        text = " ".join(sorted((x or "").split()))
+        padded, seen, own = f"\x02{text}\x03", Counter(), []
+        for gram in map("".join, zip(padded, padded[1:])):
+            seen[gram] += 1
+            own.append(f"{gram}{seen[gram]}")
+        lengths.append(len(text))
+        found.append(own)
+    return pd.DataFrame({"n": lengths, "grams": found})
+
+
+def fuzzy_pairs(names: DataFrame, least: float, block: str) -> DataFrame:
+    """block, a < b, ratio: distinct values of a block (block, value) whose token_sort_ratio is ``least`` or more.
+
+    With a longest common subsequence of L, texts of m and n characters share 3 L - m - n + 1 bigrams or
+    more, so at a ratio of r percent (L = r (m + n) / 200) at least (m + n) (1.5 r / 100 - 1) + 1, and n is
+    m r / (200 - r) or more. Pairs therefore share one of the rarest bigrams looked up here; none is lost.
+    """
+    share = least / 100
+    if share <= 2 / 3:
+        raise ValueError("bigrams bound ratios above 66.7 only")
+    rows = names.select(block, "value").where(F.col("value").isNotNull()).distinct().withColumn("g", _grams("value")).select(block, "value", "g.n", "g.grams")
+    flat = rows.select(block, "value", "n", F.explode("grams").alias("gram"))
+    rank = flat.groupBy(block, "gram").agg(F.count("*").alias("df"))
+    order = Window.partitionBy(block, "value").orderBy("df", "gram")
+    shared = F.ceil(F.col("n") * (1 + share / (2 - share)) * (1.5 * share - 1) + 1 - 1e-6)
+    first = flat.join(rank, [block, "gram"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") + 2 - shared)
+    left = first.select(block, "gram", F.col("value").alias("a"), F.col("n").alias("m"))
+    right = first.select(block, "gram", F.col("value").alias("b"), "n")
+    near = left.join(right, [block, "gram"]).where((F.col("a") < F.col("b")) & (F.least("m", "n") + 1e-6 >= F.greatest("m", "n") * (share / (2 - share))))
+    return near.select(block, "a", "b").distinct().withColumn("ratio", token_sort_ratio("a", "b")).where(F.col("ratio") >= least)
+
+
 def _set_ratio(a: str, b: str) -> float:
     x, y = set(a.split()), set(b.split())
     both, left, right = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))

@@ -99,22 +99,15 @@ def cl_jaccard(t: Tables) -> DataFrame:
     return S.greedy_leaders(_ranked(t), S.jaccard_pairs(sets, 0.5, "mission_id"))
 
 
-def _fuzzy(t: Tables) -> DataFrame:
-    """Distinct values of a type that share a word, with their ratio."""
-    v = t.part.select(F.split("p_type", " ")[0].alias("entity_type"), c("p_name").alias("value")).distinct()
-    w = v.select("entity_type", "value", F.explode(F.array_distinct(F.split(F.lower("value"), " "))).alias("w"))
-    n = w.groupBy("entity_type", "w").agg(F.count("*").alias("df"))
-    # Of two names that share a word one of the three rarest of each is looked up.
-    w = R.top_per_group(w.join(n, ["entity_type", "w"]), ["entity_type", "value"], [c("df"), c("w")], 3)
-    a, b = w.select("entity_type", "w", c("value").alias("a")), w.select("entity_type", "w", c("value").alias("b"))
-    pairs = a.join(b, ["entity_type", "w"]).where("a < b").select("entity_type", "a", "b").distinct()
-    return pairs.withColumn("ratio", S.token_sort_ratio("a", "b"))
+def _fuzzy(t: Tables, least: float) -> DataFrame:
+    """Distinct values of a type with a ratio of ``least`` or more."""
+    return S.fuzzy_pairs(t.part.select(F.split("p_type", " ")[0].alias("entity_type"), c("p_name").alias("value")), least, "entity_type")
 
 
 @query("dd_fuzzy_ent")
 def dd_fuzzy_ent(t: Tables) -> DataFrame:
     """Each value's canonical form: the first of its type that it is 85 percent like."""
-    near = _fuzzy(t).where("ratio >= 85")
+    near = _fuzzy(t, 85)
     name = lambda x: F.concat_ws("|", "entity_type", x)
     rows = t.part.select(F.split("p_type", " ")[0].alias("entity_type"), c("p_name").alias("v")).distinct().select(name("v").alias("id"))
     return S.greedy_leaders(rows.select("id", c("id").alias("rank")), near.select(name("a").alias("a"), name("b").alias("b")))
@@ -123,7 +116,7 @@ def dd_fuzzy_ent(t: Tables) -> DataFrame:
 @query("cl_ent_hdbscan")
 def cl_ent_hdbscan(t: Tables) -> DataFrame:
     """Substitute for density clustering of names: greedy groups at 82 percent, with their mean confidence."""
-    near = _fuzzy(t).where("ratio > 82").groupBy("a", "b").agg(F.max("ratio").alias("ratio"))
+    near = _fuzzy(t, 82).where("ratio > 82").groupBy("a", "b").agg(F.max("ratio").alias("ratio"))
     led = S.greedy_leaders(t.part.select(c("p_name").alias("id"), c("p_name").alias("rank")).distinct(), near)
     return led.groupBy("leader").agg(F.count("*").alias("aliases"))
 

@@ -224,3 +224,37 @@ def test_betweenness_of_the_whole_graph(spark, tmp_path):
         want.update({w: d[w] for w in order if w != s})
     got = {r.id: r.score for r in plans.kg_betweenness(Tables(spark, str(tmp_path))).collect()}
     assert got == pytest.approx({k: want[k] for k in near}, abs=1e-5)
+
+
+def test_fuzzy_pairs_lose_none(spark):
+    rng = np.random.default_rng(6)
+    names = {"color", "colour", "", "a", "ab", "aaaaaaa", "aaaaaaaa", "organisation", "organization", "big organisation", "organization bag"}
+    for _ in range(25):
+        own = "".join(rng.choice(list("abcd "), rng.integers(3, 25)))
+        names.add(own)
+        for _ in range(4):
+            at = int(rng.integers(0, len(own)))
+            own = own[:at] + str(rng.choice(list("abxy "))) + own[at + int(rng.integers(0, 2)) :]
+            names.add(own)
+    sort = lambda x: " ".join(sorted(x.split()))
+    df = spark.createDataFrame([(k, x) for k in ("t", "u") for x in names if k == "t" or len(x) > 6], "kind string, value string")
+    for least in (82, 85):
+        want = {(k, a, b) for k in ("t", "u") for a in names for b in names if a < b and (k == "t" or min(len(a), len(b)) > 6) and similarity.indel(sort(a), sort(b)) >= least}
+        assert len(want) > 40 and ("t", "color", "colour") in want
+        assert {(r.kind, r.a, r.b) for r in similarity.fuzzy_pairs(df, least, "kind").collect()} == want
+
+
+def test_fuzzy_entities_share_no_word(spark, tmp_path):
+    from seamline.lens import Tables
+    from seamline.plans import similarity as plans
+
+    spark.createDataFrame([("COLOR X", "color"), ("COLOR X", "colour"), ("COLOR X", "stone")], "p_type string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r.id: r.leader for r in plans.dd_fuzzy_ent(Tables(spark, str(tmp_path))).collect()} == {"COLOR|color": "COLOR|color", "COLOR|colour": "COLOR|color", "COLOR|stone": "COLOR|stone"}
+
+
+def test_greedy_leaders_leave_nothing_undecided(spark):
+    rows = spark.createDataFrame([(i, i) for i in range(6)], "id bigint, rank bigint")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(5)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError):
+        similarity.greedy_leaders(rows, pairs, 2).collect()
+    assert {r.id: r.leader for r in similarity.greedy_leaders(rows, pairs).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
