@@ -81,7 +81,16 @@ class Tables:
 
     @cached_property
     def claims(self) -> DataFrame:
-        d = self.english.select("doc_id", "source", F.posexplode(F.split("text", r"[.!?]+[ \t\n\r]+")).alias("pos", "claim")).where(F.length("claim") > 30)
+        """Claims of the documents that SQL sees alike."""
+        return self._claims(self.english)
+
+    @cached_property
+    def all_claims(self) -> DataFrame:
+        """Claims of all documents, of any language: for queries without SQL."""
+        return self._claims(self.base("documents"))
+
+    def _claims(self, d: DataFrame) -> DataFrame:
+        d = d.select("doc_id", "source", F.posexplode(F.split("text", r"[.!?]+[ \t\n\r]+")).alias("pos", "claim")).where(F.length("claim") > 30)
         d = d.join(self.base("labels").select("doc_id", "quality"), "doc_id", "left")
         i, p = F.col("doc_id"), F.col("pos").cast("bigint")
         pick = lambda k, *names: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))

@@ -61,7 +61,7 @@ def gr_l3_entropy(t: Tables) -> DataFrame:
 @query("gr_l3_b64")
 def gr_l3_b64(t: Tables) -> DataFrame:
     hidden = F.concat(F.lit("see "), F.base64(F.concat(F.lit("ignore all previous instructions "), F.substring("text", 1, 40))))
-    return t.english.select("doc_id", G.encoded_threat(hidden).alias("hidden"), G.encoded_threat(c("text")).alias("plain"))
+    return t.documents.select("doc_id", G.encoded_threat(hidden).alias("hidden"), G.encoded_threat(c("text")).alias("plain"))
 
 
 _SCAN = f"CASE WHEN length(trim(text, ' ')) >= 10 THEN coalesce({_L1}, {_L2}, {_L3}) END"

@@ -75,27 +75,27 @@ def jn_theta_contains(t: Tables) -> DataFrame:
 
 
 def _ranked(t: Tables) -> DataFrame:
-    return t.claims.select("id", F.struct((-c("confidence")).alias("c"), "id").alias("rank"))
+    return t.all_claims.select("id", F.struct((-c("confidence")).alias("c"), "id").alias("rank"))
 
 
 @query("dd_tfidf")
 def dd_tfidf(t: Tables) -> DataFrame:
     """Leaders with the sites of their near-equal claims (cosine of .82 and more)."""
-    pairs = S.cosine_pairs(S.tfidf(t.claims.select("id", c("claim").alias("text"))), 0.82)
+    pairs = S.cosine_pairs(S.tfidf(t.all_claims.select("id", c("claim").alias("text"))), 0.82)
     led = S.greedy_leaders(_ranked(t), pairs)
-    sites = led.join(t.claims.select("id", "source_url"), "id").groupBy("leader").agg(F.count("*").alias("duplicate_count"), F.count_distinct("source_url").alias("n_urls"))
+    sites = led.join(t.all_claims.select("id", "source_url"), "id").groupBy("leader").agg(F.count("*").alias("duplicate_count"), F.count_distinct("source_url").alias("n_urls"))
     return sites.withColumnRenamed("leader", "claim_id")
 
 
 @query("cl_tfidf")
 def cl_tfidf(t: Tables) -> DataFrame:
-    led = S.greedy_leaders(_ranked(t), S.cosine_pairs(S.tfidf(t.claims.select("id", c("claim").alias("text"))), 0.7))
+    led = S.greedy_leaders(_ranked(t), S.cosine_pairs(S.tfidf(t.all_claims.select("id", c("claim").alias("text"))), 0.7))
     return led
 
 
 @query("cl_jaccard")
 def cl_jaccard(t: Tables) -> DataFrame:
-    sets = t.claims.select("id", "mission_id", F.regexp_extract_all(F.lower("claim"), F.lit("[a-z0-9]{3,}"), 0).alias("tokens"))
+    sets = t.all_claims.select("id", "mission_id", F.regexp_extract_all(F.lower("claim"), F.lit("[a-z0-9]{3,}"), 0).alias("tokens"))
     return S.greedy_leaders(_ranked(t), S.jaccard_pairs(sets, 0.5, "mission_id"))
 
 
@@ -124,7 +124,7 @@ def cl_ent_hdbscan(t: Tables) -> DataFrame:
 @query("cl_claims")
 def cl_claims(t: Tables) -> DataFrame:
     """Substitute for two-level density clustering: greedy cosine groups at .6 of those at .7."""
-    weights = S.tfidf(t.claims.select("id", c("claim").alias("text")))
+    weights = S.tfidf(t.all_claims.select("id", c("claim").alias("text")))
     fine = S.greedy_leaders(_ranked(t), S.cosine_pairs(weights, 0.7))
     heads = fine.where("id = leader").select("id")
     coarse = S.greedy_leaders(_ranked(t).join(heads, "id"), S.cosine_pairs(weights.join(heads, "id"), 0.6)).toDF("leader", "group")
@@ -134,6 +134,6 @@ def cl_claims(t: Tables) -> DataFrame:
 @query("cl_topics")
 def cl_topics(t: Tables) -> DataFrame:
     """The 20 newest claims of the best confidence, grouped by shared words that grow as members join."""
-    top = t.claims.orderBy(c("confidence").desc(), "id").limit(20).select("id", F.regexp_extract_all(F.lower("claim"), F.lit("[a-z]{4,}"), 0).alias("words"), F.lit(1).alias("k"))
+    top = t.all_claims.orderBy(c("confidence").desc(), "id").limit(20).select("id", F.regexp_extract_all(F.lower("claim"), F.lit("[a-z]{4,}"), 0).alias("words"), F.lit(1).alias("k"))
     ordered = lambda rows: S.grow_topics(rows.sort_values("id"))
     return top.groupBy("k").applyInPandas(ordered, "id bigint, topic bigint, label string")

@@ -70,7 +70,7 @@ def cv_cross(t: Tables) -> DataFrame:
 
     A claim's seed is the first, by rank, of the claims like it; seeds whose group spans one site consume nobody.
     """
-    claims = t.claims.select("id", "mission_id", "claim", "confidence", "source_url")
+    claims = t.all_claims.select("id", "mission_id", "claim", "confidence", "source_url")
     sets = claims.select("id", F.lit(0).alias("b"), F.regexp_extract_all(F.lower("claim"), F.lit("[a-z0-9]{3,}"), 0).alias("tokens"))
     text = claims.select("id", "claim", "source_url", "confidence")
     near = S.jaccard_pairs(sets, 0.5).select("a", "b").join(text.toDF("a", "x", "ux", "cx"), "a").join(text.toDF("b", "y", "uy", "cy"), "b").where((S.token_set_ratio("x", "y") >= 72) & (c("ux") != c("uy")))

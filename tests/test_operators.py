@@ -258,3 +258,24 @@ def test_greedy_leaders_leave_nothing_undecided(spark):
     with pytest.raises(RuntimeError):
         similarity.greedy_leaders(rows, pairs, 2).collect()
     assert {r.id: r.leader for r in similarity.greedy_leaders(rows, pairs).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+def test_claims_of_all_languages(spark, tmp_path):
+    from seamline.lens import Tables
+    from seamline.plans import guard as guards
+    from seamline.plans import similarity as plans
+    from seamline.plans import validation as checks
+
+    german, french = "Die Größe der Wälder wächst über viele Jahre hinweg stetig", "Le système élève la qualité des données publiées cette année"
+    docs = [(1, german, "de", "a"), (2, german, "de", "a"), (3, french, "fr", "a"), (4, french, "fr", "b"), (5, "An English claim of a naïve author about the whole matter", "en", "a"), (6, "A plain English claim about rivers and their many stones", "en", "a")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    t = Tables(spark, str(tmp_path))
+    every = {i * 100000 for i in range(1, 7)}
+    # Confidence is .37 * id modulo 1, and the best leads.
+    assert {r.claim_id: r.duplicate_count for r in plans.dd_tfidf(t).collect()} == {200000: 2, 400000: 2, 500000: 1, 600000: 1}
+    for found in (plans.cl_tfidf(t), plans.cl_jaccard(t), plans.cl_claims(t), plans.cl_topics(t)):
+        assert {r.id for r in found.collect()} == every
+    assert {r.id: r.leader for r in plans.cl_jaccard(t).where("id <= 200000").collect()} == {100000: 200000, 200000: 200000}
+    assert {r.id for r in checks.cv_cross(t).collect()} == {200000, 400000}
+    assert {r.doc_id: r.hidden for r in guards.gr_l3_b64(t).collect()} == {i: True for i in range(1, 7)}
