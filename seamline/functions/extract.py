@@ -38,20 +38,20 @@ CITATION_STOP = ("the", "a", "an", "of", "in", "on", "at", "to", "for", "and", "
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), group)
+    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), group)
 
 
-def entities(text: Column, most: int = 50_000) -> Column:
-    """Distinct struct<entity_type, value> in the first ``most`` characters, values of 2 to 200 characters."""
-    sample = F.substring(text, 1, most)
+def entities(text: Column, most: int | None = None) -> Column:
+    """Distinct struct<entity_type, value>, values of 2 to 200 characters; with ``most`` of the first so many characters only."""
+    sample = text if most is None else F.substring(text, 1, most)
     one = lambda kind, p, g: F.transform(_all(sample, p, g), lambda v: F.struct(F.lit(kind).alias("entity_type"), F.regexp_replace(v, r"^\s+|\s+$", "").alias("value")))
     found = F.concat(one("PERSON", PERSON, 1), one("ORG", ORG, 1), one("MONEY", MONEY, 1), one("PERCENT", PERCENT, 1))
     return F.array_distinct(F.filter(found, lambda x: F.length(x["value"]).between(2, 200)))
 
 
-def facts(text: Column, most: int = 200_000) -> Column:
-    """Distinct struct<value, unit>: amounts with units, grouped numbers (unit count), user metrics."""
-    sample = F.substring(text, 1, most)
+def facts(text: Column, most: int | None = None) -> Column:
+    """Distinct struct<value, unit>: amounts with units, grouped numbers (unit count), user metrics; ``most`` as in entities()."""
+    sample = text if most is None else F.substring(text, 1, most)
     number = lambda v: F.regexp_replace(v, "[, ]", "").try_cast("double")
     pair = lambda p: F.zip_with(_all(sample, p, 1), _all(sample, p, 2), lambda v, u: F.struct(number(v).alias("value"), F.trim(F.lower(u)).alias("unit")))
     counts = F.transform(_all(sample, GROUPED, 1), lambda v: F.struct(number(v).alias("value"), F.lit("count").alias("unit")))

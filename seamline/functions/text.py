@@ -1,7 +1,7 @@
 """Text features and scorers as Column expressions.
 
-Patterns use (?U), so that words and boundaries follow Unicode; on ASCII text they agree
-with engines that know ASCII classes only. Null texts count as empty.
+Patterns use (?U), so that words and boundaries follow Unicode. Null texts count as empty.
+Texts are read whole; a parameter bounds the sample where a caller wants one.
 """
 
 from __future__ import annotations
@@ -129,9 +129,9 @@ def harvest_quality(text: Column) -> Column:
     return F.when(text == "", 0.0).otherwise(F.round(score, 4))
 
 
-def guess_language(text: Column) -> Column:
-    """By marker substrings in the first 500 characters; under 10 words unknown."""
-    sample = F.lower(F.substring(text, 1, 500))
+def guess_language(text: Column, most: int | None = None) -> Column:
+    """By marker substrings (with ``most``: in the first so many characters); under 10 words unknown."""
+    sample = F.lower(text if most is None else F.substring(text, 1, most))
     out = F.when(text.isNull() | (_tokens(text) < 10), "unknown")
     for name, marks in LANGUAGE_MARKS:
         out = out.when(has_any(sample, marks), name)
@@ -175,9 +175,10 @@ def keywords(text: Column) -> Column:
     return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{3,}"), 0)), F.array(*map(F.lit, KEYWORD_STOP)))
 
 
-def document_type(title: Column, domain: Column, text: Column) -> Column:
+def document_type(title: Column, domain: Column, text: Column, most: int | None = None) -> Column:
+    """The first type with a mark in title, domain or text (with ``most``: its first so many characters)."""
     blank = lambda x: F.lower(F.coalesce(x, F.lit("")))
-    combined = F.concat_ws(" ", blank(title), blank(domain), blank(F.substring(text, 1, 500)))
+    combined = F.concat_ws(" ", blank(title), blank(domain), blank(text if most is None else F.substring(text, 1, most)))
     out = F
     for name, where, words in DOC_TYPES:
         out = out.when(has_any(blank(domain) if where == "domain" else combined, words), name)
@@ -225,10 +226,11 @@ def claim_hash(text: Column) -> Column:
     return F.substring(F.sha2(F.regexp_replace(F.trim(F.lower(text)), r"(?U)\s+", " "), 256), 1, 32)
 
 
-def html_text(html: Column, most: int = 8000) -> Column:
-    """Text of a page: without scripts, styles and tags, single blanks, cut at ``most`` characters."""
+def html_text(html: Column, most: int | None = None) -> Column:
+    """Text of a page: without scripts, styles and tags, single blanks; with ``most`` cut at so many characters."""
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", " "), r"(?is)<style[^>]*>.*?</style>", " "), r"<[^>]+>", " ")
-    return F.substring(F.trim(F.regexp_replace(bare, r"\s+", " ")), 1, most)
+    text = F.trim(F.regexp_replace(bare, r"\s+", " "))
+    return text if most is None else F.substring(text, 1, most)
 
 
 def html_text_plain(html: Column) -> Column:

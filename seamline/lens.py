@@ -28,10 +28,6 @@ def n_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(TOKEN)).cast("bigint")
 
 
-def is_ascii(text: Column) -> Column:
-    return ~text.rlike(r"[^\x00-\x7F]")
-
-
 class Tables:
     """Base and model tables of one data folder."""
 
@@ -64,11 +60,6 @@ class Tables:
             F.col("text").alias("raw_text"), F.col("lang").alias("language"), n_tokens(F.col("text")).alias("word_count"), ((F.col("doc_id") * 13) % 100 / 100.0).alias("quality_score"),
         )
 
-    @cached_property
-    def english(self) -> DataFrame:
-        """Documents whose text is English and ASCII."""
-        return self.base("documents").where((F.col("lang") == "en") & is_ascii(F.col("text")))
-
     @cached_property
     def sources(self) -> DataFrame:
         p = self.base("pages")
@@ -81,15 +72,8 @@ class Tables:
 
     @cached_property
     def claims(self) -> DataFrame:
-        """Claims of the documents that SQL sees alike."""
-        return self._claims(self.english)
-
-    @cached_property
-    def all_claims(self) -> DataFrame:
-        """Claims of all documents, of any language: for queries without SQL."""
-        return self._claims(self.base("documents"))
-
-    def _claims(self, d: DataFrame) -> DataFrame:
+        """Sentences of more than 30 characters of all documents, of any language."""
+        d = self.base("documents")
         d = d.select("doc_id", "source", F.posexplode(F.split("text", r"[.!?]+[ \t\n\r]+")).alias("pos", "claim")).where(F.length("claim") > 30)
         d = d.join(self.base("labels").select("doc_id", "quality"), "doc_id", "left")
         i, p = F.col("doc_id"), F.col("pos").cast("bigint")
@@ -126,23 +110,24 @@ class Tables:
 _TS = "TIMESTAMP '{}'"
 
 LENS_SQL = {
-    "english": r"SELECT * FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')",
     "missions": "SELECT source AS id, 'topic ' || source AS topic, CASE WHEN k % 7 = 3 THEN 'scout' WHEN k % 7 = 5 THEN 'error' ELSE 'done' END AS status, TIMESTAMP '2024-01-01 00:00:00' + to_hours((k * 30)::INTEGER) AS created_at, n AS sources_found, ((k * 17) % 100) / 100.0::DOUBLE AS quality_confidence FROM (SELECT source, regexp_extract(source, '(\\d+)$', 1)::BIGINT AS k, count(*) AS n FROM documents GROUP BY source)".replace("\\\\", "\\"),
     "content": r"SELECT doc_id AS id, source AS mission_id, 'http://' || source || '.example.com/' || doc_id AS url, source || '.example.com' AS domain, 'doc ' || doc_id AS title, text AS raw_text, lang AS language, len(regexp_extract_all(text, '[^ \t\n\r]+')) AS word_count, ((doc_id * 13) % 100) / 100.0::DOUBLE AS quality_score FROM documents",
     "sources": r"SELECT page_id AS id, 'src' || (page_id % 20) AS mission_id, url, nullif(lower(regexp_extract(url, '^[a-zA-Z]+://(?:www\.)?([^/:?#]+)', 1)), '') AS domain, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, (page_id * 37) % 101 AS score_total, page_id % 26 AS score_relevance, CASE WHEN page_id % 3 <> 0 THEN (page_id * 7) % 100 END AS score_accessibility, ['pending', 'scouted', 'done', 'failed'][page_id % 4 + 1] AS status, ['ddg', 'rss', 'api', 'arxiv', 'seed'][page_id % 5 + 1] AS source_type FROM pages",
-    "claims": r"SELECT doc_id * 100000 + p AS id, source AS mission_id, claim, 'http://' || source || '.example.com/' || doc_id AS source_url, ['fact', 'statistic', 'quote', 'FALSIFICATION'][(doc_id + p) % 4 + 1] AS claim_type, ((doc_id * 37 + p * 11) % 100) / 100.0::DOUBLE AS confidence, ((doc_id * 17 + p * 7) % 100) / 100.0::DOUBLE AS quality_score, ['op_a', 'op_b', 'op_c'][doc_id % 3 + 1] AS source_operation, ['T1', 'T2', 'T3', 'T4'][(doc_id * 3 + p) % 4 + 1] AS source_tier, CASE (doc_id + p) % 5 WHEN 0 THEN 'cross_validated:3domains' WHEN 1 THEN 'flagged' END AS evidence_flags, quality = 0 AS is_garbage, TIMESTAMP '2023-12-01 00:00:00' + to_days((doc_id % 90)::INTEGER) AS extracted_at FROM (SELECT doc_id, source, unnest(parts) AS claim, unnest(range(len(parts))) AS p FROM (SELECT doc_id, source, string_split_regex(text, '[.!?]+[ \t\n\r]+') AS parts FROM english)) LEFT JOIN (SELECT doc_id, quality FROM labels) USING (doc_id) WHERE length(claim) > 30",
+    "claims": r"SELECT doc_id * 100000 + p AS id, source AS mission_id, claim, 'http://' || source || '.example.com/' || doc_id AS source_url, ['fact', 'statistic', 'quote', 'FALSIFICATION'][(doc_id + p) % 4 + 1] AS claim_type, ((doc_id * 37 + p * 11) % 100) / 100.0::DOUBLE AS confidence, ((doc_id * 17 + p * 7) % 100) / 100.0::DOUBLE AS quality_score, ['op_a', 'op_b', 'op_c'][doc_id % 3 + 1] AS source_operation, ['T1', 'T2', 'T3', 'T4'][(doc_id * 3 + p) % 4 + 1] AS source_tier, CASE (doc_id + p) % 5 WHEN 0 THEN 'cross_validated:3domains' WHEN 1 THEN 'flagged' END AS evidence_flags, quality = 0 AS is_garbage, TIMESTAMP '2023-12-01 00:00:00' + to_days((doc_id % 90)::INTEGER) AS extracted_at FROM (SELECT doc_id, source, unnest(parts) AS claim, unnest(range(len(parts))) AS p FROM (SELECT doc_id, source, string_split_regex(text, '[.!?]+[ \t\n\r]+') AS parts FROM documents)) LEFT JOIN (SELECT doc_id, quality FROM labels) USING (doc_id) WHERE length(claim) > 30",
     "entities": "SELECT l_orderkey * 10 + l_linenumber AS id, o_orderkey AS mission_id, p_brand AS value, split_part(p_type, ' ', 1) AS entity_type, 1 - l_discount AS confidence FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey",
     "facts": "SELECT l_orderkey * 10 + l_linenumber AS id, round(l_quantity, 4) AS value, l_returnflag AS unit, 's' || l_suppkey || '.example.com' AS domain FROM lineitem",
     "logs": "SELECT event_id AS id, user_id AS mission_id, event_type AS phase, ts, props AS data, value FROM events",
     "feedback": "SELECT doc_id AS claim_id, CASE WHEN quality = 1 THEN 1 ELSE -1 END AS rating, source AS source_operation, 'T' || (doc_id % 4 + 1) AS source_tier FROM labels JOIN documents USING (doc_id)",
 }
 
-_NEEDS = {"claims": ("english",)}
-
-
 def with_lens(body: str, *names: str) -> str:
     """``body`` behind the model tables it uses."""
-    wanted: list[str] = []
-    for n in names:
-        wanted += [x for x in (*_NEEDS.get(n, ()), n) if x not in wanted]
-    return (f"WITH {', '.join(f'{n} AS ({LENS_SQL[n]})' for n in wanted)} " if wanted else "") + body
+    return (f"WITH {', '.join(f'{n} AS ({LENS_SQL[n]})' for n in names)} " if names else "") + body
+
+
+def marked(text: str) -> str:
+    """SQL: ``text`` with an underscore for each letter beyond ASCII.
+
+    RE2 takes such letters for no part of a word; an underscore is one, and no pattern here matches it as a letter.
+    """
+    return rf"regexp_replace({text}, '[^\P{{L}}\x00-\x7F]', '_', 'g')"

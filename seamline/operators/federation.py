@@ -25,21 +25,17 @@ def contribute(rows: DataFrame, least: float = 0.7) -> DataFrame:
 def vote(claims: DataFrame, votes: DataFrame) -> DataFrame:
     """claim, network, confirms, contradicts: each voter's latest vote, applied in order of time.
 
-    claims: claim, owner, base; votes: claim, voter, id (order), confirm. A confirmation sets the value to
-    at most 1 and base + .03 for each confirmation so far, a contradiction takes .1 off, down to 0; owners
-    don't vote. What moves for a claim is one (order, vote) pair for each voter.
+    claims: claim, owner, base; votes: claim, voter, id (order, unique), confirm. A confirmation sets the value
+    to at most 1 and base + .03 for each confirmation so far, a contradiction takes .1 off, down to 0; owners
+    don't vote. So what counts is how many confirm, and how many contradict after the last of these: two
+    counts, and no claim's votes are gathered.
     """
-    last = votes.join(claims.select("claim", "owner"), "claim").where("voter <> owner").groupBy("claim", "voter").agg(F.max(F.struct("id", "confirm")).alias("v"))
-    lists = last.groupBy("claim").agg(F.array_sort(F.collect_list("v")).alias("vs"))
-    start = lambda base: F.struct(base.alias("net"), F.lit(0).alias("k"))
-
-    def step(s: Column, v: Column) -> Column:
-        k = s["k"] + F.when(v["confirm"], 1).otherwise(0)
-        return F.struct(F.when(v["confirm"], F.least(F.lit(1.0), c("base") + 0.03 * k)).otherwise(F.greatest(F.lit(0.0), s["net"] - 0.1)).alias("net"), k.alias("k"))
-
-    both = claims.join(lists, "claim", "left").withColumn("vs", F.coalesce("vs", F.array().cast("array<struct<id:bigint,confirm:boolean>>")))
-    end = both.withColumn("s", F.aggregate("vs", start(c("base")), step))
-    return end.select("claim", F.round("s.net", 6).alias("network"), c("s.k").cast("bigint").alias("confirms"), (F.size("vs") - c("s.k")).cast("bigint").alias("contradicts"))
+    last = votes.join(claims.select("claim", "owner"), "claim").where("voter <> owner").groupBy("claim", "voter").agg(F.max(F.struct("id", "confirm")).alias("v")).select("claim", "v.id", "v.confirm")
+    sums = last.groupBy("claim").agg(F.count_if("confirm").alias("confirms"), F.count_if(~c("confirm")).alias("contradicts"), F.max(F.when(c("confirm"), c("id"))).alias("upto"))
+    after = last.where("not confirm").join(sums.select("claim", "upto"), "claim").where("upto is null or id > upto").groupBy("claim").agg(F.count("*").alias("after"))
+    all_ = claims.join(sums, "claim", "left").join(after, "claim", "left").fillna(0, ["confirms", "contradicts", "after"])
+    top = F.when(c("confirms") > 0, F.least(F.lit(1.0), c("base") + 0.03 * c("confirms"))).otherwise(c("base"))
+    return all_.select("claim", F.round(F.greatest(F.lit(0.0), top - 0.1 * c("after")), 6).alias("network"), "confirms", "contradicts")
 
 
 def brand_score(facts: Column, confidence: Column, signals: Column) -> Column:

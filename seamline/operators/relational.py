@@ -22,6 +22,13 @@ def contains_either_way(a: Column, b: Column) -> Column:
     return F.contains(F.lower(a), F.lower(b)) | F.contains(F.lower(b), F.lower(a))
 
 
+def proper_prefixes(df: DataFrame, column: str) -> DataFrame:
+    """A row for each prefix of ``column`` that is shorter than it and not empty."""
+    text = F.col(column)
+    cuts = F.when(F.length(text) > 1, F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return df.withColumn("__cut", F.explode(cuts)).withColumn(column, F.substring(text, F.lit(1), F.col("__cut"))).drop("__cut")
+
+
 def relaxing(df: DataFrame, strict: Column, order: Sequence[Column], strict_limit: int, relaxed_limit: int) -> DataFrame:
     """The best rows that pass ``strict``; where none does, the best of all."""
     best = df.where(strict).orderBy(*order).limit(strict_limit)

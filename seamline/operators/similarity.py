@@ -44,6 +44,37 @@ def jaccard_pairs(sets: DataFrame, threshold: float, block: str | None = None) -
     return both.select("a", "b", (F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def overlaps(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """a, b, n: rows of ``left`` and ``right`` (id, words) that share n distinct words, ``least`` or more.
+
+    Of any ``least`` shared words one is not among a left row's least - 1 most frequent ones, so rows meet on
+    the others; the words themselves are compared then.
+    """
+    left, right = (d.select("id", F.array_distinct("words").alias("words")).where(F.size("words") >= least) for d in (left, right))
+    flat = right.select(F.col("id").alias("b"), F.explode("words").alias("word"))
+    df = flat.groupBy("word").agg(F.count("*").alias("df"))
+    own = left.select(F.col("id").alias("a"), F.size("words").alias("n"), F.explode("words").alias("word")).join(df, "word")
+    order = Window.partitionBy("a").orderBy(F.desc("df"), "word")
+    # Words that the right side lacks are gone: what is left must still hold ``least``.
+    rare = own.withColumn("k", F.row_number().over(order)).where(F.col("k") >= least).select("a", "word")
+    near = rare.join(flat, "word").select("a", "b").distinct()
+    both = near.join(left.toDF("a", "x"), "a").join(right.toDF("b", "y"), "b")
+    return both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("bigint").alias("n")).where(F.col("n") >= least)
+
+
+def containing(names: DataFrame, texts: DataFrame, group: str, size: int) -> DataFrame:
+    """group, name, id: texts (group, id, text) that contain a name (group, name) of theirs, as a part of a word too.
+
+    Names are of ``size`` or more letters a-z. They meet the distinct words of a group on their first ``size``
+    letters and the runs of so many letters in a word; texts are looked up by word.
+    """
+    words = texts.select(group, "id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"[a-z]{{{size},}}"), 0))).alias("word"))
+    cuts = F.transform(F.sequence(F.lit(1), F.length("word") - size + 1), lambda i: F.substring(F.col("word"), i, F.lit(size)))
+    runs = words.select(group, "word").distinct().select(group, "word", F.explode(F.array_distinct(cuts)).alias("key"))
+    hit = names.select(group, "name", F.substring("name", 1, size).alias("key")).join(runs, [group, "key"]).where(F.contains("word", F.col("name")))
+    return hit.select(group, "name", "word").distinct().join(words, [group, "word"]).select(group, "name", "id").distinct()
+
+
 def tfidf(texts: DataFrame, most_terms: int = 5000) -> DataFrame:
     """id, term, weight: L2-normalised (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) of words and word pairs.
 
@@ -187,6 +218,31 @@ def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_set_ratio(x or "", y or "") for x, y in zip(a, b)])
 
 
+def set_ratio_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """a < b, ratio: texts (id, text) whose token_set_ratio is ``least`` or more and that share a telling word.
+
+    Where shared words alone reach the ratio against one side's words (always so when one side holds no other
+    ones), they fill least / (200 - least) of its characters or more, so one of them is among the rarest words
+    that fill the rest and one more: those are looked up among all words of the others, and no such pair is
+    lost. Pairs that reach it only as a mixture of words and parts of words may share none of these.
+    """
+    t = least / 100
+    rows = texts.select("id", F.array_distinct(F.regexp_extract_all("text", F.lit(r"\S+"), 0)).alias("words")).where(F.size("words") > 0)
+    size = lambda w: F.aggregate(w, F.lit(-1), lambda s, x: s + F.length(x) + 1)
+    flat = rows.select("id", size(F.col("words")).alias("chars"), F.explode("words").alias("word"))
+    df = flat.groupBy("word").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("id").orderBy("df", "word")
+    before = F.coalesce(F.sum(F.length("word") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rare = flat.join(df, "word").withColumn("before", before).where(F.col("before") <= F.col("chars") * (1 - t / (2 - t)) + 1e-6).select("id", "word")
+    near = rare.toDF("x", "word").join(flat.select(F.col("id").alias("y"), "word"), "word").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    both = near.join(rows.toDF("a", "wa"), "a").join(rows.toDF("b", "wb"), "b")
+    shared = size(F.array_intersect("wa", "wb"))
+    sized = both.select("a", "b", "wa", "wb", shared.alias("s"), size(F.col("wa")).alias("m"), size(F.col("wb")).alias("n"))
+    # The longest common subsequence is no longer than the shorter side.
+    sized = sized.where((200 * F.least("m", "n") >= least * (F.col("m") + F.col("n"))) | (200 * F.col("s") >= least * (F.col("s") + F.least("m", "n"))))
+    return sized.withColumn("ratio", token_set_ratio(F.array_join("wa", " "), F.array_join("wb", " "))).where(F.col("ratio") >= least).select("a", "b", "ratio")
+
+
 def grow_topics(rows: pd.DataFrame, least: int = 2) -> pd.DataFrame:
     """Topics (id, words: list, in order) put with the first group that shares ``least`` words; a group's words grow.
 

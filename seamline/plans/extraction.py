@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import extract as X
-from ..lens import Tables
+from ..lens import Tables, marked
 from .text import _str
 
 c = F.col
@@ -17,7 +17,8 @@ _ROWS = (
     "John Smith of Acme Corp. paid $42 million, up 12% in 2023. Apple Group grew 8 percent to 1,250,000 users.", "GDP growth was 5 percent in 2024 economy", "GDP growth was 8 percent in 2024 economy", "Exports fell to EUR 3.5 bn and 40 thousand subscribers left in 1999",
     "The EU budget rose to 12,500 downloads, 3 million and 77% of NVIDIA and IBM staff. Mary Ann Jones of Delta LLC", "Market share 33 pct, revenue 2.4 mld, profit 90 mln PLN", "no figures here at all", "",
 )
-_TEXTS = "(SELECT id, claim AS text FROM claims UNION ALL SELECT -1 - i, t FROM (SELECT unnest(range(%d)) AS i, unnest([%s]) AS t))" % (len(_ROWS), ", ".join(map(_str, _ROWS)))
+_PLAIN = "(SELECT id, claim AS text FROM claims UNION ALL SELECT -1 - i, t FROM (SELECT unnest(range(%d)) AS i, unnest([%s]) AS t))" % (len(_ROWS), ", ".join(map(_str, _ROWS)))
+_TEXTS = f"(SELECT id, {marked('text')} AS text FROM {_PLAIN})"
 
 
 def texts(t: Tables) -> DataFrame:
@@ -26,7 +27,7 @@ def texts(t: Tables) -> DataFrame:
 
 
 def _all(kind: str, pattern: str, group: int) -> str:
-    return f"SELECT id, {_str(kind)} AS entity_type, trim(unnest(regexp_extract_all(left(text, 50000), {_str(pattern)}, {group})), ' ' || chr(9) || chr(10) || chr(13)) AS value FROM t"
+    return f"SELECT id, {_str(kind)} AS entity_type, trim(unnest(regexp_extract_all(text, {_str(pattern)}, {group})), ' ' || chr(9) || chr(10) || chr(13)) AS value FROM t"
 
 
 _ENTITIES = " UNION ALL ".join((_all("PERSON", X.PERSON, 1), _all("ORG", X.ORG, 1), _all("MONEY", X.MONEY, 1), _all("PERCENT", X.PERCENT, 1)))
@@ -54,7 +55,7 @@ def ex_numbers(t: Tables) -> DataFrame:
     return texts(t).select("id", F.posexplode(X.numbers(c("text"))).alias("pos", "x")).select("id", "pos", "x.value", "x.unit_raw", "x.unit")
 
 
-@query("ex_categories", f"SELECT id, coalesce(nullif(concat_ws(',', {', '.join(f'CASE WHEN regexp_matches(text, {_str("(?i)" + p)}) THEN {_str(n)} END' for n, p in X.CATEGORIES)}), ''), 'general') AS about FROM {_TEXTS}", "claims")
+@query("ex_categories", f"SELECT id, coalesce(nullif(concat_ws(',', {', '.join(f'CASE WHEN regexp_matches(text, {_str("(?i)" + p)}) THEN {_str(n)} END' for n, p in X.CATEGORIES)}), ''), 'general') AS about FROM {_PLAIN}", "claims")
 def ex_categories(t: Tables) -> DataFrame:
     return texts(t).select("id", F.concat_ws(",", X.categories(c("text"))).alias("about"))
 

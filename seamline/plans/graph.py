@@ -10,6 +10,7 @@ from ..lens import Tables
 from ..operators import graph as G
 from ..operators import relational as R
 from ..storage import written
+from .similarity import CONTAINS_SQL, mentions
 
 c = F.col
 
@@ -36,14 +37,9 @@ def kg_belongs(t: Tables) -> DataFrame:
     return t.claims.where("confidence >= 0.6").select(c("id").alias("src"), c("mission_id").alias("dst"))
 
 
-_NAMES = "(SELECT DISTINCT mission_id, lower(w) AS name FROM (SELECT mission_id, unnest(regexp_extract_all(claim, '[A-Z][a-z]{8,}')) AS w FROM claims))"
-
-
-@query("kg_mentions", f"SELECT name AS src, id AS dst FROM {_NAMES} n JOIN claims k ON n.mission_id = k.mission_id AND contains(lower(claim), name) QUALIFY row_number() OVER (PARTITION BY n.mission_id, name ORDER BY id) <= 200", "claims")
+@query("kg_mentions", f"SELECT name AS src, id AS dst FROM ({CONTAINS_SQL.format(8)})", "claims")
 def kg_mentions(t: Tables) -> DataFrame:
-    names = t.claims.select("mission_id", F.explode(F.regexp_extract_all("claim", F.lit("[A-Z][a-z]{8,}"), 0)).alias("w")).select("mission_id", F.lower("w").alias("name")).distinct()
-    hit = names.join(t.claims.select("mission_id", "id", F.lower("claim").alias("low")), "mission_id").where(F.contains("low", c("name")))
-    return R.top_per_group(hit, ["mission_id", "name"], [c("id")], 200).select(c("name").alias("src"), c("id").alias("dst"))
+    return mentions(t, 8).toDF("src", "dst")
 
 
 _CO = "SELECT a, b, n, least(n / 10.0, 3.0)::DOUBLE AS weight FROM (SELECT x.value AS a, y.value AS b, count(DISTINCT x.mission_id) AS n FROM entities x JOIN entities y ON x.mission_id = y.mission_id AND x.value < y.value GROUP BY ALL) WHERE n >= 3"
@@ -64,13 +60,13 @@ def kg_appears(t: Tables) -> DataFrame:
     return t.entities.groupBy(c("value").alias("src"), c("entity_type").alias("dst")).agg(F.count("*").alias("n")).where("n >= 5")
 
 
-_EDGES = "SELECT p_brand AS src, p_type AS dst, count(*)::DOUBLE AS weight FROM part GROUP BY ALL UNION ALL SELECT p_type, 'size ' || p_size, count(*)::DOUBLE FROM part WHERE p_size <= 30 GROUP BY ALL"
+_EDGES = "SELECT p_brand AS src, p_type AS dst, count(*)::DOUBLE AS weight FROM part GROUP BY ALL UNION ALL SELECT p_type, 'size ' || p_size, count(*)::DOUBLE FROM part GROUP BY ALL"
 
 
-def _edges(t: Tables, whole: bool = False) -> DataFrame:
-    """Brands to types to sizes; sizes are dangling. Those above 30 only in the whole graph, as the SQL has none."""
+def _edges(t: Tables) -> DataFrame:
+    """Brands to types to sizes; sizes are dangling."""
     one = lambda d, a, b: d.groupBy(a.alias("src"), b.alias("dst")).agg(F.count("*").cast("double").alias("weight"))
-    return one(t.part, c("p_brand"), c("p_type")).unionByName(one(t.part if whole else t.part.where("p_size <= 30"), c("p_type"), F.concat(F.lit("size "), c("p_size").cast("string"))))
+    return one(t.part, c("p_brand"), c("p_type")).unionByName(one(t.part, c("p_type"), F.concat(F.lit("size "), c("p_size").cast("string"))))
 
 
 def _pagerank(rounds: int) -> str:
@@ -90,7 +86,7 @@ def kg_pagerank(t: Tables) -> DataFrame:
 @query("kg_betweenness")
 def kg_betweenness(t: Tables) -> DataFrame:
     """Shortest paths from SOURCES vertices of the whole graph, those with the smallest hash; from all where there are no more."""
-    edges = written(_edges(t, whole=True), "edges")
+    edges = written(_edges(t), "edges")
     ids = edges.select(c("src").alias("id")).unionByName(edges.select(c("dst").alias("id"))).where("id is not null").distinct()
     sources = [r.id for r in ids.orderBy(F.xxhash64("id"), "id").limit(SOURCES).collect()]
     return G.betweenness(edges, sources).select("id", F.round("score", 6).alias("score"))
@@ -180,6 +176,6 @@ def kg_ingest(t: Tables) -> DataFrame:
 @query("kg_full")
 def kg_full(t: Tables) -> DataFrame:
     """Vertices, edges and ranks of one build as counts."""
-    edges = _edges(t, whole=True)
+    edges = _edges(t)
     rank = G.pagerank(edges, 5)
     return rank.agg(F.count("*").alias("vertices"), F.round(F.sum("rank"), 6).alias("mass")).crossJoin(edges.agg(F.count("*").alias("edges")))

@@ -8,26 +8,26 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..lens import AS_OF, Tables
 from ..operators import relational as R
+from ..operators.similarity import overlaps
 
 c = F.col
 
 
 _TOK = "list_distinct(regexp_extract_all(lower(claim), '[a-z]{5,}'))"
-_PRED = f"SELECT id, mission_id, {_TOK} AS k FROM claims WHERE id % 97 = 0"
+_PRED = "SELECT item_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z]{5,}')) AS k FROM benchmark"
 _CLAIM = f"SELECT id AS cid, mission_id AS m, {_TOK} AS k FROM claims WHERE confidence >= .6"
 
 
-def _words(d: DataFrame, key: str, name: str, group: str) -> DataFrame:
-    return d.select(c("id").alias(key), c("mission_id").alias(group), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("claim"), F.lit("[a-z]{5,}"), 0))).alias(name))
+def _shared(t: Tables, least: int) -> DataFrame:
+    """a, b, n: pending predictions (the items of benchmark) and strong claims that share so many words."""
+    words = lambda text: F.regexp_extract_all(F.lower(text), F.lit("[a-z]{5,}"), 0).alias("words")
+    return overlaps(t.benchmark.select(c("item_id").alias("id"), words("text")), t.claims.where("confidence >= 0.6").select("id", words("claim")), least)
 
 
-@query("fb_validate", f"SELECT id, count(*) AS relevant, CASE WHEN count(*) < 2 THEN 'unresolved' ELSE 'ready' END AS state FROM (SELECT p.id, q.cid FROM ({_PRED}) p JOIN ({_CLAIM}) q ON p.mission_id <> q.m WHERE len(list_intersect(p.k, q.k)) >= 2) GROUP BY id", "claims")
+@query("fb_validate", f"SELECT id, count(*) AS relevant, CASE WHEN count(*) < 2 THEN 'unresolved' ELSE 'ready' END AS state FROM (SELECT p.id, q.cid FROM ({_PRED}) p, ({_CLAIM}) q WHERE len(list_intersect(p.k, q.k)) >= 2) GROUP BY id", "claims")
 def fb_validate(t: Tables) -> DataFrame:
-    """Claims of other missions that share two words with a prediction (here: claims with ids divisible by 97)."""
-    p = _words(t.claims.where("id % 97 = 0"), "id", "w", "mission_id")
-    q = _words(t.claims.where("confidence >= 0.6"), "cid", "w", "m")
-    hits = p.join(q, "w").where("mission_id <> m").groupBy("id", "cid").agg(F.count("*").alias("n")).where("n >= 2")
-    return hits.groupBy("id").agg(F.count("*").alias("relevant")).withColumn("state", F.when(c("relevant") < 2, "unresolved").otherwise("ready"))
+    """How many claims share two words with a prediction."""
+    return _shared(t, 2).groupBy(c("a").alias("id")).agg(F.count("*").alias("relevant")).withColumn("state", F.when(c("relevant") < 2, "unresolved").otherwise("ready"))
 
 
 @query("fb_persist", "SELECT claim_id, CASE WHEN rating = 1 THEN 'prior' ELSE 'graveyard' END AS target FROM feedback", "feedback")
@@ -59,13 +59,10 @@ def fb_save(t: Tables) -> DataFrame:
     return _lessons(t).join(known, "lesson", "left_anti").select("domain", "lesson")
 
 
-@query("fb_priors", f"SELECT cid AS id, max(n) AS overlap, CASE WHEN max(n) >= 4 THEN 'confirmed' ELSE 'new' END AS outcome FROM (SELECT q.cid, len(list_intersect(p.k, q.k)) AS n FROM ({_PRED}) p JOIN ({_CLAIM}) q ON p.id <> q.cid) WHERE n >= 3 GROUP BY cid", "claims")
+@query("fb_priors", f"SELECT cid AS id, max(n) AS overlap, CASE WHEN max(n) >= 4 THEN 'confirmed' ELSE 'new' END AS outcome FROM (SELECT q.cid, len(list_intersect(p.k, q.k)) AS n FROM ({_PRED}) p, ({_CLAIM}) q) WHERE n >= 3 GROUP BY cid", "claims")
 def fb_priors(t: Tables) -> DataFrame:
-    """The best overlap of each strong claim with the priors (claims with ids divisible by 97)."""
-    p = _words(t.claims.where("id % 97 = 0"), "id", "w", "mission_id")
-    q = _words(t.claims.where("confidence >= 0.6"), "cid", "w", "m")
-    n = p.join(q, "w").where("id <> cid").groupBy("id", "cid").agg(F.count("*").alias("n")).where("n >= 3")
-    return n.groupBy(c("cid").alias("id")).agg(F.max("n").alias("overlap")).withColumn("outcome", F.when(c("overlap") >= 4, "confirmed").otherwise("new"))
+    """The best overlap of each strong claim with the priors."""
+    return _shared(t, 3).groupBy(c("b").alias("id")).agg(F.max("n").alias("overlap")).withColumn("outcome", F.when(c("overlap") >= 4, "confirmed").otherwise("new"))
 
 
 @query("fb_summary", "SELECT source_tier, count(*) AS total, count(*) FILTER (rating = 1) AS good, count(*) FILTER (rating = -1) AS contradicted FROM feedback GROUP BY source_tier", "feedback")

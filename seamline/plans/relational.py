@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..lens import AS_OF, Tables, host
 from ..operators import relational as R
+from ..sources.tables import Store, place
 
 c = F.col
 
 
+def stored(t: Tables, rows: DataFrame, change) -> DataFrame:
+    """``rows`` as a stored table, changed in a transaction and read back."""
+    table = Store(t.spark, place(t.spark, "store"))
+    table.commit(rows)
+    table.transaction(change)
+    return table.read()
+
+
 def now():
     return F.lit(AS_OF).cast("timestamp")
 
@@ -43,7 +52,7 @@ def src_catalog(t: Tables) -> DataFrame:
 @query("snk_ignore", "SELECT id, status FROM missions UNION ALL SELECT DISTINCT 'src' || (p_partkey % 40), 'new' FROM part WHERE 'src' || (p_partkey % 40) NOT IN (SELECT id FROM missions)", "missions")
 def snk_ignore(t: Tables) -> DataFrame:
     new = t.part.select(F.concat(F.lit("src"), (c("p_partkey") % 40).cast("string")).alias("id"), F.lit("new").alias("status"))
-    return R.insert_ignore(t.missions.select("id", "status"), new, ["id"], [c("status")])
+    return stored(t, t.missions.select("id", "status"), lambda table: R.insert_ignore(table, new, ["id"], [c("status")]))
 
 
 _UPSERT = "SELECT id, n FROM (SELECT id, sources_found AS n, 0 AS k FROM missions UNION ALL SELECT 'src' || (p_partkey % 40), p_partkey, p_partkey FROM part) QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1"
@@ -52,7 +61,7 @@ _UPSERT = "SELECT id, n FROM (SELECT id, sources_found AS n, 0 AS k FROM mission
 @query("snk_upsert", _UPSERT, "missions")
 def snk_upsert(t: Tables) -> DataFrame:
     new = t.part.select(F.concat(F.lit("src"), (c("p_partkey") % 40).cast("string")).alias("id"), c("p_partkey").alias("n"))
-    return R.upsert(t.missions.select("id", c("sources_found").alias("n")), new, ["id"], [c("n").desc()])
+    return stored(t, t.missions.select("id", c("sources_found").alias("n")), lambda table: R.upsert(table, new, ["id"], [c("n").desc()]))
 
 
 @query("snk_chunk", "SELECT id, CASE WHEN score_total > 20 THEN 'done' ELSE 'failed' END AS status, (row_number() OVER (ORDER BY id) - 1) // 50 AS chunk FROM sources", "sources")
@@ -208,12 +217,13 @@ def jn_self_cooc(t: Tables) -> DataFrame:
     return e.withColumnRenamed("value", "a").join(e.withColumnRenamed("value", "b"), "mission_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-@query("jn_prefix", "SELECT a.p_partkey AS a, b.s_suppkey AS b FROM part a JOIN supplier b ON a.p_partkey % 10 = b.s_suppkey % 10 WHERE starts_with(a.p_partkey::VARCHAR, b.s_suppkey::VARCHAR) OR starts_with(b.s_suppkey::VARCHAR, a.p_partkey::VARCHAR)")
+@query("jn_prefix", "SELECT a.p_partkey AS a, b.s_suppkey AS b FROM part a JOIN supplier b ON starts_with(a.p_partkey::VARCHAR, b.s_suppkey::VARCHAR) OR starts_with(b.s_suppkey::VARCHAR, a.p_partkey::VARCHAR)")
 def jn_prefix(t: Tables) -> DataFrame:
-    a = t.part.select(c("p_partkey").alias("a"), (c("p_partkey") % 10).alias("k"))
-    b = t.supplier.select(c("s_suppkey").alias("b"), (c("s_suppkey") % 10).alias("k"))
-    x, y = c("a").cast("string"), c("b").cast("string")
-    return a.join(b, "k").where(F.startswith(x, y) | F.startswith(y, x)).select("a", "b")
+    """Ids of which one starts with the other: joined on the prefixes of the longer one."""
+    a = t.part.select(c("p_partkey").alias("a"), c("p_partkey").cast("string").alias("x"))
+    b = t.supplier.select(c("s_suppkey").alias("b"), c("s_suppkey").cast("string").alias("x"))
+    shorter = a.join(R.proper_prefixes(b, "x"), "x").select("a", "b")
+    return R.proper_prefixes(a, "x").join(b, "x").select("a", "b").unionByName(shorter).unionByName(a.join(b, "x").select("a", "b"))
 
 
 @query("jn_lookup", "SELECT o_orderkey, coalesce(m.canon, o_orderpriority) AS priority FROM orders LEFT JOIN (VALUES ('1-URGENT', 'top'), ('5-LOW', 'rest')) m(name, canon) ON o_orderpriority = name")
@@ -489,23 +499,25 @@ def fn_json(t: Tables) -> DataFrame:
 @query("dml_update", "SELECT m.id, coalesce(CASE WHEN n > 100 THEN 'big' END, status) AS status FROM missions m LEFT JOIN (SELECT mission_id, count(*) AS n FROM claims GROUP BY mission_id) ON id = mission_id", "missions claims")
 def dml_update(t: Tables) -> DataFrame:
     new = t.claims.groupBy(c("mission_id").alias("id")).agg(F.when(F.count("*") > 100, "big").alias("status"))
-    return R.keyed_update(t.missions.select("id", "status"), new, "id", ["status"])
+    return stored(t, t.missions.select("id", "status"), lambda table: R.keyed_update(table, new, "id", ["status"]))
 
 
 @query("dml_insert_ret", "SELECT left(sha256(event_type || ':' || event_id), 16) AS id, event_type FROM events")
 def dml_insert_ret(t: Tables) -> DataFrame:
-    return t.events.select(F.substring(F.sha2(F.concat_ws(":", "event_type", c("event_id").cast("string")), 256), 1, 16).alias("id"), "event_type")
+    """Ids are computed from the rows, so they can be returned without a look at the store; what is stored is what is returned."""
+    rows = t.events.select(F.substring(F.sha2(F.concat_ws(":", "event_type", c("event_id").cast("string")), 256), 1, 16).alias("id"), "event_type")
+    return stored(t, rows.limit(0), lambda table: table.unionByName(rows))
 
 
 @query("dml_delete_ins", "SELECT id, status FROM missions WHERE status <> 'error' UNION ALL SELECT 'fresh', 'error'", "missions")
 def dml_delete_ins(t: Tables) -> DataFrame:
     new = t.spark.createDataFrame([("fresh", "error")], "id string, status string")
-    return t.missions.select("id", "status").join(new.select("status").distinct(), "status", "left_anti").select("id", "status").unionByName(new)
+    return stored(t, t.missions.select("id", "status"), lambda table: table.join(new.select("status").distinct(), "status", "left_anti").select("id", "status").unionByName(new))
 
 
 @query("dml_alter", "SELECT n_nationkey, n_name, NULL::VARCHAR AS note FROM nation")
 def dml_alter(t: Tables) -> DataFrame:
-    return R.with_columns_if_missing(t.nation.select("n_nationkey", "n_name"), {"note": "string", "n_name": "string"})
+    return stored(t, t.nation.select("n_nationkey", "n_name"), lambda table: R.with_columns_if_missing(table, {"note": "string", "n_name": "string"}))
 
 
 @query("host", "SELECT id, domain FROM sources", "sources")

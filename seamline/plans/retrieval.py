@@ -9,7 +9,9 @@ from ..catalog import query
 from ..lens import Tables
 from ..operators import relational as R
 from ..operators import retrieval as V
-from ..operators.similarity import cosine
+from ..operators.vectors import nearest
+from .similarity import COS_SQL as _COS
+from .similarity import knn_sql, vector_queries, vector_rows
 from .text import _str
 
 c = F.col
@@ -43,17 +45,17 @@ def rag_build(t: Tables) -> DataFrame:
     return V.chunks(d).groupBy("mission_id").agg(F.count("*").alias("chunks"), F.sum("words").alias("words"))
 
 
-_COS = "SELECT c.vec_id AS id, c.label, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings c WHERE q.vec_id = 0"
-_VEC = f"SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({_COS}) WHERE score >= .3 QUALIFY rank <= 40"
+_VEC = knn_sql(40, "score >= .3")
 
 
-def _similar(t: Tables) -> DataFrame:
-    q = t.embeddings.where("vec_id = 0").select(c("embedding").alias("q"))
-    return t.embeddings.crossJoin(F.broadcast(q)).select(c("vec_id").alias("id"), "label", F.round(cosine(c("q"), c("embedding")), 9).alias("score"))
+def _near(t: Tables, k: int, least: float = -2.0, labels: tuple[int, ...] = (), by: str | None = None) -> DataFrame:
+    """The best k rows of each query, of the labelled ones where labels are given."""
+    rows = vector_rows(t)
+    return nearest(rows.where(c("label").isin(*labels)) if labels else rows, vector_queries(t), k, least, by)
 
 
 def _vec(t: Tables) -> DataFrame:
-    return V.ranked(_similar(t).where("score >= 0.3").select("id", "score"), 40)
+    return _near(t, 40, 0.3)
 
 
 @query("rag_vec", _VEC)
@@ -86,29 +88,31 @@ def fn_fts(t: Tables) -> DataFrame:
     return t.documents.where(F.forall(F.array(F.lit("the"), F.lit("with")), lambda q: F.array_contains(w, q))).select("doc_id")
 
 
-_BRANK = f"SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, round(score, 6) AS score FROM ({_BM_DOCS})) QUALIFY rank <= 40"
-_RRF = f"SELECT id, sum(1.0 / (60 + rank))::DOUBLE AS score FROM (SELECT id, rank FROM ({_VEC}) UNION ALL SELECT id, rank FROM ({_BRANK})) GROUP BY id"
+_BRANK = f"SELECT vec_id AS query_id, id, rank FROM embeddings, (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, round(score, 6) AS score FROM ({_BM_DOCS})) QUALIFY rank <= 40) WHERE vec_id % 50 = 0"
+_RRF = f"SELECT query_id, id, round(sum(1.0 / (60 + rank))::DOUBLE, 9) AS score FROM (SELECT query_id, id, rank FROM ({_VEC}) UNION ALL SELECT query_id, id, rank FROM ({_BRANK})) GROUP BY ALL"
+_BEST = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {}"
 
 
 def _brank(t: Tables) -> DataFrame:
-    return V.ranked(_bm(t).select("id", F.round("score", 6).alias("score")), 40)
+    """The words' 40 best documents, for each vector they are fused with."""
+    best = V.ranked(_bm(t).select("id", F.round("score", 6).alias("score")), 40).select("id", "rank")
+    return vector_queries(t).select(c("id").alias("query_id")).crossJoin(F.broadcast(best))
 
 
-@query("rag_rrf", f"SELECT id, round(score, 9) AS score FROM ({_RRF}) ORDER BY score DESC, id LIMIT 15")
+@query("rag_rrf", f"SELECT * FROM ({_RRF}) {_BEST.format(15)}")
 def rag_rrf(t: Tables) -> DataFrame:
-    return V.fuse([_vec(t), _brank(t)], 15).select("id", F.round("score", 9).alias("score"))
+    return V.fuse([_vec(t), _brank(t)], 15)
 
 
-@query("rag_rrf0", f"SELECT id, round(1.0 / (60 + coalesce(ra, na)) + 1.0 / (60 + coalesce(rb, nb)), 9)::DOUBLE AS score FROM (SELECT id, max(ra) AS ra, max(rb) AS rb FROM (SELECT id, rank - 1 AS ra, NULL AS rb FROM ({_VEC}) UNION ALL SELECT id, NULL, rank - 1 FROM ({_BRANK})) GROUP BY id), (SELECT count(*) AS na FROM ({_VEC})), (SELECT count(*) AS nb FROM ({_BRANK})) ORDER BY score DESC, id LIMIT 20")
+@query("rag_rrf0", f"SELECT query_id, id, round(1.0 / (60 + coalesce(ra, na)) + 1.0 / (60 + coalesce(rb, nb)), 9)::DOUBLE AS score FROM (SELECT query_id, id, max(ra) AS ra, max(rb) AS rb FROM (SELECT query_id, id, rank - 1 AS ra, NULL AS rb FROM ({_VEC}) UNION ALL SELECT query_id, id, NULL, rank - 1 FROM ({_BRANK})) GROUP BY ALL) LEFT JOIN (SELECT query_id, count(*) AS na FROM ({_VEC}) GROUP BY ALL) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS nb FROM ({_BRANK}) GROUP BY ALL) USING (query_id) {_BEST.format(20)}")
 def rag_rrf0(t: Tables) -> DataFrame:
-    return V.fuse_from_zero(_vec(t), _brank(t), 10_000).select("id", F.round("score", 9).alias("score")).orderBy(c("score").desc(), "id").limit(20)
+    return V.fuse_from_zero(_vec(t), _brank(t), 20)
 
 
-@query("rag_hybrid", f"SELECT d.doc_id AS id, round(score, 9) AS score FROM (SELECT * FROM ({_RRF}) ORDER BY round(score, 9) DESC, id LIMIT 15) r JOIN documents d ON d.doc_id = r.id")
+@query("rag_hybrid", f"SELECT query_id, id, score FROM (SELECT * FROM ({_RRF}) {_BEST.format(15)}) r JOIN documents d ON d.doc_id = r.id")
 def rag_hybrid(t: Tables) -> DataFrame:
     """Fused first; texts are fetched for the fused rows alone."""
-    best = V.fuse([_vec(t), _brank(t)], 10_000).withColumn("score", F.round("score", 9)).orderBy(c("score").desc(), "id").limit(15)
-    return t.documents.select(c("doc_id").alias("id")).join(F.broadcast(best), "id").select("id", "score")
+    return t.documents.select(c("doc_id").alias("id")).join(V.fuse([_vec(t), _brank(t)], 15), "id").select("query_id", "id", "score")
 
 
 _KW = "list_sort(list_distinct(string_split(lower(p_type), ' ')))"
@@ -121,11 +125,11 @@ def rag_related(t: Tables) -> DataFrame:
     return t.part.select("p_brand", n.alias("n")).where((c("n") >= 1) & ~F.startswith("p_brand", F.lit("Brand#1"))).groupBy("p_brand").agg(F.max("n").alias("overlap")).orderBy(c("overlap").desc(), "p_brand").limit(3)
 
 
-@query("rag_cross", f"SELECT id, round(1.0 / (60 + rank), 9)::DOUBLE AS score, 'PRIMARY' AS tag FROM ({_VEC}) WHERE rank <= 15 UNION ALL SELECT id, round(1.0 / (80 + r), 9)::DOUBLE, 'CROSS' FROM (SELECT id, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS r, label FROM ({_COS})) WHERE r <= 8 AND label IN (1, 2, 3)")
+@query("rag_cross", f"SELECT query_id, id, round(1.0 / (60 + rank), 9)::DOUBLE AS score, 'PRIMARY' AS tag FROM ({_VEC}) WHERE rank <= 15 UNION ALL SELECT query_id, id, round(1.0 / (80 + r), 9)::DOUBLE, 'CROSS' FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS r, label FROM ({_COS})) WHERE r <= 8 AND label IN (1, 2, 3)")
 def rag_cross(t: Tables) -> DataFrame:
-    first = _vec(t).where("rank <= 15").select("id", F.round(1 / (60 + c("rank")), 9).alias("score"), F.lit("PRIMARY").alias("tag"))
-    other = R.top_per_group(_similar(t).where(c("label").isin(1, 2, 3)), ["label"], [c("score").desc(), c("id")], 8, "r")
-    return first.unionByName(other.select("id", F.round(1 / (80 + c("r")), 9).alias("score"), F.lit("CROSS").alias("tag")))
+    first = _vec(t).where("rank <= 15").select("query_id", "id", F.round(1 / (60 + c("rank")), 9).alias("score"), F.lit("PRIMARY").alias("tag"))
+    other = _near(t, 8, labels=(1, 2, 3), by="label")
+    return first.unionByName(other.select("query_id", "id", F.round(1 / (80 + c("rank")), 9).alias("score"), F.lit("CROSS").alias("tag")))
 
 
 @query("rag_crag", "SELECT mission_id, count(*) FILTER (id % 3 = 0) / count(*)::DOUBLE >= .4 AS enough, count(*) FILTER (id % 3 <> 2) AS kept FROM content GROUP BY mission_id", "content")
@@ -137,7 +141,7 @@ def rag_crag(t: Tables) -> DataFrame:
 
 
 def _verified(t: Tables) -> DataFrame:
-    return V.verify(t.benchmark.select(c("item_id").alias("id"), "text"), t.english.select(c("doc_id").alias("doc"), "text"))
+    return V.verify(t.benchmark.select(c("item_id").alias("id"), "text"), t.documents.select(c("doc_id").alias("doc"), "text"))
 
 
 @query("rag_verify1")
@@ -150,10 +154,10 @@ def rag_verify(t: Tables) -> DataFrame:
     return _verified(t).groupBy("mode").agg(F.count("*").alias("n"), F.sum("found").alias("found"))
 
 
-@query("win_slide_tok", "SELECT DISTINCT doc_id FROM (SELECT doc_id, list_filter(list_transform(range(1, len(w) + 1), lambda i: {'i': i, 'w': w[i]}), lambda x: list_contains(['with', 'that', 'this', 'from'], x.w)) AS m FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\b[a-zA-Z]{4,}\\b') AS w FROM english)) WHERE len(list_filter(m, lambda s: len(list_distinct(list_transform(list_filter(m, lambda y: y.i >= s.i AND y.i < s.i + 30), lambda y: y.w))) >= 3)) > 0", "english")
+@query("win_slide_tok", "SELECT DISTINCT doc_id FROM (SELECT doc_id, list_filter(list_transform(range(1, len(w) + 1), lambda i: {'i': i, 'w': w[i]}), lambda x: list_contains(['with', 'that', 'this', 'from'], x.w)) AS m FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\b[a-zA-Z]{4,}\\b') AS w FROM documents)) WHERE len(list_filter(m, lambda s: len(list_distinct(list_transform(list_filter(m, lambda y: y.i >= s.i AND y.i < s.i + 30), lambda y: y.w))) >= 3)) > 0")
 def win_slide_tok(t: Tables) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-zA-Z]{4,}\b"), 0)
-    return t.english.where(V.window_hits(words, F.array(*map(F.lit, ("with", "that", "this", "from"))))).select("doc_id")
+    return t.documents.where(V.window_hits(words, F.array(*map(F.lit, ("with", "that", "this", "from"))))).select("doc_id")
 
 
 _EVAL = "SELECT mission_id, round(count(DISTINCT doc_id) / 60.0, 6)::DOUBLE AS coverage, round(count(DISTINCT doc_id) / count(*)::DOUBLE, 6) AS diversity, concat_ws(',', CASE WHEN count(*) < 60 THEN 'FEW_CHUNKS' END, CASE WHEN avg(words) < 300 THEN 'SHORT' END) AS flags FROM ({}) GROUP BY mission_id".format(_CHUNKS)
@@ -180,27 +184,30 @@ def rag_status(t: Tables) -> DataFrame:
     return V.chunks(_docs(t)).agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("docs"), F.round(F.avg("words"), 4).alias("words"))
 
 
-@query("mem_search", f"SELECT id, score FROM ({_COS}) WHERE label = 4 AND score >= .1 ORDER BY score DESC, id LIMIT 10")
+@query("mem_search", knn_sql(10, "label = 4 AND score >= .1"))
 def mem_search(t: Tables) -> DataFrame:
-    return _similar(t).where("label = 4 and score >= 0.1").orderBy(c("score").desc(), "id").limit(10).select("id", "score")
+    return _near(t, 10, 0.1, (4,))
 
 
-@query("sem_search", f"SELECT id, score FROM ({_COS}) WHERE label IN (1, 4) ORDER BY score DESC, id LIMIT 20")
+@query("sem_search", knn_sql(20, "label IN (1, 4)"))
 def sem_search(t: Tables) -> DataFrame:
-    return _similar(t).where(c("label").isin(1, 4)).orderBy(c("score").desc(), "id").limit(20).select("id", "score")
+    return _near(t, 20, labels=(1, 4))
 
 
-@query("qd_search", f"SELECT id, score FROM ({_COS}) WHERE label IN (1, 2, 3) AND score >= .05 ORDER BY score DESC, id LIMIT 10")
+@query("qd_search", knn_sql(10, "label IN (1, 2, 3) AND score >= .05"))
 def qd_search(t: Tables) -> DataFrame:
-    return _similar(t).where(c("label").isin(1, 2, 3) & (c("score") >= 0.05)).orderBy(c("score").desc(), "id").limit(10).select("id", "score")
+    return _near(t, 10, 0.05, (1, 2, 3))
 
 
-@query("graphrag", f"SELECT * FROM (WITH s AS ({_COS}), top AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 30), c0 AS (SELECT label, sum(score) AS w FROM top GROUP BY label ORDER BY round(w, 6) DESC, label LIMIT 3) SELECT id, score FROM (SELECT s.*, row_number() OVER (PARTITION BY s.label ORDER BY score DESC, id) AS r FROM s JOIN c0 ON s.label = c0.label) WHERE r <= 10 ORDER BY score DESC, id LIMIT 15)")
+@query("graphrag", f"SELECT * FROM (WITH s AS ({_COS}), top AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 30), c0 AS (SELECT query_id, label FROM top GROUP BY query_id, label QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sum(score), 6) DESC, label) <= 3) SELECT query_id, id, score FROM (SELECT s.*, row_number() OVER (PARTITION BY s.query_id, s.label ORDER BY score DESC, id) AS r FROM s JOIN c0 ON s.query_id = c0.query_id AND s.label = c0.label) WHERE r <= 10 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 15)")
 def graphrag(t: Tables) -> DataFrame:
-    """30 broad hits choose three communities by their sum, whose ten best each give the best 15."""
-    s = _similar(t)
-    c0 = s.orderBy(c("score").desc(), "id").limit(30).groupBy("label").agg(F.round(F.sum("score"), 6).alias("w")).orderBy(c("w").desc(), "label").limit(3)
-    return R.top_per_group(s.join(F.broadcast(c0.select("label")), "label"), ["label"], [c("score").desc(), c("id")], 10).orderBy(c("score").desc(), "id").limit(15).select("id", "score")
+    """A query's 30 broad hits choose three communities by their sum, whose ten best each give the best 15."""
+    best = _near(t, 30, by="label")
+    broad = R.top_per_group(best, ["query_id"], [c("score").desc(), c("id")], 30)
+    sums = broad.groupBy("query_id", "label").agg(F.round(F.sum("score"), 6).alias("w"))
+    chosen = R.top_per_group(sums, ["query_id"], [c("w").desc(), c("label")], 3).select("query_id", "label")
+    inside = best.where("rank <= 10").join(chosen, ["query_id", "label"])
+    return R.top_per_group(inside, ["query_id"], [c("score").desc(), c("id")], 15).select("query_id", "id", "score")
 
 
 @query("qd_payload", "SELECT mission_id, array_to_string(list_sort(list_distinct(list(value)))[1:10], ',') AS entities FROM entities GROUP BY mission_id", "entities")

@@ -9,6 +9,7 @@ from ..catalog import query
 from ..lens import Tables
 from ..operators import relational as R
 from ..operators import similarity as S
+from ..operators.vectors import nearest
 
 c = F.col
 
@@ -24,27 +25,38 @@ def dd_prefix(t: Tables) -> DataFrame:
     return best.select("x.id", (-c("x.c")).alias("confidence"))
 
 
-_VECS = "SELECT q.vec_id AS a, c.vec_id AS b, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS s FROM embeddings q, embeddings c WHERE q.vec_id = 0"
+@query("sim_cos", "SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS s FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1")
+def sim_cos(t: Tables) -> DataFrame:
+    """Each vector with the next one."""
+    x = t.embeddings.select(c("vec_id").alias("a"), c("embedding").alias("x"))
+    y = t.embeddings.select((c("vec_id") - 1).alias("a"), c("vec_id").alias("b"), c("embedding").alias("y"))
+    return x.join(y, "a").select("a", "b", F.round(S.cosine(c("x"), c("y")), 6).alias("s"))
 
 
-def _near(t: Tables) -> DataFrame:
-    q = t.embeddings.where("vec_id = 0").select(c("vec_id").alias("a"), c("embedding").alias("q"))
-    return t.embeddings.crossJoin(F.broadcast(q)).select("a", c("vec_id").alias("b"), F.round(S.cosine(c("q"), c("embedding")), 6).alias("s"))
+#: Queries are all rows whose id is divisible by 50.
+COS_SQL = "SELECT q.vec_id AS query_id, c.vec_id AS id, c.label, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0"
 
 
-@query("sim_cos", _VECS)
-def sim_cos(t: Tables) -> DataFrame:
-    return _near(t)
+def vector_rows(t: Tables) -> DataFrame:
+    return t.embeddings.select(c("vec_id").alias("id"), c("embedding").alias("vector"), "label")
+
+
+def vector_queries(t: Tables) -> DataFrame:
+    return vector_rows(t).where("id % 50 = 0").select("id", "vector")
+
+
+def knn_sql(k: int, where: str = "true") -> str:
+    return f"SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({COS_SQL}) WHERE {where} QUALIFY rank <= {k}"
 
 
-@query("fn_vec", f"SELECT b, s FROM ({_VECS}) WHERE s > 0")
+@query("fn_vec", knn_sql(20, "score > 0"))
 def fn_vec(t: Tables) -> DataFrame:
-    return _near(t).where("s > 0").select("b", "s")
+    return nearest(vector_rows(t), vector_queries(t), 20, 1e-9)
 
 
-@query("top_knn", f"SELECT b, s FROM ({_VECS}) ORDER BY s DESC, b LIMIT 40")
+@query("top_knn", knn_sql(40))
 def top_knn(t: Tables) -> DataFrame:
-    return _near(t).orderBy(c("s").desc(), "b").limit(40).select("b", "s")
+    return nearest(vector_rows(t), vector_queries(t), 40)
 
 
 _TOK = "list_distinct(regexp_extract_all(lower(claim), '[a-z0-9]{3,}'))"
@@ -56,46 +68,52 @@ def jn_theta_sim(t: Tables) -> DataFrame:
     return S.jaccard_pairs(sets, 0.6, "mission_id").select("a", "b", F.round("similarity", 6).alias("s"))
 
 
-@query("jn_overlap", "WITH k AS (SELECT p_partkey AS id, unnest(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part), b AS (SELECT DISTINCT lower(p_brand) AS brand, unnest(string_split(lower(p_name), ' ')) AS w FROM part WHERE p_size = 1) SELECT brand, id, count(*) AS n FROM b JOIN k USING (w) GROUP BY ALL HAVING count(*) >= 2")
+@query("jn_overlap", "WITH k AS (SELECT p_partkey AS id, unnest(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part), b AS (SELECT DISTINCT lower(p_brand) AS brand, unnest(string_split(lower(p_name), ' ')) AS w FROM part) SELECT brand, id, count(*) AS n FROM b JOIN k USING (w) GROUP BY ALL HAVING count(*) >= 2")
 def jn_overlap(t: Tables) -> DataFrame:
-    k = t.part.select(c("p_partkey").alias("id"), F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("w"))
-    b = t.part.where("p_size = 1").select(F.lower("p_brand").alias("brand"), F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct()
-    return b.join(k, "w").groupBy("brand", "id").agg(F.count("*").alias("n")).where("n >= 2")
+    words = F.split(F.lower("p_name"), " ")
+    brands = t.part.groupBy(F.lower("p_brand").alias("id")).agg(F.array_distinct(F.flatten(F.collect_set(words))).alias("words"))
+    return S.overlaps(brands, t.part.select(c("p_partkey").alias("id"), words.alias("words")), 2).select(c("a").alias("brand"), c("b").alias("id"), "n")
 
 
-_NAMES = "(SELECT DISTINCT mission_id, lower(w) AS name FROM (SELECT mission_id, unnest(regexp_extract_all(claim, '[A-Z][a-z]{7,}')) AS w FROM claims))"
+#: Names of a mission: capitalised words of nine letters and more, in lower case.
+NAMES_SQL = "(SELECT DISTINCT mission_id, lower(w) AS name FROM (SELECT mission_id, unnest(regexp_extract_all(claim, '[A-Z][a-z]{{{0},}}')) AS w FROM claims))"
+CONTAINS_SQL = f"SELECT name, id FROM {NAMES_SQL} n JOIN claims c ON n.mission_id = c.mission_id AND contains(lower(claim), name) QUALIFY row_number() OVER (PARTITION BY n.mission_id, name ORDER BY id) <= 200"
 
 
-@query("jn_theta_contains", f"SELECT name, id FROM {_NAMES} n JOIN claims c ON n.mission_id = c.mission_id AND contains(lower(claim), name) QUALIFY row_number() OVER (PARTITION BY n.mission_id, name ORDER BY id) <= 200", "claims")
-def jn_theta_contains(t: Tables) -> DataFrame:
-    names = t.claims.select("mission_id", F.explode(F.regexp_extract_all("claim", F.lit("[A-Z][a-z]{7,}"), 0)).alias("w")).select("mission_id", F.lower("w").alias("name")).distinct()
-    claims = t.claims.select("mission_id", "id", F.lower("claim").alias("low"))
-    hit = names.join(claims, "mission_id").where(F.contains("low", c("name")))
+def mentions(t: Tables, letters: int) -> DataFrame:
+    """name, id: the first 200 claims of a mission that contain a name of it, also inside a longer word."""
+    names = t.claims.select("mission_id", F.explode(F.regexp_extract_all("claim", F.lit(f"[A-Z][a-z]{{{letters},}}"), 0)).alias("w")).select("mission_id", F.lower("w").alias("name")).distinct()
+    hit = S.containing(names, t.claims.select("mission_id", "id", F.lower("claim").alias("text")), "mission_id", letters + 1)
     return R.top_per_group(hit, ["mission_id", "name"], [c("id")], 200).select("name", "id")
 
 
+@query("jn_theta_contains", CONTAINS_SQL.format(7), "claims")
+def jn_theta_contains(t: Tables) -> DataFrame:
+    return mentions(t, 7)
+
+
 def _ranked(t: Tables) -> DataFrame:
-    return t.all_claims.select("id", F.struct((-c("confidence")).alias("c"), "id").alias("rank"))
+    return t.claims.select("id", F.struct((-c("confidence")).alias("c"), "id").alias("rank"))
 
 
 @query("dd_tfidf")
 def dd_tfidf(t: Tables) -> DataFrame:
     """Leaders with the sites of their near-equal claims (cosine of .82 and more)."""
-    pairs = S.cosine_pairs(S.tfidf(t.all_claims.select("id", c("claim").alias("text"))), 0.82)
+    pairs = S.cosine_pairs(S.tfidf(t.claims.select("id", c("claim").alias("text"))), 0.82)
     led = S.greedy_leaders(_ranked(t), pairs)
-    sites = led.join(t.all_claims.select("id", "source_url"), "id").groupBy("leader").agg(F.count("*").alias("duplicate_count"), F.count_distinct("source_url").alias("n_urls"))
+    sites = led.join(t.claims.select("id", "source_url"), "id").groupBy("leader").agg(F.count("*").alias("duplicate_count"), F.count_distinct("source_url").alias("n_urls"))
     return sites.withColumnRenamed("leader", "claim_id")
 
 
 @query("cl_tfidf")
 def cl_tfidf(t: Tables) -> DataFrame:
-    led = S.greedy_leaders(_ranked(t), S.cosine_pairs(S.tfidf(t.all_claims.select("id", c("claim").alias("text"))), 0.7))
+    led = S.greedy_leaders(_ranked(t), S.cosine_pairs(S.tfidf(t.claims.select("id", c("claim").alias("text"))), 0.7))
     return led
 
 
 @query("cl_jaccard")
 def cl_jaccard(t: Tables) -> DataFrame:
-    sets = t.all_claims.select("id", "mission_id", F.regexp_extract_all(F.lower("claim"), F.lit("[a-z0-9]{3,}"), 0).alias("tokens"))
+    sets = t.claims.select("id", "mission_id", F.regexp_extract_all(F.lower("claim"), F.lit("[a-z0-9]{3,}"), 0).alias("tokens"))
     return S.greedy_leaders(_ranked(t), S.jaccard_pairs(sets, 0.5, "mission_id"))
 
 
@@ -124,7 +142,7 @@ def cl_ent_hdbscan(t: Tables) -> DataFrame:
 @query("cl_claims")
 def cl_claims(t: Tables) -> DataFrame:
     """Substitute for two-level density clustering: greedy cosine groups at .6 of those at .7."""
-    weights = S.tfidf(t.all_claims.select("id", c("claim").alias("text")))
+    weights = S.tfidf(t.claims.select("id", c("claim").alias("text")))
     fine = S.greedy_leaders(_ranked(t), S.cosine_pairs(weights, 0.7))
     heads = fine.where("id = leader").select("id")
     coarse = S.greedy_leaders(_ranked(t).join(heads, "id"), S.cosine_pairs(weights.join(heads, "id"), 0.6)).toDF("leader", "group")
@@ -134,6 +152,6 @@ def cl_claims(t: Tables) -> DataFrame:
 @query("cl_topics")
 def cl_topics(t: Tables) -> DataFrame:
     """The 20 newest claims of the best confidence, grouped by shared words that grow as members join."""
-    top = t.all_claims.orderBy(c("confidence").desc(), "id").limit(20).select("id", F.regexp_extract_all(F.lower("claim"), F.lit("[a-z]{4,}"), 0).alias("words"), F.lit(1).alias("k"))
+    top = t.claims.orderBy(c("confidence").desc(), "id").limit(20).select("id", F.regexp_extract_all(F.lower("claim"), F.lit("[a-z]{4,}"), 0).alias("words"), F.lit(1).alias("k"))
     ordered = lambda rows: S.grow_topics(rows.sort_values("id"))
     return top.groupBy("k").applyInPandas(ordered, "id bigint, topic bigint, label string")

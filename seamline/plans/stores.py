@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +10,9 @@ from ..catalog import query
 from ..lens import Tables
 from ..operators import relational as R
 from ..sources import tables as S
-from ..storage import shared, written
+from ..storage import shared
 from ..streaming import events as E
-from .validation import _CONF, _numbers, conflicts
+from .validation import _CONF, strongest
 
 c = F.col
 
@@ -52,19 +53,31 @@ def ex_ctx_chunks(t: Tables) -> DataFrame:
     return t.content.select(block.alias("b")).select(pick(1).cast("bigint").alias("id"), pick(2).alias("url"), pick(3).alias("domain"))
 
 
-@query("nc_resolve", f"SELECT a, b, 'UNRESOLVED' AS label FROM ({_CONF})")
+@query("nc_resolve", f"SELECT a, b, CASE o_orderstatus WHEN 'F' THEN 'REAL_CONFLICT' WHEN 'P' THEN 'DIFFERENT_SCOPE' ELSE 'UNRESOLVED' END AS label FROM ({_CONF}) LEFT JOIN orders ON o_orderkey = a // 10")
 def nc_resolve(t: Tables) -> DataFrame:
-    """Labels come from a model outside; without one every conflict stays unresolved."""
-    return conflicts(_numbers(t)).select("a", "b", F.lit("UNRESOLVED").alias("label"))
+    """Verdicts come as a table, here an order's status; conflicts without one stay unresolved."""
+    status = c("o_orderstatus")
+    verdicts = t.orders.select(c("o_orderkey").alias("k"), F.when(status == "F", "REAL_CONFLICT").when(status == "P", "DIFFERENT_SCOPE").alias("label"))
+    found = strongest(t).withColumn("k", F.floor(c("a") / 10)).join(verdicts, "k", "left")
+    return found.select("a", "b", F.coalesce("label", F.lit("UNRESOLVED")).alias("label"))
 
 
-@query("dml_txn", "SELECT id, status FROM missions", "missions")
+@query("dml_txn", "SELECT id, CASE status WHEN 'scout' THEN 'process' ELSE status END AS status FROM missions", "missions")
 def dml_txn(t: Tables) -> DataFrame:
-    """A dry run computes the update and writes nothing: the table stays as it was."""
-    before = t.missions.select("id", "status")
-    table = written(before, "missions")
-    R.keyed_update(table, table.select("id", F.lit("error").alias("status")), "id", ["status"])
-    return table
+    """A dry run that would fail every mission, a change that breaks off, and one that is committed: only the last one shows."""
+    table = S.Store(t.spark, S.place(t.spark, "store"))
+    table.commit(t.missions.select("id", "status"))
+
+    def failed(rows: DataFrame) -> DataFrame:
+        return R.keyed_update(rows, rows.select("id", F.lit("error").alias("status")), "id", ["status"])
+
+    table.transaction(failed, dry_run=True)
+    try:
+        table.transaction(lambda rows: failed(rows).withColumn("status", F.raise_error(F.lit("broken off")).cast("string")))
+    except PySparkException:
+        pass
+    table.transaction(lambda rows: R.keyed_update(rows, rows.where("status = 'scout'").select("id", F.lit("process").alias("status")), "id", ["status"]))
+    return table.read()
 
 
 @query("st_append", "SELECT event_id FROM events UNION ALL SELECT event_id + 1000000 FROM events WHERE event_id < 100")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,14 +57,8 @@ def st_rate(t: Tables) -> DataFrame:
 
 @query("win_rate")
 def win_rate(t: Tables) -> DataFrame:
-    """The same limiter over a batch, a user at a time; accepted events depend on each other, so no window frame expresses it."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "event_id"])
-        ok, _ = E.allow(rows["at"].tolist(), [], 5, 86400.0)
-        return pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "allowed": ok})
-
-    return t.events.select("user_id", "event_id", c("ts").cast("timestamp").cast("double").alias("at")).groupBy("user_id").applyInPandas(one, "user_id bigint, event_id bigint, allowed boolean")
+    """The same limiter over a batch; accepted events depend on each other, so no window frame expresses it."""
+    return E.rate_limited_batch(t.events, 5, 86400.0)
 
 
 _PHASE = "CASE event_type WHEN 'signup' THEN 'scout' WHEN 'view' THEN 'harvest' WHEN 'click' THEN 'process' WHEN 'purchase' THEN 'synth' END"

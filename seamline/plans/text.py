@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import text as X
-from ..lens import Tables
+from ..lens import Tables, marked
 
 c = F.col
 
@@ -28,8 +28,11 @@ def _n(text: str, pattern: str) -> str:
     return f"len(regexp_extract_all({text}, {_str(pattern)}))"
 
 
-_WORDS = f"regexp_extract_all(text, {_str(X.WORD)})"
-#: Quality of the English ASCII documents, signal by signal.
+#: Runs of word characters that are letters throughout: RE2 knows no boundaries of words beyond ASCII.
+_WORDS = rf"list_filter(regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda v: regexp_full_match(v, {_str(X.WORD.replace(chr(92) + 'b', ''))}))"
+#: The text with a letter for each letter of the patterns, an underscore for each other one beyond ASCII.
+_SEEN = marked("translate(text, 'ąćęłńóśźżĄĆĘŁŃÓŚŹŻ', 'aaaaaaaaaAAAAAAAAA')")
+#: Quality of the documents, signal by signal.
 CQ_SQL = f"""
 SELECT doc_id, source, mean, CASE WHEN short THEN .05 ELSE round(.25 * coh + .25 * div + .35 * fact + .15 * bp, 4) END AS quality FROM (
   SELECT *, CASE WHEN ns = 0 THEN .1 WHEN mean < 4 THEN .15 WHEN mean <= 8 THEN .45 WHEN mean <= 30 THEN .85 + least(.15, (mean - 8) / 150) WHEN mean <= 50 THEN .75 ELSE .4 END::DOUBLE AS coh,
@@ -38,33 +41,33 @@ SELECT doc_id, source, mean, CASE WHEN short THEN .05 ELSE round(.25 * coh + .25
   FROM (
     SELECT doc_id, source, length(trim(text, ' ')) < 100 AS short, len(sent) AS ns, list_sum(list_transform(sent, lambda s: {_n("s", "[^ \\t\\n\\r]+")}))::DOUBLE / greatest(len(sent), 1) AS mean, len(w) AS nw,
       len(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) / greatest(len(w) - 1, 1)::DOUBLE AS share,
-      ({_n("text", X.NUMBER)} + {_n("text", X.DATE)} + .5 * {_n("text", X.NAME)})::DOUBLE / greatest(len(w), 1) * 100 AS f, {_hits("lower(text)", X.BOILERPLATE)} AS hits
-    FROM (SELECT doc_id, source, text, {_WORDS} AS w, list_filter(string_split_regex(trim(text, ' '), '[.!?]+[ \\t\\n\\r]+'), lambda s: length(trim(s, ' ')) > 0) AS sent FROM english)
+      ({_n("seen", X.NUMBER)} + {_n("seen", X.DATE)} + .5 * {_n("seen", X.NAME)})::DOUBLE / greatest(len(w), 1) * 100 AS f, {_hits("lower(text)", X.BOILERPLATE)} AS hits
+    FROM (SELECT doc_id, source, text, {_SEEN} AS seen, {_WORDS} AS w, list_filter(string_split_regex(trim(text, ' '), '[.!?]+[ \\t\\n\\r]+'), lambda s: length(trim(s, ' ')) > 0) AS sent FROM documents)
   )
 )"""
 _LABEL = "CASE " + " ".join(f"WHEN quality >= {v} THEN '{n}'" for v, n in X.LABELS) + " ELSE 'INFECTED' END"
 
 
 def scored(t: Tables) -> DataFrame:
-    return t.english.select("doc_id", "source", X.content_quality(c("text"))["quality"].alias("quality"))
+    return t.documents.select("doc_id", "source", X.content_quality(c("text"))["quality"].alias("quality"))
 
 
-@query("cq_score", f"SELECT source, round(avg(quality), 6) AS avg_quality, count(*) FILTER (quality < .32) AS infected, count(*) AS n FROM ({CQ_SQL}) GROUP BY source", "english")
+@query("cq_score", f"SELECT source, round(avg(quality), 6) AS avg_quality, count(*) FILTER (quality < .32) AS infected, count(*) AS n FROM ({CQ_SQL}) GROUP BY source")
 def cq_score(t: Tables) -> DataFrame:
     return scored(t).groupBy("source").agg(F.round(F.avg("quality"), 6).alias("avg_quality"), F.count_if(c("quality") < X.INFECTED_BELOW).alias("infected"), F.count("*").alias("n"))
 
 
-@query("cq_label", f"SELECT doc_id, quality, {_LABEL} AS label FROM ({CQ_SQL})", "english")
+@query("cq_label", f"SELECT doc_id, quality, {_LABEL} AS label FROM ({CQ_SQL})")
 def cq_label(t: Tables) -> DataFrame:
     return scored(t).select("doc_id", "quality", X.quality_label(c("quality")).alias("label"))
 
 
-@query("cq_infected", f"SELECT doc_id FROM ({CQ_SQL}) WHERE quality < .32", "english")
+@query("cq_infected", f"SELECT doc_id FROM ({CQ_SQL}) WHERE quality < .32")
 def cq_infected(t: Tables) -> DataFrame:
     return scored(t).where(c("quality") < X.INFECTED_BELOW).select("doc_id")
 
 
-@query("cq_audit", f"WITH q AS ({CQ_SQL}) (SELECT 'worst' AS kind, doc_id, quality FROM q ORDER BY quality, doc_id LIMIT 10) UNION ALL (SELECT 'best', doc_id, quality FROM q ORDER BY quality DESC, doc_id LIMIT 10) UNION ALL SELECT 'infected_pct', NULL, round(100.0 * count(*) FILTER (quality < .32) / count(*), 4)::DOUBLE FROM q UNION ALL SELECT 'avg', NULL, round(avg(quality), 6) FROM q".replace("WITH q AS", "WITH english AS (SELECT * FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')), q AS"))
+@query("cq_audit", f"WITH q AS ({CQ_SQL}) (SELECT 'worst' AS kind, doc_id, quality FROM q ORDER BY quality, doc_id LIMIT 10) UNION ALL (SELECT 'best', doc_id, quality FROM q ORDER BY quality DESC, doc_id LIMIT 10) UNION ALL SELECT 'infected_pct', NULL, round(100.0 * count(*) FILTER (quality < .32) / count(*), 4)::DOUBLE FROM q UNION ALL SELECT 'avg', NULL, round(avg(quality), 6) FROM q")
 def cq_audit(t: Tables) -> DataFrame:
     q = scored(t).select("doc_id", "quality")
     top = lambda kind, *order: q.orderBy(*order, "doc_id").limit(10).select(F.lit(kind).alias("kind"), "doc_id", "quality")
@@ -73,12 +76,12 @@ def cq_audit(t: Tables) -> DataFrame:
     return top("worst", c("quality")).unionByName(top("best", c("quality").desc())).unionByName(rates)
 
 
-@query("hq_score", f"SELECT doc_id, round(least(nw / 500.0, 1.0)::DOUBLE * .4 + CASE WHEN regexp_matches(text, '\\d') THEN .2 ELSE 0 END + CASE WHEN regexp_matches(text, {_str(X.HARVEST_DATE)}) THEN .2 ELSE 0 END + CASE WHEN len(list_distinct(lines)) / greatest(len(lines), 1)::DOUBLE > .7 THEN .2 ELSE 0 END, 4)::DOUBLE AS quality FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS nw, list_filter(list_transform(string_split_regex(text, '\\r\\n|[\\n\\r]'), lambda x: trim(x, ' ')), lambda x: length(x) > 0) AS lines FROM english)", "english")
+@query("hq_score", f"SELECT doc_id, round(least(nw / 500.0, 1.0)::DOUBLE * .4 + CASE WHEN regexp_matches(text, '\\d') THEN .2 ELSE 0 END + CASE WHEN regexp_matches(text, {_str(X.HARVEST_DATE)}) THEN .2 ELSE 0 END + CASE WHEN len(list_distinct(lines)) / greatest(len(lines), 1)::DOUBLE > .7 THEN .2 ELSE 0 END, 4)::DOUBLE AS quality FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS nw, list_filter(list_transform(string_split_regex(text, '\\r\\n|[\\n\\r]'), lambda x: trim(x, ' ')), lambda x: length(x) > 0) AS lines FROM documents)")
 def hq_score(t: Tables) -> DataFrame:
-    return t.english.select("doc_id", X.harvest_quality(c("text")).alias("quality"))
+    return t.documents.select("doc_id", X.harvest_quality(c("text")).alias("quality"))
 
 
-_LANG = "CASE WHEN word_count < 10 THEN 'unknown' " + " ".join(f"WHEN {_any('lower(left(raw_text, 500))', m)} THEN '{n}'" for n, m in X.LANGUAGE_MARKS) + " ELSE 'unknown' END"
+_LANG = "CASE WHEN word_count < 10 THEN 'unknown' " + " ".join(f"WHEN {_any('lower(raw_text)', m)} THEN '{n}'" for n, m in X.LANGUAGE_MARKS) + " ELSE 'unknown' END"
 
 
 @query("lang_guess", f"SELECT id, {_LANG} AS language FROM content", "content")
@@ -89,17 +92,17 @@ def lang_guess(t: Tables) -> DataFrame:
 _SNIP = f"round(least(1.0, (2 * {_n('s', X.SNIPPET_NUMBER)} + 3 * {_n('s', X.SNIPPET_DATE)} + 2 * {_n('s', X.SNIPPET_UNIT)} + .5 * {_n('s', X.SNIPPET_PROPER)})::DOUBLE / greatest({_n('s', '[^ \\t\\n\\r]+')}, 1) * 100 / 8), 3)"
 
 
-@query("snip_density", f"SELECT doc_id, CASE WHEN {_n('s', '[^ \\t\\n\\r]+')} < 2 THEN 0 ELSE {_SNIP} END::DOUBLE AS density FROM (SELECT doc_id, trim(left(text, 300), ' ') AS s FROM english)", "english")
+@query("snip_density", f"SELECT doc_id, CASE WHEN {_n('s', '[^ \\t\\n\\r]+')} < 2 THEN 0 ELSE {_SNIP} END::DOUBLE AS density FROM (SELECT doc_id, trim({marked('text')}, ' ') AS s FROM documents)")
 def snip_density(t: Tables) -> DataFrame:
-    return t.english.select("doc_id", X.snippet_density(F.substring("text", 1, 300)).alias("density"))
+    return t.documents.select("doc_id", X.snippet_density(c("text")).alias("density"))
 
 
 _TOPIC = "Market report with nation onthe data that enener ation"
 
 
-@query("topic_dq", f"SELECT doc_id, s < .2 AS dq, round(s, 3) AS score FROM (SELECT doc_id, {_hits('lower(text)', ('market', 'report', 'nation', 'onthe', 'data', 'enener', 'ation'))} / 7.0::DOUBLE AS s FROM english)", "english")
+@query("topic_dq", f"SELECT doc_id, s < .2 AS dq, round(s, 3) AS score FROM (SELECT doc_id, {_hits('lower(text)', ('market', 'report', 'nation', 'onthe', 'data', 'enener', 'ation'))} / 7.0::DOUBLE AS s FROM documents)")
 def topic_dq(t: Tables) -> DataFrame:
-    return t.english.select("doc_id", X.off_topic(c("text"), F.lit(_TOPIC)).alias("x")).select("doc_id", "x.dq", "x.score")
+    return t.documents.select("doc_id", X.off_topic(c("text"), F.lit(_TOPIC)).alias("x")).select("doc_id", "x.dq", "x.score")
 
 
 _TOPICS = ("AI", "EU export of steel 2024", "How does Poland market share of cloud software compare versus Germany in 2023", "Turkey sanctions bypass trade and oil bank", "news", "Impact of inflation and GDP growth on energy prices", "NATO weapons in Ukraine last 5 years", 'Pricing of "GreenCell" batteries, revenue 20M')
@@ -124,12 +127,12 @@ def clarify(t: Tables) -> DataFrame:
     return topics(t).select("topic", F.concat_ws(",", X.clarifications(c("topic"))).alias("asks"))
 
 
-@query("kw_extract", f"SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')), lambda w: NOT list_contains([{', '.join(map(_str, X.KEYWORD_STOP))}], w))), ',') AS words FROM english", "english")
+@query("kw_extract", f"SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')), lambda w: NOT list_contains([{', '.join(map(_str, X.KEYWORD_STOP))}], w))), ',') AS words FROM documents")
 def kw_extract(t: Tables) -> DataFrame:
-    return t.english.select("doc_id", F.concat_ws(",", F.array_sort(X.keywords(c("text")))).alias("words"))
+    return t.documents.select("doc_id", F.concat_ws(",", F.array_sort(X.keywords(c("text")))).alias("words"))
 
 
-_ALL = "(lower(title) || ' ' || lower(domain) || ' ' || lower(left(raw_text, 500)))"
+_ALL = "(lower(title) || ' ' || lower(domain) || ' ' || lower(raw_text))"
 _DOC_TYPE = "CASE " + " ".join(f"WHEN {_any('lower(domain)' if w == 'domain' else _ALL, k)} THEN '{n}'" for n, w, k in X.DOC_TYPES) + " ELSE 'general' END"
 
 
@@ -160,7 +163,7 @@ def ctx_header(t: Tables) -> DataFrame:
     return t.content.select("id", X.context_header(c("title"), c("domain"), F.lit("2024-01-05T10:00"), c("mission_id"), F.array("language", F.lit("x")), signal).alias("header"))
 
 
-@query("norm_span", r"SELECT id, trim(regexp_replace(lower(claim), '[^\w\s]', ' ', 'g'), ' ') AS span FROM claims", "claims")
+@query("norm_span", r"SELECT id, trim(regexp_replace(lower(claim), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), ' ') AS span FROM claims", "claims")
 def norm_span(t: Tables) -> DataFrame:
     return t.claims.select("id", X.normal_span(c("claim")).alias("span"))
 
@@ -173,7 +176,7 @@ def norm_claim(t: Tables) -> DataFrame:
 _STRIP = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
 
 
-@query("src_html", f"SELECT page_id, left({_STRIP}, 8000) AS text FROM pages")
+@query("src_html", f"SELECT page_id, {_STRIP} AS text FROM pages")
 def src_html(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.html_text(c("html")).alias("text"))
 

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions import text as X
-from ..lens import Tables, n_tokens
+from ..lens import Tables, marked, n_tokens
 from ..operators import relational as R
 from ..operators import similarity as S
 from .text import _str
@@ -18,31 +17,31 @@ c = F.col
 KEYS = ("market", "nation", "onthe", "data", "enener", "ation", "the", "with")
 
 
-def keyword_relevance(text: Column, keys) -> Column:
-    """Share of the keywords among the words of the first 2000 characters, full at 40 percent; short texts .5."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.substring(text, 1, 2000)), F.lit("[a-z0-9]{3,}"), 0))
+def keyword_relevance(text: Column, keys, most: int | None = None) -> Column:
+    """Share of the keywords among a text's words (with ``most``: of its first so many characters), full at 40 percent; short texts .5."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text if most is None else F.substring(text, 1, most)), F.lit("[a-z0-9]{3,}"), 0))
     share = F.size(F.array_intersect(words, F.array(*map(F.lit, keys)))) / max(1, len(keys) * 0.4)
     return F.when(F.length(text) < 100, 0.5).otherwise(F.least(F.lit(1.0), share))
 
 
-_REL = f"CASE WHEN length(text) < 100 THEN .5 ELSE least(1.0, len(list_intersect(list_distinct(regexp_extract_all(lower(left(text, 2000)), '[a-z0-9]{{3,}}')), [{', '.join(map(_str, KEYS))}])) / {max(1, len(KEYS) * 0.4)})::DOUBLE END"
+_REL = f"CASE WHEN length(text) < 100 THEN .5 ELSE least(1.0, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')), [{', '.join(map(_str, KEYS))}])) / {max(1, len(KEYS) * 0.4)})::DOUBLE END"
 
 
 def relevant(t: Tables) -> DataFrame:
-    return t.english.select("doc_id", keyword_relevance(c("text"), KEYS).alias("kw"))
+    return t.documents.select("doc_id", keyword_relevance(c("text"), KEYS).alias("kw"))
 
 
-@query("rel_overlap", f"SELECT doc_id, round({_REL}, 6)::DOUBLE AS kw FROM english", "english")
+@query("rel_overlap", f"SELECT doc_id, round({_REL}, 6)::DOUBLE AS kw FROM documents")
 def rel_overlap(t: Tables) -> DataFrame:
     return relevant(t).select("doc_id", F.round("kw", 6).alias("kw"))
 
 
-@query("rel_stage", f"SELECT doc_id, CASE WHEN kw >= .25 THEN 'auto' WHEN kw >= .1 THEN 'score' ELSE 'drop' END AS stage FROM (SELECT doc_id, {_REL} AS kw FROM english)", "english")
+@query("rel_stage", f"SELECT doc_id, CASE WHEN kw >= .25 THEN 'auto' WHEN kw >= .1 THEN 'score' ELSE 'drop' END AS stage FROM (SELECT doc_id, {_REL} AS kw FROM documents)")
 def rel_stage(t: Tables) -> DataFrame:
     return relevant(t).select("doc_id", F.when(c("kw") >= 0.25, "auto").when(c("kw") >= 0.1, "score").otherwise("drop").alias("stage"))
 
 
-@query("rel_blend", f"SELECT doc_id FROM (SELECT doc_id, kw, s, (SELECT count(*) > 5 AND count(*) FILTER (((doc_id * 7) % 100) / 100.0 < .05) > .8 * count(*) FROM english) AS only_kw FROM (SELECT doc_id, {_REL} AS kw, ((doc_id * 7) % 100) / 100.0::DOUBLE AS s FROM english)) WHERE CASE WHEN only_kw THEN kw ELSE .8 * s + .2 * kw END >= .4", "english")
+@query("rel_blend", f"SELECT doc_id FROM (SELECT doc_id, kw, s, (SELECT count(*) > 5 AND count(*) FILTER (((doc_id * 7) % 100) / 100.0 < .05) > .8 * count(*) FROM documents) AS only_kw FROM (SELECT doc_id, {_REL} AS kw, ((doc_id * 7) % 100) / 100.0::DOUBLE AS s FROM documents)) WHERE CASE WHEN only_kw THEN kw ELSE .8 * s + .2 * kw END >= .4")
 def rel_blend(t: Tables) -> DataFrame:
     d = relevant(t).withColumn("s", (c("doc_id") * 7) % 100 / 100.0)
     only = d.agg(((F.count("*") > 5) & (F.count_if(c("s") < 0.05) > 0.8 * F.count("*"))).alias("only_kw"))
@@ -70,10 +69,9 @@ def cv_cross(t: Tables) -> DataFrame:
 
     A claim's seed is the first, by rank, of the claims like it; seeds whose group spans one site consume nobody.
     """
-    claims = t.all_claims.select("id", "mission_id", "claim", "confidence", "source_url")
-    sets = claims.select("id", F.lit(0).alias("b"), F.regexp_extract_all(F.lower("claim"), F.lit("[a-z0-9]{3,}"), 0).alias("tokens"))
-    text = claims.select("id", "claim", "source_url", "confidence")
-    near = S.jaccard_pairs(sets, 0.5).select("a", "b").join(text.toDF("a", "x", "ux", "cx"), "a").join(text.toDF("b", "y", "uy", "cy"), "b").where((S.token_set_ratio("x", "y") >= 72) & (c("ux") != c("uy")))
+    near = S.set_ratio_pairs(t.claims.select("id", c("claim").alias("text")), 72)
+    own = t.claims.select("id", "confidence", "source_url")
+    near = near.select("a", "b").join(own.toDF("a", "cx", "ux"), "a").join(own.toDF("b", "cy", "uy"), "b").where(c("ux") != c("uy"))
     seeds = near.groupBy(c("b").alias("id")).agg(F.min(F.struct("a", "cx")).alias("s"), F.count_distinct("ux").alias("n"))
     return seeds.select("id", F.round(F.least(F.lit(0.95), c("s.cx") + 0.15), 6).alias("confidence"), F.concat(F.lit("cross_validated:"), (c("n") + 1).cast("string"), F.lit("domains")).alias("flag"))
 
@@ -98,47 +96,53 @@ def nc_norm(t: Tables) -> DataFrame:
 
 
 def conflicts(numbers: DataFrame, least: float = 0.5, divergence: float = 20.0) -> DataFrame:
-    """Numbers (id, category, year, unit, value) of one category, year and unit that differ by 20 percent or more.
+    """a, b, divergence, severity: for each number that some other one contradicts, its strongest opponent.
 
-    Groups are joined by equality; within a group a number meets those after it. Divergence is relative to
-    the larger value and so below 100: CRITICAL can't occur, and is kept as the label that it would have.
+    numbers: id, category, year, unit, value. Numbers of one category, year and unit conflict where they differ
+    by 20 percent or more of the larger one, so divergence is below 100 and CRITICAL, kept as a label, can't
+    occur. A number's strongest opponent is the least or the greatest of its group (of equal ones that with
+    the smallest id), so no pairs are made: both are pre-aggregated and joined back.
     """
     n = numbers.where(c("value") >= least)
-    pairs = n.select("category", "year", "unit", c("id").alias("a"), c("value").alias("x")).join(n.select("category", "year", "unit", c("id").alias("b"), c("value").alias("y")), ["category", "year", "unit"]).where("a < b")
-    d = F.abs(c("x") - c("y")) / F.greatest("x", "y") * 100
-    return pairs.withColumn("divergence", F.round(d, 6)).where(c("divergence") >= divergence).withColumn("severity", F.when(c("divergence") > 100, "CRITICAL").when(c("divergence") > 50, "HIGH").otherwise("MEDIUM"))
+    group = ["category", "year", "unit"]
+    ends = n.groupBy(*group).agg(F.min(F.struct("value", "id")).alias("low"), F.max(F.struct(c("value"), (-c("id")).alias("minus"))).alias("high"))
+    far = lambda y: F.round(F.abs(c("value") - y) / F.greatest("value", y) * 100, 6)
+    met = n.join(ends, group).select(c("id").alias("a"), far(c("low.value")).alias("d0"), c("low.id").alias("b0"), far(c("high.value")).alias("d1"), (-c("high.minus")).alias("b1"))
+    first = (c("d0") > c("d1")) | ((c("d0") == c("d1")) & (c("b0") < c("b1")))
+    pairs = met.select("a", F.when(first, c("b0")).otherwise(c("b1")).alias("b"), F.greatest("d0", "d1").alias("divergence")).where(c("divergence") >= divergence)
+    return pairs.withColumn("severity", F.when(c("divergence") > 100, "CRITICAL").when(c("divergence") > 50, "HIGH").otherwise("MEDIUM"))
 
 
-_NUMS = "SELECT l_orderkey * 10 + l_linenumber AS id, p_brand AS category, year(l_shipdate) * 100 + month(l_shipdate) AS year, l_linestatus AS unit, l_extendedprice AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 1"
-_CONF = f"SELECT a, b, d AS divergence, CASE WHEN d > 100 THEN 'CRITICAL' WHEN d > 50 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM (SELECT x.id AS a, y.id AS b, round(abs(x.value - y.value) / greatest(x.value, y.value) * 100, 6) AS d FROM ({_NUMS}) x JOIN ({_NUMS}) y USING (category, year, unit) WHERE x.id < y.id AND x.value >= .5 AND y.value >= .5) WHERE d >= 20"
+_NUMS = "SELECT l_orderkey * 10 + l_linenumber AS id, p_brand AS category, year(l_shipdate) * 100 + month(l_shipdate) AS year, l_linestatus AS unit, l_extendedprice AS value FROM lineitem JOIN part ON l_partkey = p_partkey"
+#: All pairs of a group, and of each number's the strongest.
+_CONF = f"SELECT a, b, d AS divergence, CASE WHEN d > 100 THEN 'CRITICAL' WHEN d > 50 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM (SELECT x.r, x.id AS a, y.id AS b, round(abs(x.value - y.value) / greatest(x.value, y.value) * 100, 6) AS d FROM (SELECT *, row_number() OVER () AS r FROM ({_NUMS})) x JOIN ({_NUMS}) y USING (category, year, unit) WHERE x.value >= .5 AND y.value >= .5) WHERE d >= 20 QUALIFY row_number() OVER (PARTITION BY r ORDER BY d DESC, b) = 1"
 
 
-def _numbers(t: Tables) -> DataFrame:
-    p = t.part.where("p_size = 1").select("p_partkey", c("p_brand").alias("category"))
-    l = t.lineitem.join(p, c("l_partkey") == c("p_partkey"))
-    return l.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), "category", (F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("year"), c("l_linestatus").alias("unit"), c("l_extendedprice").alias("value"))
+def strongest(t: Tables) -> DataFrame:
+    l = t.lineitem.join(t.part.select("p_partkey", c("p_brand").alias("category")), c("l_partkey") == c("p_partkey"))
+    return conflicts(l.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), "category", (F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("year"), c("l_linestatus").alias("unit"), c("l_extendedprice").alias("value")))
 
 
 @query("nc_detect", _CONF)
 def nc_detect(t: Tables) -> DataFrame:
-    return conflicts(_numbers(t)).select("a", "b", "divergence", "severity")
+    return strongest(t)
 
 
 @query("jn_theta_conflict", f"SELECT severity, count(*) AS n FROM ({_CONF}) GROUP BY severity")
 def jn_theta_conflict(t: Tables) -> DataFrame:
-    return conflicts(_numbers(t)).groupBy("severity").agg(F.count("*").alias("n"))
+    return strongest(t).groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@query("nc_persist", f"SELECT a, b, CASE WHEN divergence > 50 THEN 'STRONG' ELSE 'MODERATE' END AS strength, round(least(1, divergence / 200), 6)::DOUBLE AS challenge, 'Conflict: ' || a || ' vs ' || b AS claim FROM ({_CONF})")
+@query("nc_persist", f"SELECT a, b, CASE WHEN divergence > 50 THEN 'STRONG' ELSE 'MODERATE' END AS strength, round(least(1, divergence / 200), 9)::DOUBLE AS challenge, 'Conflict: ' || a || ' vs ' || b AS claim FROM ({_CONF})")
 def nc_persist(t: Tables) -> DataFrame:
     d = c("divergence")
-    return conflicts(_numbers(t)).select("a", "b", F.when(d > 50, "STRONG").otherwise("MODERATE").alias("strength"), F.round(F.least(F.lit(1.0), d / 200), 6).alias("challenge"), F.concat(F.lit("Conflict: "), c("a").cast("string"), F.lit(" vs "), c("b").cast("string")).alias("claim"))
+    return strongest(t).select("a", "b", F.when(d > 50, "STRONG").otherwise("MODERATE").alias("strength"), F.round(F.least(F.lit(1.0), d / 200), 9).alias("challenge"), F.concat(F.lit("Conflict: "), c("a").cast("string"), F.lit(" vs "), c("b").cast("string")).alias("claim"))
 
 
 @query("nc_report", f"SELECT a, b, divergence FROM ({_CONF}) ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END, divergence DESC, a, b LIMIT 15")
 def nc_report(t: Tables) -> DataFrame:
     rank = F.when(c("severity") == "CRITICAL", 0).when(c("severity") == "HIGH", 1).otherwise(2)
-    return conflicts(_numbers(t)).orderBy(rank, c("divergence").desc(), "a", "b").limit(15).select("a", "b", "divergence")
+    return strongest(t).orderBy(rank, c("divergence").desc(), "a", "b").limit(15).select("a", "b", "divergence")
 
 
 _GATE = "SELECT m.id, d.ok, d.n, d.med, coalesce(k.n, 0) AS claims FROM missions m LEFT JOIN (SELECT mission_id, count(*) FILTER (word_count >= 100) AS ok, count(*) AS n, quantile_cont(word_count, .5)::DOUBLE AS med FROM content GROUP BY mission_id) d ON d.mission_id = m.id LEFT JOIN (SELECT mission_id, count(*) AS n FROM claims GROUP BY mission_id) k ON k.mission_id = m.id"
@@ -206,6 +210,6 @@ def pc_finish(t: Tables) -> DataFrame:
     return t.missions.select("id").join(a, "id", "left").fillna(0)
 
 
-@query("pc_fallback", f"SELECT doc_id, {X and 'len(regexp_extract_all(text, ' + _str(r'\b[A-Z][a-z]+ (?:[A-Z][a-z]+ )?[A-Z][a-z]+\b') + '))'} AS persons, 'LOW' AS label FROM english", "english")
+@query("pc_fallback", f"SELECT doc_id, {'len(regexp_extract_all(' + marked('text') + ', ' + _str(r'\b[A-Z][a-z]+ (?:[A-Z][a-z]+ )?[A-Z][a-z]+\b') + '))'} AS persons, 'LOW' AS label FROM documents")
 def pc_fallback(t: Tables) -> DataFrame:
-    return t.english.select("doc_id", F.regexp_count("text", F.lit(r"\b[A-Z][a-z]+ (?:[A-Z][a-z]+ )?[A-Z][a-z]+\b")).cast("bigint").alias("persons"), F.lit("LOW").alias("label"))
+    return t.documents.select("doc_id", F.regexp_count("text", F.lit(r"(?U)\b[A-Z][a-z]+ (?:[A-Z][a-z]+ )?[A-Z][a-z]+\b")).cast("bigint").alias("persons"), F.lit("LOW").alias("label"))

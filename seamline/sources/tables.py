@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import shared
+from ..storage import place
 
-
-def place(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one."""
-    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["Store", "append", "first_readable", "place", "registry"]
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -33,3 +31,48 @@ def first_readable(spark: SparkSession, paths: list[str]) -> DataFrame:
         except AnalysisException:
             continue
     return spark.read.parquet(paths[-1])
+
+
+class Store:
+    """A table that is changed as a whole: each commit is a new version, and the highest one counts.
+
+    A version is written beside the table and renamed into place, so readers see a change whole or not at
+    all, and a failed one leaves nothing. Of two writers at once the second one's rename fails.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def version(self) -> int:
+        """The number of the last commit, 0 before the first."""
+        if not self._fs.exists(self._hadoop(self.path)):
+            return 0
+        names = (s.getPath().getName() for s in self._fs.listStatus(self._hadoop(self.path)))
+        return max((int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit()), default=0)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/v{self.version()}")
+
+    def commit(self, rows: DataFrame) -> None:
+        """``rows`` are the table from now on."""
+        self._change(rows, keep=True)
+
+    def transaction(self, change: Callable[[DataFrame], DataFrame], dry_run: bool = False) -> int:
+        """Runs ``change`` on the table and commits it; the number of rows. A dry run computes all and keeps nothing."""
+        return self._change(change(self.read()), keep=not dry_run)
+
+    def _change(self, rows: DataFrame, keep: bool) -> int:
+        number = self.version() + 1
+        at = self._hadoop(f"{self.path}/new-{uuid.uuid4().hex}")
+        try:
+            rows.write.parquet(at.toString())
+            n = self.spark.read.schema(rows.schema).parquet(at.toString()).count()
+            target = self._hadoop(f"{self.path}/v{number}")
+            if keep and (self._fs.exists(target) or not self._fs.rename(at, target)):
+                raise RuntimeError(f"version {number} of {self.path} was committed by another writer")
+            return n
+        finally:
+            if self._fs.exists(at):
+                self._fs.delete(at, True)

@@ -12,10 +12,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset (as in tests)."""
+    """The folder in spark.checkpoint.dir; where that is unset, one of our own in local mode (as in tests), else an error."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
     if (at := spark.sparkContext.getCheckpointDir()) is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seamline-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
@@ -37,12 +39,18 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one; it is removed when the application ends."""
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again."""
     spark = df.sparkSession
-    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..storage import shared
+from ..storage import place
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
@@ -67,12 +67,27 @@ def rate_limited(events: DataFrame, limit: int, period: float) -> DataFrame:
     return timed.groupBy("user_id").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
 
 
+def rate_limited_batch(events: DataFrame, limit: int, period: float) -> DataFrame:
+    """rate_limited() over a table: users' events in order of time pass by; no user's are held, but at most ``limit`` times."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, accepted = None, []
+        for rows in batches:
+            ok = []
+            for who, own in rows.groupby("user_id", sort=False, dropna=False):
+                passed, accepted = allow(own["at"].tolist(), accepted if who == user else [], limit, period)
+                user = who
+                ok += passed
+            yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "allowed": ok})
+
+    timed = events.select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("at"))
+    return timed.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInPandas(work, "user_id bigint, event_id bigint, allowed boolean")
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now and returns what it wrote, as a table in the shared folder."""
     spark = stream.sparkSession
-    import uuid
-
-    at = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    at = place(spark, name)
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
     else:
