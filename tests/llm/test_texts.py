@@ -259,30 +259,108 @@ def test_language_model(docs, empty):
     assert rows(lm.lm_scores(empty)) == []
 
 
-def test_shares_of_a_context_sum_to_one():
-    rng = np.random.default_rng(0)
-    p = lm.Parameters(*(rng.normal(0, 1, (n, lm.WIDTH)).astype(np.float32) for n in (lm.UNITS + 1, lm.UNITS + 1, lm.UNITS)), rng.normal(0, 1, lm.UNITS).astype(np.float32))
-    units = np.arange(lm.UNITS)
-    for a, b in ((3, 7), (lm.BEFORE, lm.BEFORE)):
-        shares = lm.log_shares(p, np.full(lm.UNITS, a), np.full(lm.UNITS, b), units)
-        assert abs((10**shares).sum() - 1) < 1e-5
+def drawn_vocabulary(rng, size, words):
+    """A vocabulary of some words and counts, and all words by class with their counts."""
+    import pyarrow as pa
+
+    counts = np.sort(rng.integers(1, 400, len(words)))[::-1].astype(np.float64)
+    own = lm.tails(pa.array(words, pa.binary())) % size.classes
+    class_n, class_v = np.bincount(own, counts, size.classes), np.bincount(own, minlength=size.classes)
+    inside = size.top + size.words
+    return lm.Codes(size, pa.array(words[:inside], pa.binary()), counts[:inside], 17, class_n, class_v), counts, own
+
+
+def drawn_parameters(rng, size):
+    u, v = size.units, size.rows
+    return lm.Parameters(*(rng.normal(0, 0.5, s).astype(np.float32) for s in ((u + 1, lm.WIDTH), (u + 1, lm.WIDTH), (u, lm.WIDTH), (u,), (u + 1, lm.WIDTH), (v, lm.WIDTH), (v,))))
+
+
+def test_scores_equal_plain_sums_and_shares_add_up_to_one():
+    rng = np.random.default_rng(2)
+    size = lm.Sizes(top=6, classes=5, words=20, shards=1)
+    words = sorted({bytes(rng.choice(list(b"abcdefg"), int(rng.integers(1, 5))).tolist()) for _ in range(60)})
+    vocabulary, counts, own = drawn_vocabulary(rng, size, words)
+    p = drawn_parameters(rng, size)
+    scorer = lm.Scorer(p, vocabulary)
+
+    def softmax(z):
+        z = np.exp(z - z.max())
+        return z / z.sum()
+
+    def plain(a, b):
+        """Probability of the end, of every word, and of an unseen one of each class."""
+        units = softmax((p.first[a] + p.second[b]).astype(float) @ p.target.T.astype(float) + p.bias)
+        out = {"end": units[0]}
+        for i in range(size.top):
+            out[words[i]] = units[1 + i]
+        for c in range(size.classes):
+            mine = [i for i in range(size.top, size.top + size.words) if own[i] == c]
+            rest = [i for i in range(size.top + size.words, len(words)) if own[i] == c]
+            at = [i - size.top for i in mine] + [size.words + c]
+            shares = units[1 + size.top + c] * softmax(p.before[a].astype(float) @ p.word[at].T.astype(float) + p.word_bias[at])
+            out.update({words[i]: s for i, s in zip(mine, shares)})
+            mass = sum(counts[i] + 0.1 for i in rest) + 0.1
+            out.update({words[i]: shares[-1] * (counts[i] + 0.1) / mass for i in rest})
+            out["unseen", c] = shares[-1] * 0.1 / mass
+        return out
+
+    import pyarrow as pa
+
+    codes = vocabulary.codes(pa.array(words, pa.binary()))
+    text = rng.integers(0, len(words), 40)
+    tokens, starts = lm._stream(codes[text], np.array([0, 25, 25, 40]), 0)
+    got = scorer(tokens, starts)
+    names = []
+    for part in (text[:25], text[25:25], text[25:]):
+        names += [*(words[i] for i in part), "end"]
+    unit = vocabulary.unit_of[tokens]
+    for i, name in enumerate(names):
+        j = i - starts[np.searchsorted(starts, i, "right") - 1]
+        a, b = unit[i - 1] if j >= 1 else size.units, unit[i - 2] if j >= 2 else size.units
+        shares = plain(a, b)
+        assert sum(shares.values()) == pytest.approx(1, abs=1e-6)
+        want = np.log10(shares[name])
+        if tokens[i] >= vocabulary.rest:
+            at = words.index(name)
+            want -= np.log10((counts[at] + 0.1) / vocabulary.rest_mass[own[at]])
+        assert got[i] == pytest.approx(want, abs=1e-5)
 
 
 def test_training_learns_what_follows_what():
-    rng = np.random.default_rng(1)
-    units = np.where(np.arange(60000) % 2 == 0, rng.integers(1, 5, 60000), rng.integers(5, 9, 60000))
-    first, second = lm._contexts(units, np.array([0, 60000]))
-    noise = (np.bincount(units, minlength=lm.UNITS) + 0.1) / (60000 + 0.1 * lm.UNITS)
-    start = lm.Parameters(*(rng.normal(0, 0.05, (n, lm.WIDTH)).astype(np.float32) for n in (lm.UNITS + 1, lm.UNITS + 1, lm.UNITS)), np.log(noise).astype(np.float32))
-    model, seen = lm.train(start, noise, iter([(units, first, second)] * 4))
-    assert seen == 240000
-    assert lm.log_shares(model, first, second, units).mean() > np.log10(noise[units]).mean() + 0.2
-
-
-def _prose(rng, junk):
-    words = ["alpha", "beta", "gamma", "delta", "stone", "river", "green", "quiet", "sun", "moon"]
-    w = [str(rng.choice(words)) for _ in range(int(rng.integers(20, 80)))]
-    return " ".join(x.upper() + "!!" for x in w) if junk else " ".join(w).capitalize() + "."
+    rng = np.random.default_rng(3)
+    words = [f"w{i:02d}".encode() for i in range(40)]
+    size = lm.Sizes(top=10, classes=3, words=25, shards=1)
+    vocabulary, _, _ = drawn_vocabulary(rng, size, words)
+    codes = rng.integers(1, 36, 60000)
+    codes[1::2] = (codes[::2] * 7) % 35 + 1  # every second word follows from the one before
+    texts = [(codes[i : i + 200], 1) for i in range(0, 60000, 200)]
+    start = vocabulary.start()
+    model, seen = lm.train(start, vocabulary, lm.chunks(iter(texts * 3)), 1)
+    assert seen == 3 * (60000 + 300)
+    tokens, starts, _ = next(lm.chunks(iter(texts[:100])))
+    assert lm.Scorer(model, vocabulary)(tokens, starts).mean() > lm.Scorer(start, vocabulary)(tokens, starts).mean() + 0.25
+    # A weight counts as repetitions do.
+    assert lm.train(start, vocabulary, lm.chunks(iter([(codes[:50], 3)])), 1)[1] == 3 * 51
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.4, int(rng.integers(1, 80))) % 300) for _ in range(120)]
+    rows_ = [(i, texts[i % 100]) for i in range(120)] + [(500, None), (501, "")]
+    df = spark.createDataFrame(rows_, "doc_id bigint, text string")
+    found = []
+    for n in (1, 5):
+        found.append({r.doc_id: r for r in lm.lm_scores(df.repartition(n), hot_words=50).collect()})
+    for i in found[0]:
+        assert found[0][i].score == pytest.approx(found[1][i].score, rel=1e-9) and found[0][i].base_score == pytest.approx(found[1][i].base_score, rel=1e-9)
+        assert found[0][i].n_tokens == found[1][i].n_tokens and found[0][i].n_known == found[1][i].n_known
+    assert found[0][3].score == pytest.approx(found[0][103].score, rel=1e-9)
+
+
+def test_vocabulary_grows_with_the_corpus():
+    grown = [lm.sizes(n, 10**9) for n in (0, 10**4, 10**6, 10**8, 10**10)]
+    assert all(a.top < b.top and a.words < b.words and a.classes < b.classes and a.shards <= b.shards for a, b in zip(grown, grown[1:]))
+    assert lm.sizes(10**6, 100)[::2] == (100, 0)
 
 
 def test_quality(spark, empty):
