@@ -14,7 +14,7 @@ from .simhash import near_duplicates
 from .token_counts import token_counts
 from .toolcalls import REPLY_SCHEMA, conversation_calls, link
 from .topk import top_k
-from .urls import Rule, judge
+from .urls import Rule, judge, variant_edges
 from .warc import audit
 
 
@@ -45,7 +45,9 @@ URL_RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+    """The tables' pages hold no canonical links or refreshes, so usual redirects between spellings of a url are known edges."""
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, URL_RULES, variant_edges(pages))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,20 +89,31 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= 5
 """
 
-#: The tables' pages hold no canonical links or refreshes; aliases are tested on small fixtures.
-OP5_SQL = """
+#: The tables' pages hold no canonical links or refreshes (these are tested on small fixtures); redirects between spellings form stars around the plain one.
+OP5_SQL = r"""
 WITH p AS (
-  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
 ), h AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*[^?#]*([^#]*)', 1) AS query FROM p
+), n AS (
+  SELECT page_id, host, path, host || path || query AS name,
+    regexp_replace(regexp_replace(host || path, '^((www|m)\.)+', ''), '(/|\.html)+$', '') || regexp_replace(regexp_replace(query, '[?&](utm_[a-z]+|ref)=[^&]*', '', 'g'), '^&', '?') AS plain FROM h
 ), r(action, rhost, rpath) AS (
   VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), members AS (
+  SELECT DISTINCT plain, name FROM n WHERE name IS NOT NULL UNION SELECT plain, plain FROM n WHERE name <> plain
+), ruled AS (
+  SELECT plain, name, arg_max(action, length(rhost || rpath)) AS action FROM members LEFT JOIN r
+  ON (regexp_extract(name, '^[^/?]*', 0) = rhost OR ends_with(regexp_extract(name, '^[^/?]*', 0), '.' || rhost)) AND starts_with(regexp_extract(name, '^[^/?]*([^?]*)', 1), rpath)
+  GROUP BY plain, name
+), g AS (
+  SELECT plain, min(name) AS alias_of, bool_or(action = 'block') AS block, coalesce(bool_or(action = 'allow'), false) AS allow FROM ruled GROUP BY plain
+), own AS (
+  SELECT page_id, any_value(host) AS host, any_value(path) AS path, any_value(plain) AS plain, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(action, length(rhost || rpath)) AS action
+  FROM n LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id
 )
-SELECT page_id, any_value(host) AS host, any_value(path) AS path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule,
-  coalesce(arg_max(action, length(rhost || rpath)), 'allow') AS verdict
-FROM h LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
-GROUP BY page_id
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN block AND NOT allow THEN 'block' END, 'allow') AS verdict, alias_of FROM own LEFT JOIN g USING (plain)
 """
 
 OP7_SQL = """

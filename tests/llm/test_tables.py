@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seamline.llm import toolcalls, topk, urls, warc
 from seamline.llm.queries import URL_RULES
@@ -51,7 +52,7 @@ def test_url_filters(spark):
         (14, "http://c.xyz/1", "<link rel='canonical' href='http://example.com/en/7'>"), (15, "http://example.org/es/2", "<link rel='canonical' href='http://c.xyz/1'>"),
     ]
     df = spark.createDataFrame([(*p, "host", "clash") for p in pages], "page_id bigint, url string, html string, host string, verdict string")
-    found = sorted((tuple(r) for r in urls.judge(df, URL_RULES).collect()), key=repr)
+    found = sorted((tuple(r) for r in urls.judge(df, URL_RULES).drop("alias_of").collect()), key=repr)
     block, allow = "block", "allow"
     assert found == sorted(
         [
@@ -64,6 +65,30 @@ def test_url_filters(spark):
     assert {r.verdict for r in urls.judge(df, []).collect()} == {"allow"}
     more = spark.createDataFrame([("a.b/Q?x", "example.com/en/8")], "u string, v string")
     assert {r.page_id: r.verdict for r in urls.judge(df, URL_RULES, more).collect()}[6] == "block"
+    named = {r.page_id: r.alias_of for r in urls.judge(df, URL_RULES).collect()}
+    assert named[1] == named[2] == named[3] == "a.xyz/p" and named[4] is None and named[5] is None and named[14] == named[15] == "c.xyz/1" and named[8] == "example.com/en/8"
+    # Rules as a table decide alike.
+    rules = spark.createDataFrame([*URL_RULES, ("block", None, "/"), ("allow", "q.org", "/es"), ("block", "org", "/es/1234567890")], "action string, host string, path string")
+    listed = [*URL_RULES, urls.Rule("allow", "q.org", "/es"), urls.Rule("block", "org", "/es/1234567890")]
+    assert sorted(map(tuple, urls.judge(df, rules).collect()), key=repr) == sorted(map(tuple, urls.judge(df, listed).collect()), key=repr)
+
+
+def test_links_of_a_page(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://d.xyz/a/b/c.html?q=1#f", "https://d.xyz", "http://d.xyz/a/"]
+    links = ["/x", "x", "./x", "../x", "../../../x", "?page=2", "//e.org/p?q", "https://e.org/z#g", "/go?u=http://example.com/en/8", "go?u=a://b", "x/./y/../z", "..", ".", "a/..", "x?y=../z", "/a/b/../../c/./d/"]
+    df = spark.createDataFrame([(b, k) for b in bases for k in links], "b string, k string")
+    for r in df.select("b", "k", urls.absolute(F.col("b"), F.col("k")).alias("x")).collect():
+        want = urljoin(r.b, r.k).split("#")[0]
+        assert (r.x or "").removesuffix("/") == want.removesuffix("/") or (r.b, r.k) == ("https://d.xyz", "?page=2"), (r, want)
+    odd = df.limit(1).select(*(urls.absolute(F.lit("http://a.b/c"), F.lit(k)).alias(f"x{i}") for i, k in enumerate(["mailto:a@b.c", "javascript:void(0)", "", "#top", "ftp://x/y"]))).first()
+    assert set(odd) == {None}
+    page = "<base href='/deep/'><link rel='canonical' href='one'><link rel='canonical' href='http://e.org/two'><meta http-equiv=refresh content='1;url=../three'>"
+    edges = urls.alias_edges(spark.createDataFrame([("http://d.xyz/p", page), ("http://d.xyz/go", "<link rel=canonical href='/go?u=http://example.com/en/8'>")], "url string, html string"))
+    assert {tuple(r) for r in edges.collect()} == {("d.xyz/p", "d.xyz/deep/one"), ("d.xyz/p", "e.org/two"), ("d.xyz/p", "d.xyz/three"), ("d.xyz/go", "d.xyz/go?u=http://example.com/en/8")}
+    got = spark.createDataFrame([("www.m.a.b/x.html?utm_source=f&p=1&ref=x",), ("a.b/?ref=y",), ("a.b/x?p=1",)], "n string").select(urls.plain(F.col("n")).alias("x")).collect()
+    assert [r.x for r in got] == ["a.b/x?p=1", "a.b", "a.b/x?p=1"]
 
 
 CALLS = "conv_id bigint, call_id string, turn bigint, position int, name string, arguments string, after array<string>, status string"
