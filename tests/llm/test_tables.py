@@ -116,6 +116,29 @@ def test_tool_calls(spark):
     assert toolcalls.link(c.limit(0), r.limit(0), SCHEMAS).collect() == []
 
 
+def test_no_string_fails_a_job(spark):
+    odd = ['{"a":"\\ud800"}', '{"\\udc00":1}', '{"a":1,"a":2}', '{"a":NaN}', "[" * 100_000, '{"a":' + "9" * 5000 + "}", "", "null", '"\\u0000"', '{"a":1e999}', "{'a':1}"]
+    rows = [(i, f"{i}", 0, 0, "any", x, None) for i, x in enumerate(odd)] + [(100, "n", None, None, None, None, None), (1, "2:x", 0, 0, "any", "{}", None), (12, ":x", 0, 0, "any", "{}", None), (None, "x", 1, 1, "any", "{}", ["x", None])]
+    calls = spark.createDataFrame(rows, "conv_id bigint, call_id string, turn bigint, position int, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([(i, f"{i}", 1, "r") for i in range(11)] + [(1, "2:x", 1, "one"), (12, ":x", 1, "two"), (None, None, None, None)], "conv_id bigint, call_id string, turn bigint, content string")
+    got = {(r.conv_id, r.call_id): r for r in toolcalls.link(calls, results, {"any": {}}).collect()}
+    assert [got[i, f"{i}"].status for i in range(11)] == ["invalid"] * 7 + ["ok", "ok", "invalid", "invalid"]
+    assert "surrogate" in got[0, "0"].errors and "repeated key" in got[2, "2"].errors
+    assert json.loads(got[1, "2:x"].json)["result"] == "one" and json.loads(got[12, ":x"].json)["result"] == "two"
+    assert got[100, "n"].errors == "unknown tool" and got[None, "x"].status == "unanswered" and got[None, None].status == "orphan"
+
+
+def test_schemas_and_canonical_json():
+    for schema in ({"oneOf": []}, {"type": "text"}, {"properties": {"a": {"$ref": "#"}}}, {"items": {"format": "date"}}, {"additionalProperties": {}}, 3):
+        with pytest.raises(ValueError):
+            toolcalls.known_schema(schema)
+    check = toolcalls.check
+    assert check(True, {"enum": [1]}) and not check(1.0, {"enum": [1]}) and check("ab", {"const": "b"}) and not check([1], {"const": [1.0]})
+    assert check("ab", {"pattern": "^b"}) and not check("ab", {"pattern": "b"}) and check(3, {"exclusiveMaximum": 3}) and check([1, 2], {"maxItems": 1}) and check([], {"minItems": 1}) and check(1, {"exclusiveMinimum": 1})
+    # U+FB33 comes after the surrogates of U+1F600 as UTF-16 units, before it as a code point.
+    assert toolcalls.canonical({"\ufb33": 1, "\U0001f600": 2, "a": [1e-7, 1e21, 100.0, 0.1, -0.0, True, None]}) == '{"a":[1e-7,1e+21,100,0.1,0,true,null],"\U0001f600":2,"\ufb33":1}'
+
+
 def test_levels_of_a_long_chain_and_a_lattice(spark):
     chain = [(f"c{i:03}", f"c{i - 1:03}" if i else None) for i in range(200)]
     lattice = [("a", None), ("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("e", "d"), ("e", "a"), ("f", "e"), ("s", "s"), ("t", "s"), ("t", "a")]
