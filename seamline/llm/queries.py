@@ -59,11 +59,12 @@ def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Holds the archives of all pages against a replica in which some records are damaged or lost."""
-    pages = table(spark, sf_dir, "pages")
+    """Holds the archives of all pages against a replica in which some records are damaged, lost or added."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     rotten = F.when(F.pmod("page_id", F.lit(211)) == 5, F.overlay("html", F.lit("?"), F.lit(1))).otherwise(F.col("html"))
     replica = pages.where(F.coalesce(F.pmod("page_id", F.lit(997)) != 7, F.lit(True))).withColumn("html", rotten)
-    return audit(pages, replica)
+    added = pages.where(F.pmod("page_id", F.lit(503)) == 3).withColumn("page_id", -F.col("page_id"))
+    return audit(pages, replica.unionByName(added))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,15 +129,19 @@ FROM (
 ) u FULL JOIN (SELECT * FROM conversations WHERE role = 'assistant') a ON a.conv_id = u.conv_id AND a.turn - 1 = u.turn
 """
 
-OP8_SQL = """
+_RECORD = """'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) ||
+    'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10)"""
+OP8_SQL = f"""
 WITH r AS (
-  SELECT page_id, page_id // 1000 AS archive, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) ||
-    'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
-  FROM pages
+  SELECT page_id, page_id // 1000 AS archive, {_RECORD} AS record FROM pages
+), x AS (
+  SELECT page_id, floor(page_id / 1000)::BIGINT AS archive, {_RECORD} AS record FROM (SELECT -page_id AS page_id, url, html FROM pages WHERE page_id % 503 = 3)
 )
 SELECT page_id, archive, (sum(strlen(record)) OVER (PARTITION BY archive ORDER BY page_id) - strlen(record))::BIGINT AS "offset", strlen(record)::BIGINT AS length, sha256(record) AS digest,
   CASE WHEN page_id % 997 = 7 THEN 'missing' WHEN page_id % 211 = 5 THEN 'corrupt' WHEN page_id > page_id // 1000 * 1000 AND EXISTS (FROM pages q WHERE q.page_id // 1000 = archive AND q.page_id < r.page_id AND q.page_id % 997 = 7) THEN 'moved' ELSE 'ok' END AS status
 FROM r
+UNION ALL
+SELECT page_id, archive, (sum(strlen(record)) OVER (PARTITION BY archive ORDER BY page_id) - strlen(record))::BIGINT, strlen(record)::BIGINT, sha256(record), 'extra' FROM x
 """
 
 ORACLES: dict[str, str] = {"op7_tool_calls": OP7_SQL, "op8_warc_fixity": OP8_SQL, "op5_url_filters": OP5_SQL, "op3_top_k": OP3_SQL}

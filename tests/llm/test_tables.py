@@ -160,7 +160,7 @@ def test_warc_audit(spark):
         by.setdefault(r.status, set()).add(r.page_id)
     assert by["corrupt"] == {9, 999, 1500} and by["missing"] == {2100} and by["moved"] == {p[0] for p in pages if p[0] and 2100 < p[0] < 3000}
     assert {r.status for r in warc.audit(a, a).collect()} == {"ok"} and {r.status for r in warc.audit(a, b.limit(0)).collect()} == {"missing"}
-    assert warc.audit(a.limit(0), b).collect() == []
+    assert {r.status for r in warc.audit(a.limit(0), b).collect()} == {"extra"} and warc.audit(a.limit(0), b.limit(0)).collect() == []
     offsets = {}
     for r in sorted(got, key=lambda r: (r.archive, r.offset)):
         assert r.offset == offsets.get(r.archive, 0)
@@ -169,6 +169,45 @@ def test_warc_audit(spark):
     assert next(r for r in got if r.page_id == 3).digest == hashlib.sha256(text.encode()).hexdigest()
 
 
+def plain_audit(pages, replica):
+    """Status by id and bytes, without places: how many records of each are ok or moved, corrupt, missing, extra."""
+    import collections
+
+    count = lambda rows: collections.Counter((i if i is not None else ("null", u, h), u or "", h or "") for i, u, h in rows)
+    a, b = count(pages), count(replica)
+    lost, more = a - b, b - a
+    out = collections.Counter()
+    for k, n in a.items():
+        out[k, "sound"] += n - lost[k]
+        out[k, "corrupt" if any(m[0] == k[0] for m in more) else "missing"] += lost[k]
+    for k, n in more.items():
+        if not any(m[0] == k[0] for m in lost):
+            out[k, "extra"] += n
+    return {k: n for k, n in out.items() if n}
+
+
+@pytest.mark.parametrize("shelf", [8192, 4])
+def test_warc_audit_of_repeated_null_negative_and_added_records(spark, shelf, monkeypatch):
+    import collections
+
+    monkeypatch.setattr(warc, "SHELF_RUNS", shelf)
+    rng = np.random.default_rng(12)
+    draw = lambda: [(None if rng.random() < 0.2 else int(rng.integers(-1500, 1500)) // 300 * 300, f"u{rng.integers(0, 3)}", f"h{rng.integers(0, 4)}") for _ in range(150)] + [(7, "hot", "same")] * 60
+    pages = draw()
+    replica = [r for r in pages if rng.random() < 0.9] + [(-5, "new", "x"), (None, "new", "y"), (7, "hot", "same")] + [(r[0], r[1], "rotten") for r in pages[:12]]
+    schema = "page_id bigint, url string, html string"
+    got = warc.audit(spark.createDataFrame(pages, schema), spark.createDataFrame(replica, schema)).collect()
+    names = {warc_digest(i, u, h): (i if i is not None else ("null", u, h), u or "", h or "") for i, u, h in pages + replica}
+    found = collections.Counter((names[r.digest], "sound" if r.status in ("ok", "moved") else r.status) for r in got)
+    assert found == plain_audit(pages, replica)
+    assert {r.status for r in warc.audit(spark.createDataFrame(pages, schema), spark.createDataFrame(pages[::-1], schema)).collect()} == {"ok"}
+
+
+def warc_digest(i, u, h):
+    name = "null" if i is None else i
+    return hashlib.sha256(f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: {u or ''}\r\nWARC-Record-ID: <urn:page:{name}>\r\nContent-Length: {len((h or '').encode())}\r\n\r\n{h or ''}\r\n\r\n".encode()).hexdigest()
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
