@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import dropped, shared, written
+from ..storage import dropped, place, shared, written
 
-__all__ = ["dropped", "shared", "table", "written"]
+__all__ = ["dropped", "place", "shared", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ reports only the uppermost bins that hold its own k best scores, as lower ones c
 the k-th of all, so what moves is at most k rows for each query and partition.
 
 Queries are taken in blocks of QUERY_BLOCK, one after another; only one such block is ever
-at the driver or broadcast. Candidates stay where they are read.
+at the driver or broadcast, and its answers are written. Candidates stay where they are read.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import place, written
+
 QUERY_BLOCK = 16384
 BINS = 1024
 #: Scores held at once in a worker: rows of candidates times queries.
@@ -63,10 +65,11 @@ def _candidates(batches: Iterator[pa.RecordBatch], scale: float, n_queries: int)
 
 
 def _own(ids: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a query meets itself: positions among the (sorted) queries, and among the candidates."""
-    at = np.minimum(np.searchsorted(block, ids), len(block) - 1)
-    same = np.flatnonzero(block[at] == ids)
-    return at[same], same
+    """Where a query meets its own key: positions among the (sorted) queries, and among the candidates."""
+    first, last = np.searchsorted(block, ids), np.searchsorted(block, ids, "right")
+    times = last - first
+    at = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+    return at, np.repeat(np.arange(len(ids)), times)
 
 
 def _top_bins(bins: np.ndarray, k: int) -> np.ndarray:
@@ -78,44 +81,50 @@ def _top_bins(bins: np.ndarray, k: int) -> np.ndarray:
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, key: str = "vec_id", vector: str = "embedding", query_block: int = QUERY_BLOCK, bins: int = BINS) -> DataFrame:
     """query_id, rank (from 1), <key>, score: each query's k highest inner products.
 
-    Queries are the rows whose key is divisible by ``every``; candidates all rows but those with
-    the query's own key. Ties go to the smaller key. Rows with a null key, a null vector, or a
-    null or non-finite component take no part; of rows that repeat a query's key the smallest
-    vector asks; vectors of different lengths are compared as if filled up with zeros. Empty
-    tables and tables without queries give no rows; other columns are not read.
+    Queries are the rows whose key is divisible by ``every``, each for itself where rows repeat a key;
+    candidates all rows but those with the query's own key. Ties go to the smaller key. Rows with a null
+    key, a null vector, or a null or non-finite component take no part; vectors of different lengths, very
+    long ones too, are compared as if filled up with zeros. Empty tables and tables without queries give no
+    rows; other columns are not read.
     """
     kind = vectors.schema[key].dataType.simpleString()
-    rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("vector")).where("id is not null and vector is not null")
-    asked = rows.where(F.pmod("id", F.lit(every)) == 0)
     spark = vectors.sparkSession
-    found = None
-    low = None
+    rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("vector")).where("id is not null and vector is not null")
+    good = rows.where(~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    # Equal rows ask once; their answers are repeated.
+    asked = written(good.where(F.pmod("id", F.lit(every)) == 0).groupBy("id", "vector").agg(F.count("*").alias("times")), "queries")
+    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.pow(F.floor(x.cast("double") * scale).cast("double"), 2))
+    longest = good.agg(F.max(F.sqrt(norm))).first()[0] or 0.0
+    at = place(spark, "top")
+    some, found = asked, False
     while True:
-        # One row for each key: the smallest vector of those that take part.
-        some = asked if low is None else asked.where(F.col("id") > low)
-        some = some.where(~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).groupBy("id").agg(F.min("vector").alias("vector"))
-        table = some.orderBy("id").limit(query_block).toArrow()
+        table = some.orderBy("id", "vector").limit(query_block).toArrow()
         if table.num_rows == 0:
             break
         ids = table.column("id").to_numpy()
         matrix, _ = integers(table.column("vector").combine_chunks(), scale)
-        own = _search(spark, rows, ids, matrix, k, scale, bins)
-        found = own if found is None else found.unionByName(own)
+        held = spark.sparkContext.broadcast((ids, matrix))
+        best = _search(spark, rows, held, longest, k, scale, bins)
+        times = spark.createDataFrame(pa.table({"q": np.arange(len(ids)), "times": table.column("times")}))
+        # Each block's answers are kept in the shared folder, and its queries leave the executors.
+        best.join(F.broadcast(times), "q").select("query_id", "rank", "id", "score", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")).alias("__time")).drop("__time").write.mode("append").parquet(at)
+        held.destroy()
+        found = True
         if table.num_rows < query_block:
             break
-        low = int(ids[-1])
-    if found is None:
-        found = spark.createDataFrame([], "query_id bigint, rank int, id bigint, score bigint")
-    return found.select(F.col("query_id").cast(kind).alias("query_id"), "rank", F.col("id").cast(kind).alias(key), "score")
+        low, last = int(ids[-1]), table.slice(table.num_rows - 1).select(["vector"])
+        edge = spark.createDataFrame(last).select(F.col("vector").cast(asked.schema["vector"].dataType).alias("__last"))
+        some = asked.where(F.col("id") >= low).crossJoin(F.broadcast(edge)).where((F.col("id") > low) | (F.col("vector") > F.col("__last"))).drop("__last")
+    schema = "query_id bigint, rank int, id bigint, score bigint"
+    answers = spark.read.schema(schema).parquet(at) if found else spark.createDataFrame([], schema)
+    return answers.select(F.col("query_id").cast(kind).alias("query_id"), "rank", F.col("id").cast(kind).alias(key), "score")
 
 
-def _search(spark, rows: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, scale: float, bins: int) -> DataFrame:
-    """The best k of one bounded block of queries."""
-    held = spark.sparkContext.broadcast((ids, matrix))
+def _search(spark, rows: DataFrame, held, longest: float, k: int, scale: float, bins: int) -> DataFrame:
+    """q (a query's number), query_id, rank, id, score: the best k of one bounded block of queries."""
+    ids, matrix = held.value
     n = len(ids)
     # All scores lie in [-reach, reach]: Cauchy-Schwarz, and at most what a long holds.
-    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.pow(F.floor(x.cast("double") * scale).cast("double"), 2))
-    longest = rows.where(~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).agg(F.max(F.sqrt(norm))).first()[0] or 0.0
     reach = int(min(np.sqrt((matrix**2).sum(axis=1)).max(initial=0.0) * longest * 1.001 + 2, 2.0**61))
     lows, above = np.full(n, -reach, np.int64), np.zeros(n, np.int64)
     width = 2 * reach + 1
@@ -134,7 +143,7 @@ def _search(spark, rows: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int,
                 place = (lows[:, None] + (width - 1) - scores) // step
                 inside = (scores >= lows[:, None]) & (place >= 0)
                 inside[_own(names, ids)] = False
-                total += np.bincount((place + base)[inside], minlength=total.size).reshape(total.shape).astype(np.int32)
+                np.add.at(total.reshape(-1), (place + base)[inside], 1)
             q, b = np.nonzero(_top_bins(total, k))
             if len(q):
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(b), pa.array(total[q, b].astype(np.int64))], ["q", "bin", "n"])
@@ -180,8 +189,8 @@ def _search(spark, rows: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int,
                 waiting = len(best[0][0])
         if best:
             q, v, s = shrink()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(v), pa.array(s)], ["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids[q]), pa.array(v), pa.array(s)], ["q", "query_id", "id", "score"])
 
-    kept = rows.mapInArrow(keep, "query_id bigint, id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    kept = rows.mapInArrow(keep, "q bigint, query_id bigint, id bigint, score bigint")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "query_id", F.col("rank").cast("int").alias("rank"), "id", "score")

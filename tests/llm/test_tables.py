@@ -14,15 +14,11 @@ from seamline.llm.queries import URL_RULES
 
 def plain_top(rows, k, every):
     good = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    asked = {}
-    for i, v in rows:
-        if (i, v) is not None and i is not None and i % every == 0 and any(i == g for g, _ in good) and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            asked[i] = min(asked.get(i, v), v)
     out = []
-    for q, v in asked.items():
-        e = [math.floor(256 * float(x)) for x in v]
-        scored = sorted((-sum(a * b for a, b in zip(e, w)), i) for i, w in good if i != q)
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+    for q, e in good:
+        if q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(e, w)), i) for i, w in good if i != q)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
@@ -30,7 +26,7 @@ def plain_top(rows, k, every):
 def test_top_k(spark, block, bins):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(60)] + [(i, [0.25] * 8) for i in range(100, 140)]
-    rows += [(150, None), (151, [float("nan")] * 8), (152, [None, 1.0]), (200, [float("inf")]), (None, [1.0] * 8), (160, []), (10, [0.5] * 8), (161, [0.5, 0.25])]
+    rows += [(150, None), (151, [float("nan")] * 8), (152, [None, 1.0]), (200, [float("inf")]), (None, [1.0] * 8), (160, []), (10, [0.5] * 8), (10, [0.5] * 8), (20, [0.125] * 8), (161, [0.5, 0.25])]
     df = spark.createDataFrame([(i, v, "s", 1) for i, v in rows], "vec_id bigint, embedding array<double>, score string, rank int").repartition(5)
     found = sorted(tuple(r) for r in topk.top_k(df, 5, 10, query_block=block, bins=bins).collect())
     assert found == plain_top(rows, 5, 10)
