@@ -24,6 +24,8 @@ from . import blocks
 from .frames import written
 
 WINDOW = 10
+#: Further words among which a window's words may stand to be near.
+SLOP = 5
 #: A block of test items has at most so many bytes of text; only such a block is broadcast.
 TEST_BYTES = 4 << 20
 
@@ -101,13 +103,22 @@ class Segment:
     def near(self, terms: np.ndarray, slop: int) -> np.ndarray:
         """Starts of the shortest spans of at most len(terms) + slop words in one document that hold all terms, in any order."""
         terms, needed = np.unique(terms, return_counts=True)
+        order = np.argsort(self.counts(terms), kind="stable")
+        terms, needed = terms[order], needed[order]
         lists = [self.positions(t) for t in terms]
         width = int(needed.sum()) + slop
-        rarest = min(range(len(lists)), key=lambda i: len(lists[i]))
-        starts = np.unique(np.concatenate([p for p in lists]))
-        anchors = lists[rarest]
-        at = np.searchsorted(anchors, starts)
-        starts = starts[(at < len(anchors)) & (anchors[np.minimum(at, len(anchors) - 1)] < starts + width)] if len(anchors) else starts[:0]
+        # Places of the rarest term around which all others occur, rarest first.
+        anchors = lists[0]
+        for p in lists[1:]:
+            if not len(anchors):
+                return anchors
+            anchors = anchors[np.searchsorted(p, anchors + width) > np.searchsorted(p, anchors - width, "right")]
+        near = []
+        for p in lists:
+            a, b = np.searchsorted(p, anchors - width, "right"), np.searchsorted(p, anchors, "right")
+            n = np.maximum(b - a, 0)
+            near.append(p[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        starts = np.unique(np.concatenate(near))
         doc = np.searchsorted(self.bounds, starts, "right") - 1
         ends = np.minimum(starts + width, self.bounds[doc + 1])
         good = np.ones(len(starts), bool)
@@ -149,7 +160,7 @@ def _match(segment: Segment, tests: Tests, slop: int | None) -> Iterator[tuple[i
 
 def _blocks_of(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple[str, str]]]:
     """The test items in blocks of about ``most`` bytes (a longer item stands alone in its hash bucket)."""
-    tests = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
+    tests = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null").distinct()
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = size // most + 1
     for k in range(buckets):
@@ -162,7 +173,7 @@ def matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop:
     slop None: exact phrases; else spans of at most the window and slop words that hold its words in any order.
     """
     kind = index.schema["keys"].dataType.elementType.simpleString()
-    found = None
+    found, passes = None, 0
     for items in _blocks_of(benchmark, item, text, most):
         tests = index.sparkSession.sparkContext.broadcast(Tests(items, window))
 
@@ -179,12 +190,13 @@ def matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop:
                         yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field("keys").type.value_type), *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())))], ["key", "segment", "document", "item_id", "start", "length"])
 
         own = index.mapInArrow(work, f"key {kind}, segment bigint, document bigint, item_id string, start bigint, length bigint")
-        found = own if found is None else found.unionByName(own)
-    return found
+        found, passes = (own if found is None else found.unionByName(own)), passes + 1
+    # Rows with one id are one item, and may lie in several blocks.
+    return found if passes == 1 else found.distinct()
 
 
-def _judge(index: DataFrame, tests, kind: str) -> DataFrame:
-    """For every document: its words, a bit for each word that is hit, and the items that occur."""
+def _judge(index: DataFrame, tests, kind: str, slop: int) -> DataFrame:
+    """For every document: its words, a bit for each word that is hit, the items that occur, and those near enough."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,25 +204,30 @@ def _judge(index: DataFrame, tests, kind: str) -> DataFrame:
                 segment = Segment(row)
                 bounds = segment.bounds
                 change = np.zeros(int(bounds[-1]) + 1, np.int64)
-                pairs = []
+                pairs, loose = [], []
                 for w, at, n in _match(segment, tests.value, None):
                     np.add.at(change, at, 1)
                     np.add.at(change, at + n, -1)
                     doc = np.unique(np.searchsorted(bounds, at, "right") - 1)
                     pairs += [(d, i) for d in doc.tolist() for i in tests.value.items[w]]
+                for w, at, _ in _match(segment, tests.value, slop):
+                    doc = np.unique(np.searchsorted(bounds, at, "right") - 1)
+                    loose += [(d, i) for d in doc.tolist() for i in tests.value.items[w]]
                 hit = np.cumsum(change[:-1]) > 0
                 total = np.concatenate([[0], np.cumsum(hit)])
                 items: list[list[str]] = [[] for _ in row["keys"]]
-                for d, i in sorted(set(pairs)):
-                    items[d].append(tests.value.names[i])
+                near: list[list[str]] = [[] for _ in row["keys"]]
+                for into, found in ((items, pairs), (near, loose)):
+                    for d, i in sorted(set(found)):
+                        into[d].append(tests.value.names[i])
                 n_hit = total[bounds[1:]] - total[bounds[:-1]]
                 bits = [np.packbits(hit[a:b]).tobytes() if n else b"" for n, a, b in zip(n_hit, bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row["keys"], batch.schema.field("keys").type.value_type), pa.array([row["segment"]] * len(items), pa.int64()), pa.array(range(len(items)), pa.int64()),
-                    pa.array(np.diff(bounds)), pa.array(n_hit), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string())),
-                ], ["key", "segment", "document", "n_words", "n_hit", "bits", "items"])
+                    pa.array(np.diff(bounds)), pa.array(n_hit), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(near, pa.list_(pa.string())),
+                ], ["key", "segment", "document", "n_words", "n_hit", "bits", "items", "near"])
 
-    return index.mapInArrow(work, f"key {kind}, segment bigint, document bigint, n_words bigint, n_hit bigint, bits binary, items array<string>")
+    return index.mapInArrow(work, f"key {kind}, segment bigint, document bigint, n_words bigint, n_hit bigint, bits binary, items array<string>, near array<string>")
 
 
 def _union_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,25 +236,28 @@ def _union_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in batch.column("parts").to_pylist():
             parts = [np.frombuffer(p, np.uint8) for p in parts if p]
             hit.append(int(np.bitwise_count(np.bitwise_or.reduce(parts)).sum()) if parts else 0)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "n_words", "items")), pa.array(hit, pa.int64())], ["key", "n_words", "items", "n_hit"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "n_words", "items", "near")), pa.array(hit, pa.int64())], ["key", "n_words", "items", "near", "n_hit"])
+
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", most: int = TEST_BYTES, slop: int = SLOP) -> DataFrame:
+    """key, n_words, n_hit, n_items, items_sha256, contaminated, n_near, items: one row for each row of ``docs``.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", most: int = TEST_BYTES) -> DataFrame:
-    """key, n_words, n_hit, n_items, items_sha256, contaminated, items: one row for each row of ``docs``.
+    n_near counts the items of which a window's words stand, in any order, within the window and ``slop`` words.
 
     A null text has no words; a null key stays null; repeated rows are judged alike; empty
     ``docs`` give no rows. Test items with a null text have no words, those with a null id are
-    left out, and rows with one id are one item. Other columns are not read.
+    left out, and rows with one id are one item; very long texts are segments of their own and taken
+    whole. Other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
     index = written(build_index(docs, key, text), "postings")
     found, passes = None, 0
     for items in _blocks_of(benchmark, item, item_text, most):
-        own = _judge(index, docs.sparkSession.sparkContext.broadcast(Tests(items, window)), kind)
+        own = _judge(index, docs.sparkSession.sparkContext.broadcast(Tests(items, window)), kind, slop)
         found, passes = (own if found is None else found.unionByName(own)), passes + 1
     if passes > 1:
         # At most one row for each document and block of tests meets here.
-        found = found.groupBy("segment", "document").agg(F.max("key").alias("key"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.collect_list("bits").alias("parts"))
-        found = found.select("key", "n_words", "items", "parts").mapInArrow(_union_bits, f"key {kind}, n_words bigint, items array<string>, n_hit bigint")
+        found = found.groupBy("segment", "document").agg(F.max("key").alias("key"), F.max("n_words").alias("n_words"), *(F.array_distinct(F.flatten(F.collect_list(x))).alias(x) for x in ("items", "near")), F.collect_list("bits").alias("parts"))
+        found = found.select("key", "n_words", "items", "near", "parts").mapInArrow(_union_bits, f"key {kind}, n_words bigint, items array<string>, near array<string>, n_hit bigint")
     items = F.array_sort("items")
-    return found.select(F.col("key").alias(key), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), items.alias("items"))
+    return found.select(F.col("key").alias(key), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near").cast("bigint").alias("n_near"), items.alias("items"))

@@ -76,16 +76,33 @@ def plain_contamination(docs, items, window):
     return sorted(out, key=repr)
 
 
-ITEMS = [(10, "quick brown fox jumps over the lazy dog and runs away"), (9, "ZWEI wörter"), (9, "one"), (3, None), (4, "!!"), (None, "no id here"), (5, "word1 of the long text1 word2 of the long text2 word3 of the"), (6, "not anywhere to be seen")]
+def plain_near(docs, items, window, slop):
+    """How many items have a window whose words stand within ``slop`` more."""
+    out = []
+    for key, text, *_ in docs:
+        w, found = words1(text), set()
+        for name, item in items:
+            own = words1(item)
+            n = min(window, len(own))
+            for k in range(len(own) - n + 1) if n and name is not None else ():
+                need = collections.Counter(own[k : k + n])
+                if all(x in w for x in need) and any(not need - collections.Counter(w[i : i + n + slop]) for i in range(len(w))):
+                    found.add(name)
+        out.append((key, len(found)))
+    return sorted(out, key=repr)
+
+
+ITEMS = [(10, "quick brown fox jumps over the lazy dog and runs away"), (9, "ZWEI wörter"), (9, "one"), (9, "one"), (11, "dog lazy fox the over jumps runs"), (12, "text1 long word2"), (13, "brown brown fox"), (3, None), (4, "!!"), (None, "no id here"), (5, "word1 of the long text1 word2 of the long text2 word3 of the"), (6, "not anywhere to be seen")]
 
 
 @pytest.mark.parametrize("most", [1 << 20, 40])
 def test_decontamination(spark, docs, empty, most):
     bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    found = decontaminate.decontaminate(docs, bench, most=most).drop("items")
-    assert rows(found) == plain_contamination(ROWS, ITEMS, 10)
+    found = decontaminate.decontaminate(docs, bench, most=most)
+    assert rows(found.drop("items", "n_near")) == plain_contamination(ROWS, ITEMS, 10)
+    assert rows(found.select("doc_id", "n_near")) == plain_near(ROWS, ITEMS, 10, decontaminate.SLOP)
     assert rows(decontaminate.decontaminate(empty, bench)) == []
-    clean = decontaminate.decontaminate(docs, bench.limit(0)).drop("items")
+    clean = decontaminate.decontaminate(docs, bench.limit(0)).drop("items", "n_near")
     assert rows(clean) == plain_contamination(ROWS, [], 10)
 
 
