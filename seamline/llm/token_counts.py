@@ -6,18 +6,16 @@ token holds or strips white space, and no canonical composition crosses a blank.
 the ids of a text are the ids of its white-space separated pieces, one after another,
 and a piece can be encoded once and used wherever it occurs. Very long texts split the
 same way. As this vocabulary ignores case and its pre-tokenizer parts letters from other
-signs, pieces are cut between ASCII letters and plain punctuation too, and pieces that
-are one pre-token as they stand go to the BPE model directly. ``safe_to_split`` checks
-these properties of a tokenizer file; for one that lacks them whole texts are encoded in
-batches balanced by bytes.
+signs, pieces are cut between ASCII letters and plain punctuation too. Distinct pieces are
+encoded in batches balanced by bytes. ``safe_to_split`` checks these properties of a
+tokenizer file; for one that lacks them whole texts are encoded in such batches.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -29,29 +27,17 @@ from . import blocks
 
 #: Distinct pieces that a worker remembers; beyond that it starts anew (a cache, not a cap).
 CACHE_WORDS = 800_000
-#: Bytes of whole texts that are encoded at a time where pieces can't be.
-BATCH_BYTES = 1 << 20
-
-
-#: Pieces that are one pre-token and stay as they are: small letters that no case or canonical mapping changes, or ASCII punctuation.
-_PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[!-/:-@\[-`{-~]+")
-
-
-def _byte_letters() -> dict[int, str]:
-    """Byte-level BPE writes bytes as letters: printable Latin-1 as itself, the others from U+0100 on."""
-    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = iter(range(256, 512))
-    return {b: chr(b) if b in kept else chr(next(rest)) for b in range(256)}
-
-
-_LETTERS = _byte_letters()
+#: Characters that are encoded at a time.
+BATCH_BYTES = 1 << 18
+#: How added tokens begin; texts are cut at white space only where this occurs.
+MARK = "<|"
 
 
 def safe_to_split(path: str) -> bool:
     """Whether white space always separates tokens and never changes their neighbours."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    added = all(not (a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] or any(c.isspace() for c in a["content"])) for a in spec["added_tokens"])
+    added = all(a["content"].startswith(MARK) and not (a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] or any(c.isspace() for c in a["content"])) for a in spec["added_tokens"])
     norm = spec["normalizer"] or {}
     steps = [s["type"] for s in norm.get("normalizers", [norm] if norm else [])]
     pre = spec["pre_tokenizer"] or {}
@@ -81,18 +67,7 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _learn(self, words: list[bytes]) -> None:
-        found: list = [None] * len(words)
-        odd = []
-        bpe, plain = self.tokenizer.model.tokenize, _PLAIN.fullmatch
-        for i, word in enumerate(words):
-            text = word.decode("utf-8")
-            if plain(text):
-                found[i] = [t.id for t in bpe(text if len(text) == len(word) else word.decode("latin-1").translate(_LETTERS))]
-            else:
-                odd.append(i)
-        if odd:
-            for i, e in zip(odd, self.tokenizer.encode_batch_fast([words[i].decode("utf-8") for i in odd], add_special_tokens=False)):
-                found[i] = e.ids
+        found = list(chain.from_iterable(self._batches(map(bytes.decode, words))))
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
@@ -100,7 +75,7 @@ class Encoder:
 
     def _pieces(self, text: blocks.Raw) -> blocks.Words:
         """Added tokens are found in texts as they are, so nothing is cut or changed where one may start."""
-        return blocks.coded(text, blocks.SPACED_CASED) if b"<|" in text.data else blocks.pieces(text)
+        return blocks.coded(text, blocks.SPACED_CASED) if MARK.encode() in text.data else blocks.pieces(text)
 
     def rows(self, vocab: pa.Array) -> np.ndarray:
         """The row of each word in ``starts``."""
@@ -113,16 +88,21 @@ class Encoder:
             self._learn([words[i] for i in new])
         return rows
 
-    def _whole(self, text: blocks.Raw) -> Iterator[np.ndarray]:
+    def _batches(self, texts: Iterable[str]) -> Iterator[list[list[int]]]:
+        """Ids of texts, encoded in batches of about BATCH_BYTES."""
         parts, size = [], 0
-        for a, b in zip(text.bounds[:-1], text.bounds[1:]):
-            parts.append(text.data[a:b].decode("utf-8"))
-            size += b - a
+        for text in texts:
+            parts.append(text)
+            size += len(text)
             if size >= BATCH_BYTES:
-                yield from (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))
+                yield [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
                 parts, size = [], 0
         if parts:
-            yield from (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))
+            yield [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _whole(self, text: blocks.Raw) -> Iterator[np.ndarray]:
+        texts = (text.data[a:b].decode("utf-8") for a, b in zip(text.bounds[:-1], text.bounds[1:]))
+        return (np.array(ids, np.uint32) for part in self._batches(texts) for ids in part)
 
     def lengths(self, text: blocks.Raw) -> np.ndarray:
         """Tokens of each text."""
