@@ -180,14 +180,33 @@ def test_packing(docs, empty):
 
 def test_packer_pool_and_cuts():
     rng = np.random.default_rng(5)
-    p = packing.Packer(pool=5000, with_ids=True)
+    p = packing.Packer(pool=5000)
     docs = {i: rng.integers(0, 1000, int(rng.integers(1, 6000))).astype("<u4") for i in range(80)}
     for k, ids in docs.items():
         p.add(k, ids)
     p.finish()
     for k, ids in docs.items():
         own = sorted((r for r in p.rows if r[0] == k), key=lambda r: r[1])
-        assert [x for r in own for x in r[9]] == ids.tolist() and {r[4] for r in own} == {len(ids)}
+        assert [x for r in own for x in np.frombuffer(r[9], "<u4")] == ids.tolist() and {r[4] for r in own} == {len(ids)}
+
+
+def test_leftovers_are_carried_over_partitions(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, int(rng.integers(0, 700)))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(9)
+    pieces = packing.pack(df, vocabulary(), step=4096, carried=2, with_ids=True).collect()
+    for k, t in enumerate(texts):
+        own = sorted((p for p in pieces if p.doc_id == k), key=lambda p: p.start)
+        assert [i for p in own for i in p.ids] == [*plain_ids(t), 1]
+        assert all(p.ids_crc32 == zlib.crc32(np.array(p.ids, "<u4").tobytes()) and p.length == len(p.ids) and p.doc_tokens == len(plain_ids(t)) + 1 for p in own)
+    sequences = {p.sequence_id: p.sequence_length for p in pieces}
+    steps = {}
+    for p in pieces:
+        steps.setdefault((p.step_id, p.sequence_length), set()).add(p.sequence_id)
+    # One remainder of the whole table, and at most one unfinished group of each tier.
+    assert sum(n not in packing.TIERS for n in sequences.values()) <= 8
+    assert sum(len(s) * n != 4096 for (_, n), s in steps.items() if n in packing.TIERS) <= len(packing.TIERS)
+    assert len({k for k, _ in steps}) == len(steps)
 
 
 def plain_simhash(text):
