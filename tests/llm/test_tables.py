@@ -236,9 +236,13 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, at).select("doc_id").collect()} == set(kept[3])
 
 
-def test_near_duplicates_at_eight_tenths(spark, tmp_path):
+@pytest.mark.parametrize("bucket, hashes", [(256, 1 << 21), (4, 1 << 21), (256, 500)])
+def test_near_duplicates_at_eight_tenths(spark, tmp_path, monkeypatch, bucket, hashes):
     import corpus_pipeline
+    from seamline.llm import minhash
 
+    monkeypatch.setattr(minhash, "BUCKET", bucket)
+    monkeypatch.setattr(minhash, "BUCKET_HASHES", hashes)
     rng = np.random.default_rng(3)
     base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
     texts = [base]
