@@ -143,7 +143,12 @@ def _search(spark, rows: DataFrame, held, longest: float, k: int, scale: float,
                 place = (lows[:, None] + (width - 1) - scores) // step
                 inside = (scores >= lows[:, None]) & (place >= 0)
                 inside[_own(names, ids)] = False
-                np.add.at(total.reshape(-1), (place + base)[inside], 1)
+                found = (place + base)[inside]
+                # Whichever is less: a pass over the scores, or over all bins.
+                if 4 * len(found) < total.size:
+                    np.add.at(total.reshape(-1), found, 1)
+                else:
+                    total += np.bincount(found, minlength=total.size).reshape(total.shape).astype(np.int32)
             q, b = np.nonzero(_top_bins(total, k))
             if len(q):
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(b), pa.array(total[q, b].astype(np.int64))], ["q", "bin", "n"])
