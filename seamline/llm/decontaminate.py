@@ -195,7 +195,7 @@ def matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop:
     return found if passes == 1 else found.distinct()
 
 
-def _judge(index: DataFrame, tests, kind: str, slop: int) -> DataFrame:
+def _judge(index: DataFrame, tests, kind: str, slop: int | None) -> DataFrame:
     """For every document: its words, a bit for each word that is hit, the items that occur, and those near enough."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def _judge(index: DataFrame, tests, kind: str, slop: int) -> DataFrame:
                     np.add.at(change, at + n, -1)
                     doc = np.unique(np.searchsorted(bounds, at, "right") - 1)
                     pairs += [(d, i) for d in doc.tolist() for i in tests.value.items[w]]
-                for w, at, _ in _match(segment, tests.value, slop):
+                for w, at, _ in () if slop is None else _match(segment, tests.value, slop):
                     doc = np.unique(np.searchsorted(bounds, at, "right") - 1)
                     loose += [(d, i) for d in doc.tolist() for i in tests.value.items[w]]
                 hit = np.cumsum(change[:-1]) > 0
@@ -239,10 +239,10 @@ def _union_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "n_words", "items", "near")), pa.array(hit, pa.int64())], ["key", "n_words", "items", "near", "n_hit"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", most: int = TEST_BYTES, slop: int = SLOP) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", most: int = TEST_BYTES, slop: int | None = SLOP) -> DataFrame:
     """key, n_words, n_hit, n_items, items_sha256, contaminated, n_near, items: one row for each row of ``docs``.
 
-    n_near counts the items of which a window's words stand, in any order, within the window and ``slop`` words.
+    n_near counts the items of which a window's words stand, in any order, within the window and ``slop`` words (0 with slop None).
 
     A null text has no words; a null key stays null; repeated rows are judged alike; empty
     ``docs`` give no rows. Test items with a null text have no words, those with a null id are
