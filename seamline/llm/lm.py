@@ -46,7 +46,7 @@ NOISE = 25
 NOISE_WORDS = 5
 #: Noise words drawn beforehand for each class.
 NOISE_TABLE = 1024
-BATCH = 512
+BATCH = 1024
 RATE = 0.07
 INIT = 1e-8
 ROUNDS = 2
@@ -181,20 +181,29 @@ def _contexts(units: np.ndarray, starts: np.ndarray, none: int) -> tuple[np.ndar
     return first, second
 
 
-def _step(x: np.ndarray, sums: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-    """AdaGrad on the given rows of ``x`` (repeated ones are added up)."""
+def _step(rows: np.ndarray, most: int, *changes: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+    """AdaGrad on the given rows, all below ``most``, of each (values, sums of squares, gradient); repeated rows are added up."""
+    # Short integers are sorted by radix.
+    rows = rows.astype(np.uint16 if most <= 1 << 16 else np.uint32)
     order = np.argsort(rows, kind="stable")
     sorted_ = rows[order]
-    starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-    g = np.add.reduceat(gradient[order], starts, axis=0)
-    at = sorted_[starts]
-    s = sums[at] + g * g
-    sums[at] = s
-    x[at] -= RATE * g / np.sqrt(s)
+    fresh = np.empty(len(rows), bool)
+    fresh[0] = True
+    np.not_equal(sorted_[1:], sorted_[:-1], out=fresh[1:])
+    starts = np.flatnonzero(fresh)
+    at = sorted_[starts].astype(np.int64)
+    for x, sums, gradient in changes:
+        g = np.add.reduceat(gradient.take(order, axis=0), starts, axis=0)
+        s = sums.take(at, axis=0)
+        s += g * g
+        sums[at] = s
+        g *= RATE
+        g /= np.sqrt(s, out=s)
+        x[at] -= g
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 1 / (1 + np.exp(np.minimum(-x, 60)))
 
 
 def train(p: Parameters, vocabulary: Codes, stream: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], seed: int) -> tuple[Parameters, float]:
@@ -221,30 +230,29 @@ def train(p: Parameters, vocabulary: Codes, stream: Iterator[tuple[np.ndarray, n
             seen += float(n)
             weigh = weigh / n
             k = units_drawn[rng.integers(0, len(units_drawn), NOISE)]
-            h = p.first[a] + p.second[b]
-            good = (_sigmoid(np.einsum("ij,ij->i", h, p.target[w]) + p.bias[w] - shift[w]) - 1) * weigh
+            h = p.first.take(a, axis=0) + p.second.take(b, axis=0)
+            own = p.target.take(w, axis=0)
+            good = (_sigmoid(np.einsum("ij,ij->i", h, own) + p.bias[w] - shift[w]) - 1) * weigh
             bad = _sigmoid(h @ p.target[k].T + (p.bias[k] - shift[k])) * weigh[:, None]
-            gh = good[:, None] * p.target[w] + bad @ p.target[k]
+            gh = good[:, None] * own + bad @ p.target[k]
             both = np.concatenate([w, k])
             gt, gb = np.concatenate([good[:, None] * h, bad.T @ h]), np.concatenate([good, bad.sum(axis=0)])
-            _step(p.first, sums[0], a, gh)
-            _step(p.second, sums[1], b, gh)
-            _step(p.target, sums[2], both, gt)
-            _step(p.bias, sums[3], both, gb)
+            _step(a, size.units + 1, (p.first, sums[0], gh))
+            _step(b, size.units + 1, (p.second, sums[1], gh))
+            _step(both, size.units, (p.target, sums[2], gt), (p.bias, sums[3], gb))
             inside = np.flatnonzero(w > size.top)
             if len(inside) == 0:
                 continue
             row, c, a, weigh = codes[here][inside] - 1 - size.top, w[inside] - 1 - size.top, a[inside], weigh[inside]
             k = words_drawn[c[:, None], rng.integers(0, NOISE_TABLE, (len(inside), NOISE_WORDS))]
             both = np.concatenate([row[:, None], k], axis=1)
-            h, t = p.before[a], p.word[both]
+            h, t = p.before.take(a, axis=0), p.word.take(both, axis=0)
             # The first column is the word itself, the others are noise.
             away = _sigmoid(np.einsum("ij,ikj->ik", h, t) + p.word_bias[both] - word_shift[both])
             away[:, 0] -= 1
             away *= weigh[:, None]
-            _step(p.before, sums[4], a, np.einsum("ik,ikj->ij", away, t))
-            _step(p.word, sums[5], both.ravel(), (away[:, :, None] * h[:, None, :]).reshape(-1, WIDTH))
-            _step(p.word_bias, sums[6], both.ravel(), away.ravel())
+            _step(a, size.units + 1, (p.before, sums[4], np.einsum("ik,ikj->ij", away, t)))
+            _step(both.ravel(), size.rows, (p.word, sums[5], (away[:, :, None] * h[:, None, :]).reshape(-1, WIDTH)), (p.word_bias, sums[6], away.ravel()))
     return p, seen
 
 
@@ -407,7 +415,8 @@ def _learned(coded: DataFrame, part: int, vocabulary, start, partitions: int) ->
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([seen], pa.float64()), pa.array([own.flat()], pa.binary())], ["id", "seen", "flat"])
 
     rows = coded.where(F.col("part") == part).select("shard", "digest", "codes", "weight")
-    rows = rows.repartition(partitions, "shard").sortWithinPartitions("shard", "digest", F.col("codes").asc_nulls_last())
+    # More partitions than shards, so that few shards share one.
+    rows = rows.repartition(4 * partitions, "shard").sortWithinPartitions("shard", "digest", F.col("codes").asc_nulls_last())
     return written(rows.mapInArrow(learn, "id bigint, seen double, flat binary"), "parameters")
 
 
