@@ -7,6 +7,7 @@ Splitting works on the UTF-8 bytes of a whole block at once.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_libc = ctypes.CDLL(None)
 #: Bytes of text handled at once.
 BLOCK_BYTES = 6 << 20
 
@@ -57,16 +59,24 @@ def raw(column: pa.Array) -> Raw:
     if len(column) == 0:
         return Raw(b"", np.zeros(1, np.int64))
     data = column.buffers()[2]
-    data = b"" if data is None else data.to_pybytes()[bounds[0] : bounds[-1]]
+    # A slice's buffer is that of the whole batch; only its own bytes are copied.
+    data = b"" if data is None else data.slice(int(bounds[0]), int(bounds[-1] - bounds[0])).to_pybytes()
     return Raw(data, bounds - bounds[0])
 
 
+def _trim() -> None:
+    """Gives memory that is free back to the system, as workers stay and others need it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``most`` bytes in ``column`` (a longer text stands alone)."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sizes = np.diff(raw(batch.column(column)).bounds)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
@@ -74,6 +84,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             upto = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
             yield batch.slice(at, upto - at)
             at = upto
+    _trim()
 
 
 #: Punctuation between which and an ASCII letter a word may be cut (see pieces()).
