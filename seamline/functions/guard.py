@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +31,13 @@ PATTERNS = (
     (r"udawaj\s+(że\s+)?(jesteś|nie\s+masz)\s+(ograniczeń|limitów|zasad)", "jailbreak", "PL: pretend no restrictions"),
     (r"nowe\s+(polecenie|instrukcja|zadanie)\s*:", "prompt_injection", "PL: new instruction"),
 )
+#: For each pattern literals of which a text that matches holds one, in lower case: others are not searched.
+NEEDS = (
+    ("ignore",), ("disregard",), ("forget",), ("instruction", "directive", "command", "task", "order"), ("[system]", "[inst]", "[/inst]", "<|"), ("system",), ("different",), ("jailbreak",), ("pretend",),
+    ("evil", "malicious", "unrestricted", "unfiltered"), ("restriction", "limit", "filter", "censorship"), ("verbatim",), ("respond",), ("password",), ("execute",), ("zignoruj",), ("udawaj",), ("nowe",),
+)
+#: Letters that match an ASCII one where case is ignored, beyond its capital, and those.
+ALIKE = ("ıſ\u212aİ", "iski")
 CONTROL = r"(?i)\b(?:instruction|command|directive|override|bypass|ignore|forget|disregard|pretend|roleplay|jailbreak|unrestricted|unfiltered|without.restrictions)\b"
 TEMPLATE = r"(?i)(?:\[INST\]|\[\/INST\]|\[SYSTEM\]|\[\/SYSTEM\]|<\|im_start\|>|<\|im_end\|>|<\|system\|>|<\|user\|>|<\|assistant\|>|<<SYS>>|<</SYS>>)"
 ROT13 = r"(?i)\b(?:vafgehpgvba|vtzaber|cerivbhf|erfrg|cnffjbeq|flfgrz)\b"
@@ -43,18 +53,28 @@ def _found(threat: str, score, reason: str, snippet: Column | None = None) -> Co
 
 def known_pattern(text: Column) -> Column:
     """Layer 1: the first known pattern that matches, with what it matched (80 characters)."""
-    one = [F.when(text.rlike("(?isU)" + p), _found(t, 0.95, r, F.translate(F.substring(F.regexp_extract(text, "(?isU)" + p, 0), 1, 80), "\n", " "))) for p, t, r in PATTERNS]
-    return F.coalesce(*one, F.lit(None).cast(_SCHEMA))
+
+    def first(low: Column) -> Column:
+        found = []
+        for (pattern, threat, reason), needs in zip(PATTERNS, NEEDS, strict=True):
+            full = "(?isU)" + pattern
+            what = F.translate(F.substring(F.regexp_extract(text, full, 0), 1, 80), "\n", " ")
+            may = reduce(or_, (F.contains(low, F.lit(x)) for x in needs))
+            found.append(F.when(may & text.rlike(full), _found(threat, 0.95, reason, what)))
+        return F.coalesce(*found, F.lit(None).cast(_SCHEMA))
+
+    return let(F.lower(F.translate(text, *ALIKE)), first)
 
 
 def structure(text: Column) -> Column:
     """Layer 2: control words, template tokens, capitals."""
-    words = F.regexp_extract_all(text, F.lit(r"(?U)\S+"), 0)
+    # Words of capitals hold no a-z: few are left to look at.
+    counted = F.struct(F.regexp_count(text, F.lit(r"(?U)\S+")).alias("n"), F.regexp_extract_all(text, F.lit(r"(?U)(?<!\S)[^\sa-z]{4,}+(?!\S)"), 0).alias("words"))
 
     def judged(x: Column) -> Column:
-        n = F.size(x)
+        n = x["n"]
         control = F.regexp_count(text, F.lit("(?U)" + CONTROL)) / F.greatest(n, F.lit(1))
-        loud = F.size(F.filter(x, lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 3))) / F.greatest(n, F.lit(1))
+        loud = F.size(F.filter(x["words"], lambda w: (F.upper(w) == w) & (F.lower(w) != w))) / F.greatest(n, F.lit(1))
         return (
             F.when(n == 0, F.lit(None).cast(_SCHEMA))
             .when((n >= 20) & (control > 0.12), _found("prompt_injection", F.least(0.5 + control * 2, F.lit(0.9)), "control words"))
@@ -62,7 +82,7 @@ def structure(text: Column) -> Column:
             .when((n >= 15) & (loud > 0.35), _found("prompt_injection", 0.7, "capitals"))
         )
 
-    return let(words, judged)
+    return let(counted, judged)
 
 
 def entropy(text: Column) -> Column:

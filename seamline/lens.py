@@ -11,12 +11,16 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sources.tables import spread
+
 #: "Now" for everything that depends on time.
 AS_OF = "2024-02-01 00:00:00"
 
 HOST = r"^[a-zA-Z]+://(?:www\.)?([^/:?#]+)"
 #: Runs of characters that are not blank, tab or line end.
 TOKEN = r"[^ \t\n\r]+"
+#: Tables on whose rows expressions work long, so that they go to all cores.
+WORKED = ("documents", "pages", "embeddings")
 
 
 def host(url: Column) -> Column:
@@ -35,7 +39,8 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df) if name in WORKED else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

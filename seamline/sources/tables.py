@@ -10,7 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import place
 
-__all__ = ["Store", "append", "first_readable", "place", "registry"]
+__all__ = ["Store", "append", "first_readable", "place", "registry", "spread"]
+
+#: Tables of fewer bytes may be dealt out again: one row group of Parquet can hold them whole.
+SMALL = 256 << 20
+#: Compressed bytes for which a task of its own is worth while.
+SHARE = 256 << 10
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -76,3 +81,16 @@ class Store:
         finally:
             if self._fs.exists(at):
                 self._fs.delete(at, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, read from files, with its rows dealt to all cores where it is small and in fewer files than that.
+
+    A row group is read by one task, so that a small table of long texts would be worked on by one core. Tables
+    of ``SMALL`` bytes and more stay as they are read, and only partitions change, not rows.
+    """
+    size = int(df._jdf.queryExecution().analyzed().stats().sizeInBytes())
+    if size >= SMALL:
+        return df
+    parts = min(df.sparkSession.sparkContext.defaultParallelism, -(-size // SHARE))
+    return df if len(df.inputFiles()) >= parts else df.repartition(parts)
