@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import text as X
 from ..lens import Tables, marked
+from ..sources.feeds import feed_entries
+from ..sources.office import texts_of, written_as_files
 
 c = F.col
 
@@ -198,3 +200,19 @@ def src_json(t: Tables) -> DataFrame:
     """A response object's fields as 'key: value', joined by bars."""
     fields = F.map_entries(F.from_json("props", "map<string,string>"))
     return t.events.select("event_id", F.array_join(F.transform(fields, lambda x: F.concat_ws(": ", x["key"], x["value"])), " | ").alias("flat"))
+
+
+@query("src_rss", "SELECT page_id, 0 AS pos, url, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ' ') AS title, left(trim(html, ' '), 512) AS snippet FROM pages WHERE url <> ''")
+def src_rss(t: Tables) -> DataFrame:
+    """Entries of stored feeds; on the fixtures a page is announced by an RSS feed or, for odd ids, by an Atom feed."""
+    escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    title, url = escaped(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)), escaped(c("url"))
+    rss = F.concat(F.lit("<rss><channel><title>all</title><item><title>"), title, F.lit("</title><link>"), url, F.lit("</link><description>"), escaped(c("html")), F.lit("</description></item><item><title>no link</title></item></channel></rss>"))
+    atom = F.concat(F.lit("<feed><title>all</title><entry><title>"), title, F.lit('</title><link rel="alternate" href="'), url, F.lit('"/><summary>'), escaped(c("html")), F.lit("</summary></entry><entry><title>no link</title></entry></feed>"))
+    return feed_entries(t.pages.select("page_id", F.when(c("page_id") % 2 == 1, atom).otherwise(rss).alias("xml")))
+
+
+@query("src_doc", r"SELECT doc_id, 'document' AS method, trim(text, E' \t\n\r') AS text, len(regexp_extract_all(text, '[^ \t\n\r]+')) AS word_count, true AS success, NULL::VARCHAR AS error FROM documents")
+def src_doc(t: Tables) -> DataFrame:
+    """Texts of stored files; on the fixtures a document is a Word file or, for odd ids, a sheet of lines."""
+    return texts_of(written_as_files(t.documents.select("doc_id", "text")))

@@ -401,3 +401,56 @@ def test_small_tables_are_dealt_to_all_cores_with_all_rows(spark, tmp_path):
     empty = str(tmp_path / "e")
     spark.range(0).write.parquet(empty)
     assert spread(spark.read.parquet(empty)).count() == 0
+
+
+def test_feeds_and_archive_answers(spark):
+    from seamline.sources.feeds import archive_entries, feed_entries
+
+    rss = "<rss><channel><title>all</title><item><title>A &amp;amp; B</title><link> http://a/1?x=1&amp;y=2 </link><description>d</description></item><item><title>none</title></item><ITEM><title><![CDATA[<b>x</b> &amp;]]></title><link>http://a/2</link></ITEM></channel>"
+    atom = "<feed><entry a='1'><title type='text'>t</title><link rel='alternate' href='http://b/1'/><summary>long one</summary></entry><entry>"
+    df = spark.createDataFrame([(1, rss), (2, atom), (3, ""), (4, None), (5, "no feed <item>")], "id int, xml string")
+    assert [tuple(r) for r in feed_entries(df, snippet=4).orderBy("id", "pos").collect()] == [(1, 0, "http://a/1?x=1&y=2", "A &amp; B", "d"), (1, 2, "http://a/2", "<b>x</b> &amp;", ""), (2, 0, "http://b/1", "t", "long")]
+    assert feed_entries(df, most=1).count() == 2
+    answers = [("s", '[["original","timestamp"],["http://s/1","20240102030405"],["http://s/2",null],[]]'), ("t", "oops"), ("u", "[]"), ("v", None)]
+    got = archive_entries(spark.createDataFrame(answers, "site string, json string")).orderBy("url").collect()
+    assert [(r.url, r.title, r.snippet) for r in got] == [("http://s/1", "s archive (20240102)", ""), ("http://s/2", "s archive ()", "")]
+
+
+def small_pdf(content: bytes, packed: bool, extra: bytes = b"") -> bytes:
+    import zlib
+
+    body = zlib.compress(content) if packed else content
+    about = b"/Filter /FlateDecode " if packed else b""
+    return b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog >>\nendobj\n2 0 obj\n<< " + about + b"/Length %d >>\nstream\n" % len(body) + body + b"\nendstream\nendobj\n" + extra + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def test_stored_files_give_their_texts(spark, tmp_path):
+    import io
+    import zipfile
+
+    from seamline.sources.office import office_file, read_texts, text_of, texts_of
+
+    def zipped(**parts):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, xml in parts.items():
+                z.writestr(name.replace("__", "/") + ".xml", xml)
+        return out.getvalue()
+
+    shown = rb"BT /F1 12 Tf 72 700 Td (Hello \(big\) ) Tj [(wor) -20 (ld) -300 (again)] TJ 0 -14 Td <4F6E65> Tj T* (caf\351) Tj ET"
+    for packed in (False, True):
+        assert text_of(small_pdf(shown, packed)) == ("pdf", "Hello (big) world again\nOne\ncafé", 6, True, None)
+    assert text_of(small_pdf(shown, True, b"9 0 obj << /Encoding /Identity-H >> endobj\n"))[3:] == (False, "composite fonts")
+    assert text_of(small_pdf(shown, True, b"9 0 obj << /Encrypt 3 0 R >> endobj\n"))[3:] == (False, "encrypted")
+    assert text_of(office_file(["a <b>", "", "ż & c"]))[1] == "a <b>\n\nż & c"
+    assert text_of(zipped(xl__sharedStrings="<sst><si><t>x</t></si><si><r><t>y</t></r><r><t>z</t></r></si></sst>", xl__worksheets__sheet1='<worksheet><row><c t="s"><v>1</v></c><c><v>2.5</v></c></row></worksheet>'))[1] == "yz | 2.5"
+    assert text_of(zipped(ppt__slides__slide10="<s><p><t>ten</t></p></s>", ppt__slides__slide2="<s><p><t>two</t></p></s>"))[1] == "two\nten"
+    for broken in (None, b"", b"PK\x03\x04", b"%PDF-1.4\n<< /FlateDecode >>\nstream\nxx\nendstream", zipped(word__document="<a>"), zipped(other="<a/>")):
+        assert text_of(broken)[1:4] == ("", 0, False) and text_of(broken)[4]
+    long = "word " * 200_000
+    df = spark.createDataFrame([(1, office_file([long]), "kept"), (1, None, None)], "id int, content binary, text string")
+    got = texts_of(df).orderBy("word_count").collect()
+    assert [(r.id, r.word_count, r.success) for r in got] == [(1, 0, False), (1, 200_000, True)]
+    assert texts_of(df.limit(0)).count() == 0
+    (tmp_path / "a.docx").write_bytes(office_file(["from a file"]))
+    assert [(r.text, r.error) for r in read_texts(spark, str(tmp_path)).collect()] == [("from a file", None)]
