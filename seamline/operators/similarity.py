@@ -96,15 +96,19 @@ def cosine_pairs(weights: DataFrame, threshold: float) -> DataFrame:
     """a < b, similarity: pairs of unit vectors (id, term, weight, df) at or above the threshold.
 
     A row's index holds its rarest terms up to where the rest is shorter than the threshold: rows
-    that share none of these can't reach it.
+    that share none of these can't reach it. Vectors travel with their index terms and are compared
+    where these meet, so that only pairs at the threshold leave the join.
     """
-    order = Window.partitionBy("id").orderBy("df", "term")
-    rest = weights.withColumn("before", F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    first = rest.where(F.sqrt(F.greatest(1 - F.col("before"), F.lit(0.0))) >= threshold - 1e-9).select("id", "term")
-    pairs = first.toDF("a", "term").join(first.toDF("b", "term"), "term").where("a < b").select("a", "b").distinct()
-    w = weights.select("id", "term", "weight")
-    dots = pairs.join(w.toDF("a", "term", "x"), "a").join(w.toDF("b", "term", "y"), ["b", "term"])
-    return dots.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
+    terms = F.sort_array(F.collect_list(F.struct("df", "term", "weight")))
+    vectors = weights.groupBy("id").agg(terms.alias("v"))
+    start = F.struct(F.lit(0.0).alias("length"), F.lit(0).alias("k"))
+    longer = lambda s, x: F.when(F.sqrt(F.greatest(1 - s["length"], F.lit(0.0))) >= threshold - 1e-9, F.struct((s["length"] + x["weight"] * x["weight"]).alias("length"), (s["k"] + 1).alias("k"))).otherwise(s)
+    first = F.slice("v", F.lit(1), F.aggregate("v", start, longer, lambda s: s["k"]))
+    index = vectors.select("id", F.explode(F.transform(first, lambda x: x["term"])).alias("term"), F.map_from_arrays(F.transform("v", lambda x: x["term"]), F.transform("v", lambda x: x["weight"])).alias("w"))
+    both = index.toDF("a", "term", "x").join(index.toDF("b", "term", "y"), "term")
+    dot = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.col("y")[e["key"]], F.lit(0.0)))
+    near = both.where("a < b").select("a", "b", dot.alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
+    return near.groupBy("a", "b").agg(F.first("similarity").alias("similarity"))
 
 
 def greedy_leaders(rows: DataFrame, pairs: DataFrame, most_rounds: int | None = None) -> DataFrame:
