@@ -1,33 +1,12 @@
-"""Every query by name, with its SQL where DuckDB can express it.
-
-A query is a function of ``Tables``; ``query`` registers it under the operator's id. Its SQL is
-written against the base tables, behind the model tables named in ``lens``.
-"""
+"""Every query by name, with its SQL: importing this loads all modules that register some."""
 
 from __future__ import annotations
 
 import importlib
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from .lens import Tables, with_lens
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, lens: str = "") -> Callable:
-    def register(f: Callable[[Tables], DataFrame]) -> Callable:
-        if name in QUERIES:
-            raise ValueError(f"two queries named {name}")
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql is not None:
-            ORACLES[name] = with_lens(sql, *lens.split())
-        return f
 
-    return register
+from .registry import ORACLES, QUERIES
 
+__all__ = ["ORACLES", "QUERIES"]
 
 #: Modules that register queries.
 PLANS = ("relational", "text", "guard", "extraction", "similarity", "validation", "routing", "retrieval", "graph", "memory", "federation", "streams", "stores")

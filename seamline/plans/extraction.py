@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..registry import query
 from ..functions import extract as X
 from ..lens import Tables, marked
 from .text import _str

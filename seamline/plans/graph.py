@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..registry import query
 from ..lens import Tables
 from ..operators import graph as G
 from ..operators import relational as R

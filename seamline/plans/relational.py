@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..registry import query
 from ..lens import AS_OF, Tables, host
 from ..operators import relational as R
 from ..sources.tables import Store, place

@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..registry import query
 from ..lens import Tables
 from ..operators import relational as R
 from ..sources import tables as S

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..registry import query
 from ..lens import Tables, marked, n_tokens
 from ..operators import relational as R
 from ..operators import similarity as S
