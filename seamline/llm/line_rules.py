@@ -8,9 +8,10 @@ columns of a projection of their own, so that they are computed once a row.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ WINDOW = 8
 #: Ends of sentences, and quotes and brackets that may follow.
 ENDING = r"[.!?…。！？:;][\"'”’»)\]]*[\x20\x09-\x0D]*$"
 BOILERPLATE = (
-    "all rights reserved|copyright|licensed under|terms of use|terms of service|privacy policy|cookie|javascript|click here|read more|sign up|log in|subscribe|share this"
-    "|alle rechte vorbehalten|impressum|datenschutz|tous droits réservés|mentions légales|politique de confidentialité|todos los derechos reservados|aviso legal|política de privacidad"
+    "all rights reserved", "copyright", "licensed under", "terms of use", "terms of service", "privacy policy", "cookie", "javascript", "click here", "read more", "sign up", "log in", "subscribe", "share this",
+    "alle rechte vorbehalten", "impressum", "datenschutz", "tous droits réservés", "mentions légales", "politique de confidentialité", "todos los derechos reservados", "aviso legal", "política de privacidad",
 )
 
 
@@ -39,7 +40,7 @@ class LineRules:
     short: int = 8  #: punctuation: shorter lines must end a sentence; repetition: longer ones are judged
     most_calls: int = 50  #: punctuation: runs of ! and ?
     least_distinct: int = 50  #: repetition: distinct words
-    boilerplate: str = BOILERPLATE  #: boilerplate: any of these, in any case
+    boilerplate: tuple[str, ...] = BOILERPLATE  #: boilerplate: any of these phrases (lower case), in any case
     most_lost: int = 40  #: a document's words that removed lines hold
 
 
@@ -49,18 +50,24 @@ def words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, GAP))
 
 
-def _judged(line: Column, r: LineRules) -> Column:
-    """A line's words and the first rule that it fails; none for a line without words."""
-    n = F.regexp_count(line, F.lit(WORD))
-    letters, capitals = (F.length(F.regexp_replace(line, p, "")) for p in (r"\P{L}+", r"\P{Lu}+"))
+def _shouted(line: Column, r: LineRules) -> Column:
+    """Whether capitals exceed their share of the letters; these are counted only where there are more capitals than that share of the runs of letters."""
+    capitals, letters = F.regexp_count(line, F.lit(r"\p{Lu}")), F.length(F.regexp_replace(line, r"\P{L}+", ""))
+    return (capitals * 100 > F.regexp_count(line, F.lit(r"\p{L}+")) * r.most_capitals) & (capitals * 100 > letters * r.most_capitals)
+
+
+def _judged(row: Column, r: LineRules, suspect: bool) -> Column:
+    """A line and its words (line, n) with the first rule that it fails; none for a line without words. suspect: whether its text holds boilerplate at all."""
+    line, n = row["line"], row["n"]
     fails = (
         F.when(n == 0, F.lit(None).cast("string"))
         .when(F.regexp_count(line, F.lit(f"[{SIGNS}]+")) * 100 > n * r.most_signs, "navigation")
-        .when((n >= 2) & (capitals * 100 > letters * r.most_capitals), "shouting")
+        .when((n >= 2) & _shouted(line, r), "shouting")
         .when(((n < r.short) & ~F.rlike(line, F.lit(ENDING))) | (F.regexp_count(line, F.lit("[!?]+")) * 100 > n * r.most_calls), "punctuation")
         .when((n >= r.short) & (F.size(F.array_distinct(words(line))) * 100 < n * r.least_distinct), "repetition")
-        .when(F.rlike(line, F.lit(f"(?iu){r.boilerplate}")), "boilerplate")
     )
+    if suspect:
+        fails = fails.when(F.rlike(line, F.lit(f"(?iu){'|'.join(map(re.escape, r.boilerplate))}")), "boilerplate")
     return F.struct(line.alias("line"), n.alias("n"), fails.alias("fails"))
 
 
@@ -100,19 +107,26 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), key: str = "doc
     alike; an empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    rows = rows.withColumn("__words", words(F.col("__text"))).withColumn("__lines", F.transform(F.split("__text", "\n"), lambda x: _judged(x, rules)))
+    # Letters that lower() leaves and a pattern takes for others in any case.
+    low = F.translate(F.lower("__text"), "ſıİ", "sii")
+    rows = rows.withColumns({"__words": words(F.col("__text")), "__low": F.when(F.rlike("__text", F.lit("[ſıİ]")), low).otherwise(F.lower("__text"))})
+    suspect = reduce(or_, (F.contains("__low", F.lit(x)) for x in rules.boilerplate), F.lit(False))
+    # Words are counted first, as a lambda evaluates what it names each time anew.
+    counted = F.transform(F.split("__text", "\n"), lambda x: F.struct(x.alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n")))
+    judged = lambda held: F.transform(counted, lambda x: _judged(x, rules, held))
+    rows = rows.withColumn("__lines", F.when(suspect, judged(True)).otherwise(judged(False)))
     # A generator: a filter on the result isn't taken below it, where it would repeat all that for every word.
     rows = _repeated(rows).select(F.inline(F.array(F.struct("__key", "__text", "__words", "__lines", "__repeated"))))
     some = F.filter("__lines", lambda x: x["n"] > 0)
     gone = F.filter("__lines", lambda x: x["fails"].isNotNull())
     rows = rows.withColumns({"__some": F.transform(some, lambda x: x["line"]), "__gone": gone})
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
-    without = lambda signs: F.length(F.translate("__text", signs, ""))
+    times = lambda pattern: F.regexp_count("__text", F.lit(pattern)).cast("bigint")
     rows = rows.select(
         F.col("__key").alias(key),
         F.size("__words").cast("bigint").alias("n_words"),
-        without(SPACE).cast("bigint").alias("word_chars"),
-        (F.length("__text") - without(SIGNS)).cast("bigint").alias("n_symbols"),
+        (F.length("__text") - times(GAP[:-1])).alias("word_chars"),
+        times(f"[{SIGNS}]").alias("n_symbols"),
         (F.size("__some") - F.size(F.array_distinct("__some"))).cast("bigint").alias("n_dup_lines"),
         F.col("__repeated").alias("n_repeat_words"),
         F.size("__gone").cast("bigint").alias("n_removed"),

@@ -192,7 +192,7 @@ WITH d AS (
     OR (n >= 2 AND 100 * length(regexp_replace(line, '\P{{Lu}}+', '', 'g')) > 50 * length(regexp_replace(line, '\P{{L}}+', '', 'g')))
     OR (n < 8 AND NOT regexp_matches(line, '[.!?…。！？:;]["\''”’»)\]]*[\x20\x09-\x0D]*$')) OR 100 * len(regexp_extract_all(line, '[!?]+')) > 50 * n
     OR (n >= 8 AND 100 * len(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) < 50 * n)
-    OR regexp_matches(line, '(?i){BOILERPLATE}') AS fails
+    OR regexp_matches(line, '(?i){'|'.join(BOILERPLATE)}') AS fails
   FROM l WHERE n > 0
 ), k AS (
   SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (fails) AS n_removed, coalesce(sum(n) FILTER (fails), 0)::BIGINT AS words_removed FROM j GROUP BY r

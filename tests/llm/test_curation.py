@@ -99,7 +99,7 @@ def plain_lines(text, r=line_rules.LineRules()):
                 why = "punctuation"
             elif n >= r.short and 100 * len(set(w)) < n * r.least_distinct:
                 why = "repetition"
-            elif re.search(r.boilerplate, line, re.I):
+            elif re.search('|'.join(r.boilerplate), line, re.I):
                 why = "boilerplate"
         if why:
             removed.append(why)
@@ -117,7 +117,7 @@ def test_quality_rules(spark):
     clean = "\n".join(sentence(12) for _ in range(6))
     texts = [
         None, "", " \n\t", "one", clean, clean + "\nHome | About | Contact\n", f"{clean}\n\n{clean}", "\n".join(["Home | About", "READ ALL OF IT NOW.", "no end here", "what! is! this!", "a a a a a a a a b.", "All Rights Reserved by us.", sentence(14)]),
-        "Menu > Sub > Sub\n" * 9 + clean, " ".join(["gleich"] * 500), " ".join(f"w{i}" for i in range(8)) + " x " + " ".join(f"w{i}" for i in range(8)), "LAUT\x0bUND\x0cLAUT.\r\n" + clean, "Impressum und Datenschutz stehen hier am Ende von allem.\n" + clean,
+        "Menu > Sub > Sub\n" * 9 + clean, " ".join(["gleich"] * 500), " ".join(f"w{i}" for i in range(8)) + " x " + " ".join(f"w{i}" for i in range(8)), "LAUT\x0bUND\x0cLAUT.\r\n" + clean, "\u017fubscribe to all of these and more of them today.\nImpressum und Datenschutz stehen hier am Ende von allem.\n" + clean,
         " ".join(f"w{i % 5000}" for i in range(12000)), "    nbsp is part of words " * 5, "\U0001f600 " * 25, "Tous DROITS RÉSERVÉS par nous et par tous les autres ici.\n" + clean,
     ] + ["\n".join(rng.choice(["A | B | C", sentence(rng.randrange(1, 12)), sentence(9)[:-1], "", "DAS IST LAUT!!", "so so so so so so so so so."]) for _ in range(rng.randrange(1, 14))) for _ in range(40)]
     df = spark.createDataFrame([(i // 2, x, 7, "c", [1]) for i, x in enumerate(texts)] + [(None, clean, 7, "c", [1])], "doc_id bigint, text string, n_words int, kept string, line array<int>")
