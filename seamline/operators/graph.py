@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +38,12 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: i
     return rank
 
 
-def distances(edges: DataFrame, start, most: int = 20) -> DataFrame:
-    """id, hops: breadth first from ``start`` over undirected edges (src, dst), up to ``most`` hops."""
+def distances(edges: DataFrame, start, most: int | None = None) -> DataFrame:
+    """id, hops: breadth first from ``start`` over undirected edges (src, dst), to all that can be reached, or ``most`` hops."""
     both = edges.select("src", "dst").unionByName(edges.select(c("dst").alias("src"), c("src").alias("dst"))).distinct()
     seen = both.where(c("src") == F.lit(start)).select(c("src").alias("id")).distinct().withColumn("hops", F.lit(0))
     front = seen
-    for k in range(1, most + 1):
+    for k in count(1) if most is None else range(1, most + 1):
         front = written(both.join(front.select(c("id").alias("src")), "src").select(c("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hops", F.lit(k)), "front")
         if front.isEmpty():
             break
@@ -49,7 +51,7 @@ def distances(edges: DataFrame, start, most: int = 20) -> DataFrame:
     return seen
 
 
-def betweenness(edges: DataFrame, sources: list, most: int = 20) -> DataFrame:
+def betweenness(edges: DataFrame, sources: list) -> DataFrame:
     """id, score: shortest paths from the given sources that pass through each vertex (Brandes), undirected and unweighted.
 
     Sources are a bounded, stated sample; each costs two sweeps of frontier joins.
@@ -58,7 +60,7 @@ def betweenness(edges: DataFrame, sources: list, most: int = 20) -> DataFrame:
     spark = edges.sparkSession
     level = spark.createDataFrame([(s, s) for s in sources], both.select(c("src").alias("s"), c("src").alias("id")).schema).withColumn("k", F.lit(0)).withColumn("paths", F.lit(1.0))
     levels, seen = [level], level.select("s", "id")
-    for k in range(1, most + 1):
+    for k in count(1):
         step = both.join(levels[-1].withColumnRenamed("id", "src"), "src").groupBy("s", c("dst").alias("id")).agg(F.sum("paths").alias("paths")).join(seen, ["s", "id"], "left_anti")
         step = written(step.select("s", "id", F.lit(k).alias("k"), "paths"), "level")
         if step.isEmpty():

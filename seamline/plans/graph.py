@@ -92,12 +92,12 @@ def kg_betweenness(t: Tables) -> DataFrame:
     return G.betweenness(edges, sources).select("id", F.round("score", 6).alias("score"))
 
 
-_PATH = f"WITH RECURSIVE e AS (SELECT src, dst FROM ({_EDGES}) UNION SELECT dst, src FROM ({_EDGES})), p(id, hops) AS (SELECT 'Brand#1', 0 UNION SELECT dst, hops + 1 FROM p JOIN e ON e.src = p.id WHERE hops < 6) SELECT id, min(hops) AS hops FROM p GROUP BY id"
+_PATH = f"WITH RECURSIVE e AS (SELECT src, dst FROM ({_EDGES}) UNION SELECT dst, src FROM ({_EDGES})), p(id, hops) AS (SELECT 'Brand#1', 0 UNION SELECT dst, hops + 1 FROM p JOIN e ON e.src = p.id WHERE hops < (SELECT count(DISTINCT src) FROM e)) SELECT id, min(hops) AS hops FROM p GROUP BY id"
 
 
 @query("kg_path", _PATH)
 def kg_path(t: Tables) -> DataFrame:
-    return G.distances(_edges(t), "Brand#1", 6)
+    return G.distances(_edges(t), "Brand#1")
 
 
 @query("kg_query", "SELECT kind, id FROM (" + _NODES + ") WHERE contains(lower(id), 'brand#1') ORDER BY kind, id LIMIT 20", "missions entities claims")

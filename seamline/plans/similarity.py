@@ -9,6 +9,7 @@ from ..registry import query
 from ..lens import Tables
 from ..operators import relational as R
 from ..operators import similarity as S
+from ..operators.leaders import lead_by_blocks
 from ..operators.vectors import nearest
 
 c = F.col
@@ -105,16 +106,26 @@ def dd_tfidf(t: Tables) -> DataFrame:
     return sites.withColumnRenamed("leader", "claim_id")
 
 
+def topical(claims: DataFrame, order: list) -> DataFrame:
+    """id, leader: claims (id, claim, further columns of ``order``) in greedy groups of one topic: a cosine of .35 with the first, in ``order``."""
+    terms = S.tfidf(claims.select("id", c("claim").alias("text"))).groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("v"))
+    rows = claims.drop("claim").join(terms, "id", "left")
+    none = lambda name, kind: F.coalesce(F.transform("v", lambda x: x[name]), F.array().cast(f"array<{kind}>"))
+    return lead_by_blocks(rows.withColumns({"terms": none("term", "string"), "weights": none("weight", "double")}), order, 0.35)
+
+
 @query("cl_tfidf")
 def cl_tfidf(t: Tables) -> DataFrame:
-    led = S.greedy_leaders(_ranked(t), S.cosine_pairs(S.tfidf(t.claims.select("id", c("claim").alias("text"))), 0.7))
-    return led
+    """All claims, the most confident first."""
+    return topical(t.claims.select("id", "claim", "confidence"), [-c("confidence"), c("id")])
 
 
 @query("cl_jaccard")
 def cl_jaccard(t: Tables) -> DataFrame:
-    sets = t.claims.select("id", "mission_id", F.regexp_extract_all(F.lower("claim"), F.lit("[a-z0-9]{3,}"), 0).alias("tokens"))
-    return S.greedy_leaders(_ranked(t), S.jaccard_pairs(sets, 0.5, "mission_id"))
+    """Claims of a mission that share a quarter of their words with the first."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("claim"), F.lit("[a-z0-9]+"), 0))
+    rows = t.claims.select("id", c("mission_id").alias("group"), "confidence", words.alias("terms"))
+    return lead_by_blocks(rows.withColumn("weights", F.transform("terms", lambda _: F.lit(1.0))), [-c("confidence"), c("id")], 0.25, "jaccard")
 
 
 def _fuzzy(t: Tables, least: float) -> DataFrame:

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..lens import Tables, marked, n_tokens
+from ..lens import Tables, host, marked, n_tokens
+from ..operators import counting as C
 from ..operators import relational as R
 from ..operators import similarity as S
+from ..storage import written
+from .similarity import topical
 from .text import _str
 
 c = F.col
@@ -76,12 +79,22 @@ def cv_cross(t: Tables) -> DataFrame:
     return seeds.select("id", F.round(F.least(F.lit(0.95), c("s.cx") + 0.15), 6).alias("confidence"), F.concat(F.lit("cross_validated:"), (c("n") + 1).cast("string"), F.lit("domains")).alias("flag"))
 
 
-@query("cs_corrob", "SELECT id, CASE WHEN n >= 3 THEN least(.95, confidence * 1.3) WHEN n = 2 THEN least(.9, confidence * 1.2) ELSE confidence END::DOUBLE AS confidence, n >= 2 AS verified FROM (SELECT c.id, c.confidence, k.n FROM claims c JOIN (SELECT lower(left(claim, 30)) AS k, count(DISTINCT mission_id) AS n FROM claims GROUP BY k) k ON lower(left(claim, 30)) = k.k)", "claims")
-def cs_corrob(t: Tables) -> DataFrame:
-    d = t.claims.select("id", "mission_id", "confidence", F.lower(F.substring("claim", 1, 30)).alias("cluster"))
-    n = d.groupBy("cluster").agg(F.count_distinct("mission_id").alias("n"))
+def corroborated(claims: DataFrame, groups: DataFrame) -> DataFrame:
+    """id, confidence, verified, n: claims (id, source_url, confidence) by the n hosts that their group (id, leader) speaks from.
+
+    Three hosts raise the confidence by 30 percent, up to .95; two by 20, up to .9; one leaves it.
+    """
+    d = claims.join(groups, "id")
+    n = d.groupBy("leader").agg(F.count_distinct(host(c("source_url"))).alias("n"))
     conf = F.when(c("n") >= 3, F.least(F.lit(0.95), c("confidence") * 1.3)).when(c("n") == 2, F.least(F.lit(0.9), c("confidence") * 1.2)).otherwise(c("confidence"))
-    return d.join(n, "cluster").select("id", conf.alias("confidence"), (c("n") >= 2).alias("verified"))
+    return d.join(n, "leader").select("id", F.round(conf, 4).alias("confidence"), (c("n") >= 2).alias("verified"), "n")
+
+
+@query("cs_corrob")
+def cs_corrob(t: Tables) -> DataFrame:
+    """Claims but for falsifications, in topical groups as they come; a mission's claims have one host here, so groups span missions."""
+    own = written(t.claims.where("claim_type <> 'FALSIFICATION'").select("id", "claim", "confidence", "source_url"), "claims")
+    return corroborated(own.drop("claim"), topical(own.select("id", "claim"), [c("id")]))
 
 
 def normal_value(value: Column, unit: Column) -> Column:
@@ -95,54 +108,93 @@ def nc_norm(t: Tables) -> DataFrame:
     return t.facts.select("id", normal_value(c("value"), unit).alias("v"))
 
 
-def conflicts(numbers: DataFrame, least: float = 0.5, divergence: float = 20.0) -> DataFrame:
-    """a, b, divergence, severity: for each number that some other one contradicts, its strongest opponent.
+#: Kinds of conflict by divergence in percent, rounded to six digits; over 100 can't occur, as it is relative to the larger value.
+DIGITS = 6
 
-    numbers: id, category, year, unit, value. Numbers of one category, year and unit conflict where they differ
-    by 20 percent or more of the larger one, so divergence is below 100 and CRITICAL, kept as a label, can't
-    occur. A number's strongest opponent is the least or the greatest of its group (of equal ones that with
-    the smallest id), so no pairs are made: both are pre-aggregated and joined back.
-    """
-    n = numbers.where(c("value") >= least)
-    group = ["category", "year", "unit"]
-    ends = n.groupBy(*group).agg(F.min(F.struct("value", "id")).alias("low"), F.max(F.struct(c("value"), (-c("id")).alias("minus"))).alias("high"))
-    far = lambda y: F.round(F.abs(c("value") - y) / F.greatest("value", y) * 100, 6)
-    met = n.join(ends, group).select(c("id").alias("a"), far(c("low.value")).alias("d0"), c("low.id").alias("b0"), far(c("high.value")).alias("d1"), (-c("high.minus")).alias("b1"))
-    first = (c("d0") > c("d1")) | ((c("d0") == c("d1")) & (c("b0") < c("b1")))
-    pairs = met.select("a", F.when(first, c("b0")).otherwise(c("b1")).alias("b"), F.greatest("d0", "d1").alias("divergence")).where(c("divergence") >= divergence)
-    return pairs.withColumn("severity", F.when(c("divergence") > 100, "CRITICAL").when(c("divergence") > 50, "HIGH").otherwise("MEDIUM"))
 
+def conflicts(numbers: DataFrame, least: float = 0.5, divergence: float = 20.0, high: float = 50.0) -> DataFrame:
+    """a, b, divergence, severity, n, n_high: each number that others contradict, its strongest opponent, and how many it has.
 
-_NUMS = "SELECT l_orderkey * 10 + l_linenumber AS id, p_brand AS category, year(l_shipdate) * 100 + month(l_shipdate) AS year, l_linestatus AS unit, l_extendedprice AS value FROM lineitem JOIN part ON l_partkey = p_partkey"
-#: All pairs of a group, and of each number's the strongest.
-_CONF = f"SELECT a, b, d AS divergence, CASE WHEN d > 100 THEN 'CRITICAL' WHEN d > 50 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM (SELECT x.r, x.id AS a, y.id AS b, round(abs(x.value - y.value) / greatest(x.value, y.value) * 100, 6) AS d FROM (SELECT *, row_number() OVER () AS r FROM ({_NUMS})) x JOIN ({_NUMS}) y USING (category, year, unit) WHERE x.value >= .5 AND y.value >= .5) WHERE d >= 20 QUALIFY row_number() OVER (PARTITION BY r ORDER BY d DESC, b) = 1"
+    numbers: id, categories, years (arrays of strings), unit, value. Two numbers of one unit that share a category (other
+    than "general") and a year conflict where they differ by ``divergence`` percent or more of the larger one; no
+    years count as one unknown year. n counts a number's opponents, n_high those over ``high`` percent. No
+    pairs are made: in the group of each subset of its categories and years a number's opponents are those
+    below one bound and above another, which are counted in sorted ranges; sums over the subsets with
+    alternating signs count an opponent once, under however many keys they meet. The strongest opponent is the least
+    or the greatest of a group (of equal ones that with the smallest id). Numbers under ``least`` take no part.
+    """
+    years = F.when(F.size("years") > 0, c("years")).otherwise(F.array(F.lit("unknown")))
+    n = numbers.where(c("value") >= least).select("id", F.filter("categories", lambda x: x != "general").alias("cs"), years.alias("ys"), "unit", c("value").cast("double").alias("value"))
+    keyed = n.select("id", "unit", "value", F.explode(C.subsets(c("cs"))).alias("cs"), "ys").select("id", "unit", "value", "cs", F.explode(C.subsets(c("ys"))).alias("ys"))
+    group = ["cs", "ys", "unit"]
+    known = written(keyed.withColumn("sign", F.when((F.size("cs") + F.size("ys")) % 2 == 0, 1).otherwise(-1)), "numbers")
+
+    points = known.groupBy(*group, "value").agg(F.count("*").alias("n"))
+    # Rounded divergences reach a bound half a digit earlier, and exceed it half a digit later.
+    half = 0.5 * 10.0**-DIGITS
+    bounds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(1 - x / 100).alias("share")) for k, x in (("n", divergence - half), ("n_high", high + half)))))
+    asked = points.select(*group, "value", bounds.alias("k"))
+    name = lambda side: F.struct(c("value"), c("k.kind").alias("kind"), F.lit(side).alias("side")).alias("name")
+    lower = asked.select(*group, (c("value") * c("k.share")).alias("x"), F.lit(True).alias("inclusive"), name("below"))
+    upper = asked.select(*group, (c("value") / c("k.share")).alias("x"), F.lit(False).alias("inclusive"), name("above"))
+    counted = C.counts_below(points.withColumnRenamed("value", "x"), lower.unionByName(upper), group)
+    total = points.groupBy(*group).agg(F.sum("n").alias("total"))
+    side = F.when(c("name.side") == "below", c("below")).otherwise(c("total") - c("below"))
+    sums = {k: F.sum(F.when(c("name.kind") == k, side)) for k in ("n", "n_high")}
+    met = counted.join(total, group).groupBy(*group, c("name.value").alias("value")).agg(*(x.alias(k) for k, x in sums.items()))
+
+    single = known.where((F.size("cs") == 1) & (F.size("ys") == 1))
+    ends = single.groupBy(*group).agg(F.min(F.struct("value", "id")).alias("low"), F.max(F.struct(c("value"), (-c("id")).alias("minus"))).alias("high"))
+    far = lambda y: F.round(F.abs(c("value") - y) / F.greatest("value", y) * 100, DIGITS)
+    best = lambda x, b: F.struct((-far(x)).alias("minus"), b.alias("b"))
+    found = known.join(met, [*group, "value"]).join(ends, group, "left")
+    top = F.min(F.when(c("low").isNotNull(), F.least(best(c("low.value"), c("low.id")), best(c("high.value"), -c("high.minus")))))
+    rows = found.groupBy("id").agg(top.alias("top"), *(F.sum(c("sign") * c(k)).alias(k) for k in sums)).where("n > 0")
+    d = -c("top.minus")
+    return rows.select(c("id").alias("a"), c("top.b").alias("b"), d.alias("divergence"), F.when(d > 100, "CRITICAL").when(d > high, "HIGH").otherwise("MEDIUM").alias("severity"), "n", "n_high")
+
+
+_NUMS = "SELECT l_orderkey * 10 + l_linenumber AS id, p_brand AS category, year(l_shipdate) AS year, l_linestatus AS unit, l_extendedprice AS value FROM lineitem JOIN part ON l_partkey = p_partkey"
+#: All pairs of a group.
+_PAIRS = f"SELECT x.id AS a, y.id AS b, round(abs(x.value - y.value) / greatest(x.value, y.value) * 100, 6) AS d FROM ({_NUMS}) x JOIN ({_NUMS}) y USING (category, year, unit) WHERE x.value >= .5 AND y.value >= .5 AND d >= 20"
+_SEVERITY = "CASE WHEN d > 100 THEN 'CRITICAL' WHEN d > 50 THEN 'HIGH' ELSE 'MEDIUM' END"
+#: And of each number's the strongest, and how many there are.
+_CONF = f"SELECT a, b, d AS divergence, {_SEVERITY} AS severity, n, n_high FROM (SELECT a, count(*) AS n, count(*) FILTER (d > 50) AS n_high, max(d) AS d FROM ({_PAIRS}) GROUP BY a) JOIN (SELECT a, d, min(b) AS b FROM ({_PAIRS}) GROUP BY a, d) USING (a, d)"
+
+
+def line_numbers(t: Tables) -> DataFrame:
+    l = t.lineitem.join(t.part.select("p_partkey", "p_brand"), c("l_partkey") == c("p_partkey"))
+    return l.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), F.array("p_brand").alias("categories"), F.array(F.year("l_shipdate").cast("string")).alias("years"), c("l_linestatus").alias("unit"), c("l_extendedprice").alias("value"))
 
 
 def strongest(t: Tables) -> DataFrame:
-    l = t.lineitem.join(t.part.select("p_partkey", c("p_brand").alias("category")), c("l_partkey") == c("p_partkey"))
-    return conflicts(l.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), "category", (F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("year"), c("l_linestatus").alias("unit"), c("l_extendedprice").alias("value")))
+    return conflicts(line_numbers(t))
 
 
 @query("nc_detect", _CONF)
 def nc_detect(t: Tables) -> DataFrame:
+    """Numbers of a brand, year and unit that contradict each other: a row for each, with its strongest opponent and the number of all."""
     return strongest(t)
 
 
-@query("jn_theta_conflict", f"SELECT severity, count(*) AS n FROM ({_CONF}) GROUP BY severity")
+@query("jn_theta_conflict", f"SELECT {_SEVERITY} AS severity, count(*) // 2 AS n FROM ({_PAIRS}) GROUP BY severity")
 def jn_theta_conflict(t: Tables) -> DataFrame:
-    return strongest(t).groupBy("severity").agg(F.count("*").alias("n"))
+    """Pairs of contradicting numbers by severity, from the counts of their links; each pair has two ends."""
+    ends = strongest(t).agg(F.sum("n").alias("n"), F.sum("n_high").alias("h"))
+    kind = lambda k, x: F.struct(F.lit(k).alias("severity"), F.floor(x / 2).alias("n"))
+    return ends.select(F.inline(F.array(kind("HIGH", c("h")), kind("MEDIUM", c("n") - c("h"))))).where("n > 0")
 
 
-@query("nc_persist", f"SELECT a, b, CASE WHEN divergence > 50 THEN 'STRONG' ELSE 'MODERATE' END AS strength, round(least(1, divergence / 200), 9)::DOUBLE AS challenge, 'Conflict: ' || a || ' vs ' || b AS claim FROM ({_CONF})")
+@query("nc_persist", f"SELECT a, b, n, CASE WHEN divergence > 50 THEN 'STRONG' ELSE 'MODERATE' END AS strength, round(least(1, divergence / 200), 9)::DOUBLE AS challenge, 'Conflict: ' || a || ' vs ' || b AS claim FROM ({_CONF})")
 def nc_persist(t: Tables) -> DataFrame:
     d = c("divergence")
-    return strongest(t).select("a", "b", F.when(d > 50, "STRONG").otherwise("MODERATE").alias("strength"), F.round(F.least(F.lit(1.0), d / 200), 9).alias("challenge"), F.concat(F.lit("Conflict: "), c("a").cast("string"), F.lit(" vs "), c("b").cast("string")).alias("claim"))
+    return strongest(t).select("a", "b", "n", F.when(d > 50, "STRONG").otherwise("MODERATE").alias("strength"), F.round(F.least(F.lit(1.0), d / 200), 9).alias("challenge"), F.concat(F.lit("Conflict: "), c("a").cast("string"), F.lit(" vs "), c("b").cast("string")).alias("claim"))
 
 
-@query("nc_report", f"SELECT a, b, divergence FROM ({_CONF}) ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END, divergence DESC, a, b LIMIT 15")
+@query("nc_report", f"SELECT a, b, divergence, n FROM ({_CONF}) ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END, divergence DESC, a, b LIMIT 15")
 def nc_report(t: Tables) -> DataFrame:
     rank = F.when(c("severity") == "CRITICAL", 0).when(c("severity") == "HIGH", 1).otherwise(2)
-    return strongest(t).orderBy(rank, c("divergence").desc(), "a", "b").limit(15).select("a", "b", "divergence")
+    return strongest(t).orderBy(rank, c("divergence").desc(), "a", "b").limit(15).select("a", "b", "divergence", "n")
 
 
 _GATE = "SELECT m.id, d.ok, d.n, d.med, coalesce(k.n, 0) AS claims FROM missions m LEFT JOIN (SELECT mission_id, count(*) FILTER (word_count >= 100) AS ok, count(*) AS n, quantile_cont(word_count, .5)::DOUBLE AS med FROM content GROUP BY mission_id) d ON d.mission_id = m.id LEFT JOIN (SELECT mission_id, count(*) AS n FROM claims GROUP BY mission_id) k ON k.mission_id = m.id"

@@ -223,18 +223,61 @@ def test_nearest(spark):
     assert nearest(df, df.limit(0), 3).count() == 0 and nearest(df.limit(0), df.where("id % 10 = 0"), 3).count() == 0
 
 
-def test_conflicts_name_the_strongest_opponent(spark):
+def test_conflicts_are_counted_without_pairs(spark):
+    """Categories and years are sets: a pair that shares several of both is one conflict."""
     from seamline.plans.validation import conflicts
 
     rng = np.random.default_rng(5)
-    rows = [(i, str(rng.integers(0, 3)), 2020, "u", float(rng.integers(0, 30))) for i in range(80)] + [(100, None, 2020, "u", 1.0), (101, "9", 2020, "u", 5.0), (102, "9", 2020, "u", 4.1)]
+    some = lambda names, most: [str(x) for x in rng.choice(names, int(rng.integers(0, most + 1)), replace=False)]
+    rows = [(i, some(["a", "b", "c", "general"], 3), some(["2020", "2021", "2022"], 2), str(rng.choice(["u", "v"])), float(rng.integers(0, 30))) for i in range(150)]
+    rows += [(200, ["x"], ["1"], "u", 5.0), (201, ["x"], ["1"], "u", 4.0), (202, ["x"], ["1"], "u", 4.01), (203, ["general"], [], "u", 9.0), (204, None, None, "u", 9.0), (205, ["x"], ["1"], "u", 10.0)] + [(300 + i, ["h"], ["1"], "u", 7.0) for i in range(40)] + [(350, ["h", "x"], ["1"], "u", 3.0)]
     want = {}
-    for i, k, y, u, v in rows:
-        far = [(-round(abs(v - w) / max(v, w) * 100, 6), j) for j, l, y2, u2, w in rows if k is not None and (k, y, u) == (l, y2, u2) and v >= 0.5 and w >= 0.5]
-        if far and -min(far)[0] >= 20:
-            want[i] = (min(far)[1], -min(far)[0])
-    got = {r.a: (r.b, r.divergence) for r in conflicts(spark.createDataFrame(rows, "id bigint, category string, year int, unit string, value double")).collect()}
-    assert len(want) > 50 and got == want
+    for i, cs, ys, u, v in rows:
+        far = []
+        for j, ds, zs, w, x in rows:
+            met = (set(cs or []) & set(ds or [])) - {"general"} and set(ys or ["unknown"]) & set(zs or ["unknown"]) and u == w and min(v, x) >= 0.5
+            d = round(abs(v - x) / max(v, x) * 100, 6) if met else 0
+            if d >= 20:
+                far.append((-d, j))
+        if far:
+            want[i] = (min(far)[1], -min(far)[0], len(far), sum(-d > 50 for d, _ in far))
+    got = {r.a: (r.b, r.divergence, r.n, r.n_high) for r in conflicts(spark.createDataFrame(rows, "id bigint, categories array<string>, years array<string>, unit string, value double")).collect()}
+    assert len(want) > 60 and got == want
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_groups_by_blocks_equal_the_loop(spark, block):
+    from seamline.operators.leaders import lead_by_blocks
+
+    rng = np.random.default_rng(6)
+    words = [[f"w{x}" for x in sorted(set(rng.zipf(1.4, int(rng.integers(0, 9))) % 40))] for _ in range(160)] + [["w1", "w2"]] * 5
+    near = {"jaccard": lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) if set(x) | set(y) else 0, "cosine": lambda x, y: len(set(x) & set(y)) / (len(x) * len(y)) ** 0.5 if x and y else 0}
+    rows = [(i, int(rng.integers(0, 9)), ws, i % 3) for i, ws in enumerate(words)]
+    for kind, least, grouped in (("jaccard", 0.25, True), ("cosine", 0.35, False)):
+        df = spark.createDataFrame([(i, r, ws, [1.0 if kind == "jaccard" else max(1, len(ws)) ** -0.5] * len(ws), str(g)) for i, r, ws, g in rows], "id bigint, r int, terms array<string>, weights array<double>, group string").repartition(3)
+        got = {r.id: r.leader for r in lead_by_blocks(df if grouped else df.drop("group"), [F.col("r"), F.col("id")], least, kind, block).collect()}
+        want = {}
+        order = sorted(rows, key=lambda x: (x[1], x[0]))
+        for k, (i, _, ws, g) in enumerate(order):
+            if i not in want:
+                want[i] = i
+                want |= {j: i for j, _, vs, h in order[k + 1 :] if j not in want and (g == h or not grouped) and near[kind](ws, vs) >= least - 1e-9}
+        assert got == want and 20 < len(set(want.values())) < 150
+        assert lead_by_blocks(df.limit(0), [F.col("r"), F.col("id")], least, kind).collect() == []
+
+
+def test_corroboration_counts_hosts_of_topical_groups(spark):
+    from seamline.plans.validation import corroborated
+
+    rows = [(1, "http://www.a.com/1", 0.5), (2, "http://a.com/2", 0.5), (3, "http://b.com", 0.8), (4, "http://c.com", 0.9), (5, "http://d.com:80/x", 0.4), (6, None, 0.4), (7, "http://e.com", None)]
+    got = {r.id: (r.confidence, r.verified, r.n) for r in corroborated(spark.createDataFrame(rows, "id bigint, source_url string, confidence double"), spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (6, 6), (7, 6)], "id bigint, leader bigint")).collect()}
+    assert got == {1: (0.5, False, 1), 2: (0.5, False, 1), 3: (0.95, True, 3), 4: (0.95, True, 3), 5: (0.52, True, 3), 6: (0.4, False, 1), 7: (None, False, 1)}
+
+
+def test_distances_have_no_end_of_hops(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(30)], "src bigint, dst bigint")
+    assert {r.id: r.hops for r in graph.distances(chain, 0).collect()} == {i: i for i in range(31)}
+    assert {r.id: r.score for r in graph.betweenness(chain, [0]).collect()} == {i: 30.0 - i for i in range(1, 31)}
 
 
 def test_overlap_and_containment_joins(spark):
