@@ -188,3 +188,23 @@ def test_golden_records(spark, salts):
     assert golden.golden_records(df.limit(0)).collect() == []
     zoned = df.withColumn("updated_at", F.col("updated_at").cast("timestamp"))
     assert sorted((tuple(r) for r in golden.golden_records(zoned, salts=salts).collect()), key=repr) == plain_golden(rows)
+
+
+def test_stages_carry_columns_of_any_name(spark, tmp_path):
+    """Names that the stages use themselves, in any case, and names with dots."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    folder = "/root/testdata/sf0.001"
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(rng.randrange(50)) for _ in range(40)) + "." for _ in range(30)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts + texts[:5])], "doc_id bigint, text string")
+    for extra in ("score", "__score", "ROW", "__row", "row_", "file", "At", "start", "__file", "__at", "__from", "key", "order", "a.b", "contaminated"):
+        docs = docs.withColumn(extra, F.concat(F.lit(f"{extra}-"), "doc_id"))
+    docs.write.parquet(f"{tmp_path}/docs")
+    for given in (spark.read.parquet(f"{tmp_path}/docs"), docs):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            found = stage(spark, given, folder)
+            assert found.columns == docs.columns
+            assert all(r[c] == f"{c}-{r['doc_id']}" for r in found.collect() for c in docs.columns[2:])
+        assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, given, folder).collect()} == set(range(30))
+        assert corpus_pipeline.packing_stage(spark, given, folder).select("doc_id").distinct().count() == 35
