@@ -10,6 +10,7 @@ from ..lens import Tables, host, marked, n_tokens
 from ..operators import counting as C
 from ..operators import relational as R
 from ..operators import similarity as S
+from ..operators.claiming import cross_claims
 from ..storage import written
 from .similarity import topical
 from .text import _str
@@ -68,15 +69,19 @@ def fv_outlier(t: Tables) -> DataFrame:
 
 @query("cv_cross")
 def cv_cross(t: Tables) -> DataFrame:
-    """Claims that others of two or more sites say too (72 percent of words alike): confidence of the seed and .15 more, up to .95.
+    """Claims in groups of two hosts or more that are 72 percent alike in their words: confidence of the seed and .15 more, up to .95.
 
-    A claim's seed is the first, by rank, of the claims like it; seeds whose group spans one site consume nobody.
+    Seeds come by falling confidence; a seed whose group has one host frees its members. Claims that were
+    validated before take no part.
     """
-    near = S.set_ratio_pairs(t.claims.select("id", c("claim").alias("text")), 72)
-    own = t.claims.select("id", "confidence", "source_url")
-    near = near.select("a", "b").join(own.toDF("a", "cx", "ux"), "a").join(own.toDF("b", "cy", "uy"), "b").where(c("ux") != c("uy"))
-    seeds = near.groupBy(c("b").alias("id")).agg(F.min(F.struct("a", "cx")).alias("s"), F.count_distinct("ux").alias("n"))
-    return seeds.select("id", F.round(F.least(F.lit(0.95), c("s.cx") + 0.15), 6).alias("confidence"), F.concat(F.lit("cross_validated:"), (c("n") + 1).cast("string"), F.lit("domains")).alias("flag"))
+    rank = F.struct(c("confidence").isNull().alias("none"), (-c("confidence")).alias("minus"), "id").alias("rank")
+    fresh = t.claims.where(F.coalesce(~F.contains("evidence_flags", F.lit("cross_validated")), F.lit(True)))
+    fresh = written(fresh.select("id", "claim", F.xxhash64("claim").alias("key"), rank, host(c("source_url")).alias("host"), F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.5)).alias("confidence")), "claims")
+    texts = written(fresh.groupBy("key").agg(F.first("claim").alias("text")), "texts")
+    near = S.set_ratio_pairs(texts.select(c("key").alias("id"), "text"), 72)
+    found = cross_claims(fresh, texts, near)
+    own = fresh.select(c("id").alias("seed"), "confidence")
+    return found.join(own, "seed").select("id", F.round(F.least(F.lit(0.95), c("confidence") + 0.15), 6).alias("confidence"), F.concat(F.lit("cross_validated:"), c("hosts").cast("string"), F.lit("domains")).alias("flag"))
 
 
 def corroborated(claims: DataFrame, groups: DataFrame) -> DataFrame:
