@@ -237,12 +237,10 @@ def set_ratio_pairs(texts: DataFrame, least: float) -> DataFrame:
     df = flat.groupBy("word").agg(F.count("*").alias("df"))
     order = Window.partitionBy("id").orderBy("df", "word")
     before = F.coalesce(F.sum(F.length("word") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = flat.join(df, "word").withColumn("before", before)
-    rare = ranked.where(F.col("before") <= F.col("chars") * (1 - t / (2 - t)) + 1e-6)
-    # Of the words that they share the rarest one has none of these before it, so on both sides enough must follow.
-    left, right = (d.select(F.col("id").alias(x), "word", F.col("chars").alias(f"m{x}"), (F.col("chars") - F.col("before")).alias(f"rest{x}")) for d, x in ((rare, "x"), (ranked, "y")))
-    enough = F.col("mx") * (t / (2 - t)) - 1e-6
-    near = left.join(right, "word").where((F.col("x") != F.col("y")) & (F.col("resty") >= enough)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rare = flat.join(df, "word").withColumn("before", before).where(F.col("before") <= F.col("chars") * (1 - t / (2 - t)) + 1e-6)
+    # A much shorter text can only reach the ratio by words that fill its own share, and looks these up itself.
+    left, right = (d.select(F.col("id").alias(x), "word", F.col("chars").alias(f"m{x}")) for d, x in ((rare, "x"), (flat, "y")))
+    near = left.join(right, "word").where((F.col("x") != F.col("y")) & (F.col("my") >= F.col("mx") * (t / (2 - t)) - 1e-6)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     both = near.join(rows.toDF("a", "wa"), "a").join(rows.toDF("b", "wb"), "b")
     shared = size(F.array_intersect("wa", "wb"))
     sized = both.select("a", "b", "wa", "wb", shared.alias("s"), size(F.col("wa")).alias("m"), size(F.col("wb")).alias("n"))
