@@ -120,7 +120,7 @@ WITH p AS (
     regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*[^?#]*([^#]*)', 1) AS query FROM p
 ), n AS (
   SELECT page_id, host, path, host || path || query AS name,
-    regexp_replace(regexp_replace(host || path, '^((www|m)\.)+', ''), '(/|\.html)+$', '') || regexp_replace(regexp_replace(query, '[?&](utm_[a-z]+|ref)=[^&]*', '', 'g'), '^&', '?') AS plain FROM h
+    regexp_replace(regexp_replace(host || path, '^(?:(?:www|m)\.)+([^./]+\.[^/])', '\1'), '(/|\.html)+$', '') || regexp_replace(regexp_replace(query, '[?&](utm_[a-z]+|ref)=[^&]*', '', 'g'), '^&', '?') AS plain FROM h
 ), r(action, rhost, rpath) AS (
   VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
 ), members AS (

@@ -134,8 +134,8 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
 
 
 def plain(name: Column) -> Column:
-    """Where a url's name usually redirects to: without www. or m., a slash or .html at the end of the path, and tracking parameters."""
-    at = F.regexp_replace(F.regexp_extract(name, r"^[^?]*", 0), r"^((www|m)\.)+", "")
+    """Where a url's name usually redirects to: without www. or m. where two labels remain, a slash or .html at the end of the path, and tracking parameters."""
+    at = F.regexp_replace(F.regexp_extract(name, r"^[^?]*", 0), r"^(?:(?:www|m)\.)+([^./]+\.[^/])", "$1")
     query = F.regexp_replace(F.regexp_extract(name, r"\?.*$", 0), r"[?&](utm_[a-z]+|ref)=[^&]*", "")
     return F.concat(F.regexp_replace(at, r"(/|\.html)+$", ""), F.regexp_replace(query, r"^&", "?"))
 

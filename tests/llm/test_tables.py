@@ -83,6 +83,9 @@ def test_links_of_a_page(spark):
     page = "<base href='/deep/'><link rel='canonical' href='one'><link rel='canonical' href='http://e.org/two'><meta http-equiv=refresh content='1;url=../three'>"
     edges = urls.alias_edges(spark.createDataFrame([("http://d.xyz/p", page), ("http://d.xyz/go", "<link rel=canonical href='/go?u=http://example.com/en/8'>")], "url string, html string"))
     assert {tuple(r) for r in edges.collect()} == {("d.xyz/p", "d.xyz/deep/one"), ("d.xyz/p", "e.org/two"), ("d.xyz/p", "d.xyz/three"), ("d.xyz/go", "d.xyz/go?u=http://example.com/en/8")}
+    # A bare top-level name is no alias of every host below it.
+    bare = spark.createDataFrame([("m.com/a",), ("www.com/a.b",), ("m.www.com/a",), ("www.a.com/a/",)], "n string").select(urls.plain(F.col("n")).alias("x")).collect()
+    assert [r.x for r in bare] == ["m.com/a", "www.com/a.b", "www.com/a", "a.com/a"]
     got = spark.createDataFrame([("www.m.a.b/x.html?utm_source=f&p=1&ref=x",), ("a.b/?ref=y",), ("a.b/x?p=1",)], "n string").select(urls.plain(F.col("n")).alias("x")).collect()
     assert [r.x for r in got] == ["a.b/x?p=1", "a.b", "a.b/x?p=1"]
 
