@@ -9,15 +9,13 @@ from ..registry import query
 from ..lens import Tables
 from ..operators import relational as R
 from ..operators import retrieval as V
+from ..operators.lexical import LexicalIndex, words_of
 from ..operators.vectors import nearest
 from .similarity import COS_SQL as _COS
 from .similarity import knn_sql, vector_queries, vector_rows
-from .text import _str
 
 c = F.col
 
-TERMS = ["the", "onthe", "nation"]
-
 
 def _docs(t: Tables) -> DataFrame:
     return t.documents.select(c("source").alias("mission_id"), c("doc_id").alias("id"), "text")
@@ -63,56 +61,60 @@ def rag_vec(t: Tables) -> DataFrame:
     return _vec(t)
 
 
-_TF = "len(list_filter(w, lambda x: x = {}))"
-_BM = f"WITH w AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {{src}}), f AS (SELECT id, len(w) AS dl, {', '.join(f'{_TF.format(_str(x))} AS t{i}' for i, x in enumerate(TERMS))} FROM w), s AS (SELECT count(*) AS n, avg(dl) AS mean, {', '.join(f'count(*) FILTER (t{i} > 0) AS d{i}' for i in range(len(TERMS)))} FROM f) SELECT id, {' + '.join(f'ln(1 + (n - d{i} + .5) / (d{i} + .5)) * t{i} * 2.2 / (t{i} + 1.2 * (.25 + .75 * dl / mean))' for i in range(len(TERMS)))} AS score FROM f, s WHERE {' OR '.join(f't{i} > 0' for i in range(len(TERMS)))}"
-_BM_DOCS = _BM.format(src="(SELECT doc_id AS id, text FROM documents)")
+#: Queries are the first words of every document whose id is divisible by 50.
+_LEX = r"""WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), q AS (SELECT DISTINCT id AS query_id, unnest(w[1:{0}]) AS term FROM w WHERE id % 50 = 0),
+f AS (SELECT id, term, dl, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM w) GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM f GROUP BY term)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(sum(ln(1 + (n - df + .5) / (df + .5)) * tf * 2.2 / (tf + 1.2 * (.25 + .75 * dl / mean))), 6) AS score FROM q JOIN d USING (term) JOIN f USING (term), s GROUP BY query_id, id) QUALIFY rank <= {1}"""
 
 
-def _bm(t: Tables) -> DataFrame:
-    return V.bm25(_docs(t).select("id", "text"), TERMS)
+def _asked(t: Tables, words: int) -> DataFrame:
+    return t.documents.where("doc_id % 50 = 0").select(c("doc_id").alias("query_id"), F.slice(words_of(c("text")), 1, words).alias("words"))
+
 
+def _index(t: Tables) -> LexicalIndex:
+    return LexicalIndex(t.spark).add(t.documents.select(c("doc_id").alias("id"), "text"))
 
-@query("fn_bm25", f"SELECT id, round(score, 6) AS score FROM ({_BM_DOCS})")
+
+@query("fn_bm25", f"SELECT query_id, id, score FROM ({_LEX.format(12, 10)})")
 def fn_bm25(t: Tables) -> DataFrame:
-    return _bm(t).select("id", F.round("score", 6).alias("score"))
+    """The ten best documents for twelve words."""
+    return _index(t).best(_asked(t, 12), 10).select("query_id", "id", "score")
 
 
-@query("rag_bm25", f"SELECT id, round(score, 6) AS score FROM ({_BM_DOCS}) ORDER BY score DESC, id LIMIT 40")
+def _bm(t: Tables) -> DataFrame:
+    return _index(t).best(_asked(t, 5), 40)
+
+
+@query("rag_bm25", _LEX.format(5, 40))
 def rag_bm25(t: Tables) -> DataFrame:
-    return _bm(t).select("id", F.round("score", 6).alias("score")).orderBy(c("score").desc(), "id").limit(40)
+    return _bm(t)
 
 
-@query("fn_fts", "SELECT doc_id FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'the') AND list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'with')")
+@query("fn_fts", "WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents), q AS (SELECT terms, min(id) AS query_id, count(*) AS asked FROM (SELECT id, list_sort(list_distinct(w[1:8])) AS terms FROM w WHERE id % 50 = 0 AND len(w) > 0) GROUP BY terms) SELECT query_id, any_value(asked) AS asked, id FROM (SELECT query_id, asked, len(terms) AS n, unnest(terms) AS term FROM q) JOIN (SELECT DISTINCT id, unnest(w) AS term FROM w) USING (term) GROUP BY query_id, id HAVING count(*) = any_value(n)")
 def fn_fts(t: Tables) -> DataFrame:
-    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)
-    return t.documents.where(F.forall(F.array(F.lit("the"), F.lit("with")), lambda q: F.array_contains(w, q))).select("doc_id")
+    """Documents that hold all of a query's first eight words; how many ask for the same ones."""
+    return _index(t).holding(_asked(t, 8))
 
 
-_BRANK = f"SELECT vec_id AS query_id, id, rank FROM embeddings, (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, round(score, 6) AS score FROM ({_BM_DOCS})) QUALIFY rank <= 40) WHERE vec_id % 50 = 0"
+_BRANK = f"SELECT query_id, id, rank FROM ({_LEX.format(5, 40)})"
 _RRF = f"SELECT query_id, id, round(sum(1.0 / (60 + rank))::DOUBLE, 9) AS score FROM (SELECT query_id, id, rank FROM ({_VEC}) UNION ALL SELECT query_id, id, rank FROM ({_BRANK})) GROUP BY ALL"
 _BEST = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {}"
 
 
-def _brank(t: Tables) -> DataFrame:
-    """The words' 40 best documents, for each vector they are fused with."""
-    best = V.ranked(_bm(t).select("id", F.round("score", 6).alias("score")), 40).select("id", "rank")
-    return vector_queries(t).select(c("id").alias("query_id")).crossJoin(F.broadcast(best))
-
-
 @query("rag_rrf", f"SELECT * FROM ({_RRF}) {_BEST.format(15)}")
 def rag_rrf(t: Tables) -> DataFrame:
-    return V.fuse([_vec(t), _brank(t)], 15)
+    return V.fuse([_vec(t), _bm(t)], 15)
 
 
-@query("rag_rrf0", f"SELECT query_id, id, round(1.0 / (60 + coalesce(ra, na)) + 1.0 / (60 + coalesce(rb, nb)), 9)::DOUBLE AS score FROM (SELECT query_id, id, max(ra) AS ra, max(rb) AS rb FROM (SELECT query_id, id, rank - 1 AS ra, NULL AS rb FROM ({_VEC}) UNION ALL SELECT query_id, id, NULL, rank - 1 FROM ({_BRANK})) GROUP BY ALL) LEFT JOIN (SELECT query_id, count(*) AS na FROM ({_VEC}) GROUP BY ALL) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS nb FROM ({_BRANK}) GROUP BY ALL) USING (query_id) {_BEST.format(20)}")
+@query("rag_rrf0", f"SELECT query_id, id, round(1.0 / (60 + coalesce(ra, na, 0)) + 1.0 / (60 + coalesce(rb, nb, 0)), 9)::DOUBLE AS score FROM (SELECT query_id, id, max(ra) AS ra, max(rb) AS rb FROM (SELECT query_id, id, rank - 1 AS ra, NULL AS rb FROM ({_VEC}) UNION ALL SELECT query_id, id, NULL, rank - 1 FROM ({_BRANK})) GROUP BY ALL) LEFT JOIN (SELECT query_id, count(*) AS na FROM ({_VEC}) GROUP BY ALL) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS nb FROM ({_BRANK}) GROUP BY ALL) USING (query_id) {_BEST.format(20)}")
 def rag_rrf0(t: Tables) -> DataFrame:
-    return V.fuse_from_zero(_vec(t), _brank(t), 20)
+    return V.fuse_from_zero(_vec(t), _bm(t), 20)
 
 
 @query("rag_hybrid", f"SELECT query_id, id, score FROM (SELECT * FROM ({_RRF}) {_BEST.format(15)}) r JOIN documents d ON d.doc_id = r.id")
 def rag_hybrid(t: Tables) -> DataFrame:
     """Fused first; texts are fetched for the fused rows alone."""
-    return t.documents.select(c("doc_id").alias("id")).join(V.fuse([_vec(t), _brank(t)], 15), "id").select("query_id", "id", "score")
+    return t.documents.select(c("doc_id").alias("id")).join(V.fuse([_vec(t), _bm(t)], 15), "id").select("query_id", "id", "score")
 
 
 _KW = "list_sort(list_distinct(string_split(lower(p_type), ' ')))"
