@@ -91,7 +91,7 @@ PHRASES_SQL = f"SELECT id, pos - 1 AS pos, phrase FROM (SELECT id, phrase, row_n
 
 @query("ex_phrases", PHRASES_SQL.replace("{src}", _TEXTS), "claims")
 def ex_phrases(t: Tables) -> DataFrame:
-    return texts(t).select("id", F.posexplode(X.phrases(c("text"))).alias("pos", "phrase")).withColumn("pos", c("pos").cast("bigint"))
+    return texts(t).select("id", F.posexplode(X.phrases(c("text"), 20)).alias("pos", "phrase")).withColumn("pos", c("pos").cast("bigint"))
 
 
 @query("ex_digest", f"SELECT DISTINCT figure FROM (SELECT unnest(regexp_extract_all(text, {_str(X.FACT)})[1:2]) AS figure FROM {_TEXTS} ) ORDER BY figure LIMIT 25", "claims")
